@@ -98,7 +98,7 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     """The template with each ``{name}`` replaced; braces inside values stay as they are."""
     # Placeholders become private-use marks first, so a value that holds "{x}" is not filled again.
     result = template
-    marks = {name: f"{i}" for i, name in enumerate(values)}
+    marks = {name: f"\ue000{i}\ue001" for i, name in enumerate(values)}
     for name, mark in marks.items():
         result = F.replace(result, F.lit("{" + name + "}"), F.lit(mark))
     for name, value in values.items():
@@ -125,27 +125,18 @@ def condition_of_file(file_name: Column, prefix: str = "") -> Column:
 
 
 def bold_runs(text: Column) -> Column:
-    """``**bold**`` text as ordered runs ``(text, bold)``; empty runs are left out."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?s)(\*\*.*?\*\*|(?:(?!\*\*.*?\*\*).)+)"), F.lit(1))
-    marked = F.transform(
-        runs,
-        lambda run: F.struct(
-            F.when(
-                run.rlike(r"(?s)^\*\*.*\*\*$") & (F.length(run) >= 4), F.expr("1") == 1
-            ).otherwise(F.lit(False)).alias("bold"),
-            run.alias("raw"),
-        ),
-    )
-    return F.transform(
-        marked,
-        lambda r: F.struct(
-            F.when(r["bold"], F.regexp_replace(r["raw"], r"(?s)^\*\*(.*)\*\*$", "$1"))
-            .otherwise(r["raw"])
-            .alias("text"),
-            r["bold"].alias("bold"),
-        ),
+    """``**bold**`` text as ordered runs ``(text, bold)``; the marks are dropped."""
+    runs = F.regexp_extract_all(
+        text, F.lit(r"(?s)(\*\*.*?\*\*|.+?(?=\*\*.*?\*\*|\z))"), F.lit(1)
     )
 
+    def run(raw: Column) -> Column:
+        bold = raw.rlike(r"(?s)^\*\*.*\*\*\z") & (F.length(raw) >= 4)
+        inside = F.substring(raw, F.lit(3), F.length(raw) - 4)
+        return F.struct(F.when(bold, inside).otherwise(raw).alias("text"), bold.alias("bold"))
+
+    return F.transform(runs, run)
+
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs split at blank lines, trimmed, without empty ones."""
