@@ -217,10 +217,10 @@ def organ_events(
         "dose",
     )
     parts = [
-        scored(of("platelets"), "coagulation", v, "Platelets = "),
-        scored(of("bilirubin"), "liver", v, "Bilirubin = "),
-        scored(of("creatinine"), "renal", v, "Creatinine = "),
-        scored(ratios, "respiratory", ratio, "P/F ratio = ", F.round(ratio, 1)),
+        scored(of("platelets"), "coagulation", v, ""),
+        scored(of("bilirubin"), "liver", v, ""),
+        scored(of("creatinine"), "renal", v, ""),
+        scored(ratios, "respiratory", ratio, "PaO2/FiO2 = ", F.round(ratio, 1)),
         scored(of("map"), "cardiovascular", v, "MAP = "),
         scored(of("gcs"), "cns", gcs, "GCS = "),
         drugs,
