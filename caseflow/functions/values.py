@@ -136,3 +136,16 @@ def cosine(a: Column, b: Column) -> Column:
 
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A double as text with so many digits, rounded half to even on its exact binary value.
+
+    ``round`` works on the shortest decimal form instead, and would make 0.3 of 0.25 and 0.43 of
+    0.425, whose binary value lies below.
+    """
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
+def exact_round(value: Column, digits: int) -> Column:
+    return fixed(value, digits).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import UNKNOWN, condition_of_file, key_values, opening, or_default
-from caseflow.functions.values import account_number, any_of
+from caseflow.functions.values import account_number, any_of, fixed
 from caseflow.operators.textparts import PART_CHARS, text_parts
 from caseflow.profiles import Profile
 
@@ -421,7 +421,7 @@ def usability(metrics: DataFrame) -> DataFrame:
     """Adds ``is_scanned``, ``is_usable`` and ``skip_reason`` to ``scan_confidence`` and counts."""
     scanned = F.col("scan_confidence") > SCANNED_ABOVE
     enough = F.col("char_count") >= MIN_CHARS
-    percent = F.bround(F.col("scan_confidence") * 100, 0).cast("int").cast("string")
+    percent = fixed(F.col("scan_confidence") * 100, 0)
     chars = F.col("char_count").cast("string")
     return metrics.select(
         "*",

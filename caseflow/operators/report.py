@@ -13,7 +13,7 @@ from caseflow.functions.text import (
     paragraphs,
     without_leading_fence,
 )
-from caseflow.functions.values import any_of, clamp
+from caseflow.functions.values import any_of, clamp, fixed
 from caseflow.operators.scores import ADMISSION, FIRST_DX
 from caseflow.operators.textparts import text_parts
 from caseflow.profiles import ORGAN_NAMES, SOFA_CRITERIA, Profile
@@ -129,10 +129,10 @@ def sofa_text(scores: DataFrame, organs: DataFrame) -> DataFrame:
 
 def _shown_fraction(raw: Column, fraction: Column) -> Column:
     percent = F.concat(
-        raw.cast("string"), F.lit("% ("), F.format_string("%.2f", fraction), F.lit(")")
+        raw.cast("string"), F.lit("% ("), fixed(fraction, 2), F.lit(")")
     )
     share = F.concat(
-        raw.cast("string"), F.lit(" ("), F.format_string("%.0f", fraction * 100), F.lit("%)")
+        raw.cast("string"), F.lit(" ("), fixed(fraction * 100, 0), F.lit("%)")
     )
     return F.when(raw > 1.0, percent).otherwise(share)
 

@@ -10,6 +10,7 @@ from caseflow.functions.values import (
     band,
     berlin,
     categories,
+    exact_round,
     first_category,
     oxygen_fraction,
     safe_double,
@@ -112,7 +113,7 @@ def pf_series(
     values = readings(labs, vitals, profile, whole_word, exclusive=("pao2", "fio2"))
     paired = oxygen_ratios(
         values, profile.pair_tolerance_s, profile.peep_tolerance_s, width_us
-    ).withColumn("ratio", F.round("raw_ratio", 1))
+    ).withColumn("ratio", exact_round(F.col("raw_ratio"), 1))
     second = F.col("us") - F.pmod(F.col("us"), F.lit(SECOND))
     numbered = ordinal(
         paired,
@@ -220,7 +221,7 @@ def organ_events(
         scored(of("platelets"), "coagulation", v, ""),
         scored(of("bilirubin"), "liver", v, ""),
         scored(of("creatinine"), "renal", v, ""),
-        scored(ratios, "respiratory", ratio, "PaO2/FiO2 = ", F.round(ratio, 1)),
+        scored(ratios, "respiratory", ratio, "PaO2/FiO2 = ", exact_round(ratio, 1)),
         scored(of("map"), "cardiovascular", v, "MAP = "),
         scored(of("gcs"), "cns", gcs, "GCS = "),
         drugs,

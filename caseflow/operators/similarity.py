@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.values import fixed
 from caseflow.operators.windows import top_per
 
 THRESHOLD = 0.7
@@ -126,7 +127,11 @@ def matches_with_reason(
         F.col("best_score").isNull(), F.lit("No gold letters have embeddings")
     ).when(
         F.col("best_score") < threshold,
-        F.format_string(f"Best match score (%.2f) below threshold ({threshold})", "best_score"),
+        F.concat(
+            F.lit("Best match score ("),
+            fixed(F.col("best_score"), 2),
+            F.lit(f") below threshold ({threshold})"),
+        ),
     )
     summary = queries.select("query_id").join(best, "query_id", "left")
     return (
