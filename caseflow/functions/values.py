@@ -17,7 +17,7 @@ def safe_double(text: Column) -> Column:
     NaN and infinity count as no number, so that no comparison depends on how an engine
     orders them.
     """
-    bare = F.trim(F.regexp_replace(text.cast("string"), "[,<>]", ""))
+    bare = F.trim(F.translate(text.cast("string"), ",<>", ""))
     return F.when(bare.rlike(NUMERIC), bare.try_cast("double"))
 
 
@@ -50,13 +50,27 @@ def matches(name: Column, matcher: Matcher, whole_word: bool = False) -> Column:
 
 
 def categories(
-    name: Column, matchers: dict[str, Matcher], kind: str | None = None, whole_word: bool = False
+    name: Column,
+    matchers: dict[str, Matcher],
+    kind: str | None = None,
+    whole_word: bool = False,
+    exclusive: Sequence[str] = (),
 ) -> Column:
-    """All categories a name belongs to, as an array to explode: a name may hit several."""
-    chosen = [(c, m) for c, m in matchers.items() if kind is None or m.kind == kind]
-    return F.array_compact(
-        F.array(*[F.when(matches(name, m, whole_word), F.lit(c)) for c, m in chosen])
-    )
+    """The categories a name belongs to, as an array to explode, with nulls for those it does not.
+
+    A name may hit several, but of the ``exclusive`` ones only the first in table order. Nulls are
+    left to a filter after the explode: an array function that drops them takes a lambda, and with
+    it the whole match would leave generated code.
+    """
+    entries, taken = [], F.lit(False)
+    for category, matcher in matchers.items():
+        if kind is not None and matcher.kind != kind:
+            continue
+        hit = matches(name, matcher, whole_word)
+        if category in exclusive:
+            hit, taken = hit & ~taken, taken | hit
+        entries.append(F.when(hit, F.lit(category)))
+    return F.array(*entries)
 
 
 def first_category(name: Column, keywords: dict[str, Sequence[str]]) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,15 @@ class Series:
     values: Sequence[str]
     tie: Sequence[str] = ()
     tolerance_us: int | None = None
-    filter: Column | None = field(default=None)
+
+
+def reading(us: Column, values: Sequence[str], tie: Sequence[str] = ()) -> Column:
+    """A right row as a struct; its tie break is part of it, so it sorts alike wherever it is."""
+    return F.struct(
+        us.alias("us"),
+        F.array(*[-F.col(t).cast("double") for t in tie]).cast("array<double>").alias("tie"),
+        F.struct(*values).alias("values"),
+    )
 
 
 def nearest(
@@ -34,157 +43,142 @@ def nearest(
     """Adds to each left row a struct per series: its nearest row's values, ``us`` and ``gap_us``.
 
     Equal distance goes to the earlier right row, the tolerance is inclusive, and the struct is
-    null where nothing is in reach. Any number of series costs one shuffle of the rows: left and
-    right rows are unioned, sorted in slices, and each left row looks back over the ascending
-    and over the descending order. Every slice that has left rows is handed the last right row
-    before it and the first after it, so the width of a slice never changes the result.
+    null where nothing is in reach or the left row has no time or no key.
     """
     keys = list(keys)
-    names = list(series)
     kept = [c for c in left.columns if c not in keys]
-    payload: dict[str, str] = {}
-    parts = {}
+    whole = F.col(left_ts).isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    tagged = [
+        left.filter(whole).select(
+            *keys, F.struct(micros(F.col(left_ts)).alias("us"), F.struct(*kept).alias("row"))
+            .alias("_left"),
+        )
+    ]
     for name, s in series.items():
-        rows = s.rows if s.filter is None else s.rows.filter(s.filter)
-        us = micros(F.col(s.ts))
-        # the tie break sits in the struct, so that a carried row sorts as the original did
-        parts[name] = rows.filter(F.col(s.ts).isNotNull()).select(
-            *keys,
-            us.alias("_us"),
-            F.struct(
-                us.alias("us"),
-                F.array(*[-F.col(t).cast("double") for t in s.tie])
-                .cast("array<double>")
-                .alias("tie"),
-                F.struct(*s.values).alias("values"),
-            ).alias("_right"),
+        present = F.col(s.ts).isNotNull()
+        for k in keys:
+            present = present & F.col(k).isNotNull()
+        tagged.append(
+            s.rows.filter(present).select(
+                *keys, reading(micros(F.col(s.ts)), s.values, s.tie).alias(f"_r_{name}")
+            )
         )
-        payload[name] = parts[name].schema["_right"].dataType.simpleString()
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    limits = {name: s.tolerance_us for name, s in series.items()}
+    found = nearest_tagged(rows, keys, limits, width_us).select(*keys, "row.*", *series)
+    apart = left.filter(~whole).select(
+        *keys, *kept, *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in series]
+    )
+    return found.unionByName(apart)
 
-    def shape(rows: DataFrame, side: int, name: str | None) -> DataFrame:
-        structs = [
-            (F.col("_right") if n == name else F.lit(None).cast(payload[n])).alias(f"_r_{n}")
-            for n in names
-        ]
-        return rows.select(*keys, "_us", F.lit(side).alias("_side"), *structs)
-
-    left_type = left.select(F.struct(*kept).alias("s")).schema["s"].dataType
-    lefts = left.select(*keys, micros(F.col(left_ts)).alias("_us"), F.struct(*kept).alias("_left"))
-    tagged_left = shape(lefts.filter("_us is not null"), 1, None)
-    rights = None
-    for name in names:
-        shaped = shape(parts[name], 0, name)
-        rights = shaped if rights is None else rights.unionByName(shaped)
-
-    # what each slice is told about the others
-    sliced = tagged_left.unionByName(rights).withColumn(SLICE, slice_of(F.col("_us"), width_us))
-    order = {n: F.struct(F.col(f"_r_{n}.us"), F.col(f"_r_{n}.tie")) for n in names}
-    back_order = {n: F.struct(-F.col(f"_r_{n}.us"), F.col(f"_r_{n}.tie")) for n in names}
-    per_slice = sliced.groupBy(*keys, SLICE).agg(
-        F.max("_side").alias("_asked"),
-        *[
-            F.max_by(f"_r_{n}", F.when(F.col(f"_r_{n}").isNotNull(), order[n])).alias(f"_last_{n}")
-            for n in names
-        ],
+
+def nearest_tagged(
+    rows: DataFrame, keys: Sequence[str], limits: dict[str, int | None], width_us: int = HOUR
+) -> DataFrame:
+    """The same over one table in which left rows and readings are marked.
+
+    ``_left`` holds a struct ``(us, row)`` on left rows, ``_r_<name>`` a ``reading`` on right rows of
+    a series, null elsewhere. Gives ``(keys, us, row, <name>…)`` per left row.
+
+    The rows are shuffled once, by key and slice. From that one shuffle Spark reads twice: to tell
+    each slice that has left rows the last reading before it and the first after it, one small row
+    per slice; and to sort rows and told readings together. Each left row then looks back over the
+    ascending and over the descending order. The width of a slice never changes the result.
+    """
+    keys, names = list(keys), list(limits)
+    rights = [F.col(f"_r_{n}") for n in names]
+    us = F.coalesce(F.col("_left.us"), *[r["us"] for r in rights])
+    placed = rows.withColumn(SLICE, slice_of(us, width_us)).repartition(*keys, SLICE)
+
+    def extreme(n: str, sign: int, alias: str) -> Column:
+        r = F.col(f"_r_{n}")
+        order = F.struct(sign * r["us"], r["tie"])
+        return F.max_by(r, F.when(r.isNotNull(), order)).alias(alias)
+
+    told = (
+        placed.groupBy(*keys, SLICE)
+        .agg(
+            F.count("_left").alias("_asked"),
+            *[extreme(n, 1, f"_last_{n}") for n in names],
+            *[extreme(n, -1, f"_first_{n}") for n in names],
+        )
+        .select(
+            *keys,
+            SLICE,
+            "_asked",
+            *[F.last(f"_last_{n}", True).over(before(keys)).alias(f"_prev_{n}") for n in names],
+            *[F.last(f"_first_{n}", True).over(after(keys)).alias(f"_next_{n}") for n in names],
+        )
+        .filter("_asked > 0")
+    )
+    neighbours = F.array(
         *[
-            F.max_by(f"_r_{n}", F.when(F.col(f"_r_{n}").isNotNull(), back_order[n])).alias(
-                f"_first_{n}"
+            F.struct(
+                *[
+                    (F.col(f"_{side}_{n}") if m == n else F.lit(None).cast(rows.schema[f"_r_{m}"].dataType))
+                    .alias(f"_r_{m}")
+                    for m in names
+                ]
             )
             for n in names
-        ],
-    )
-    neighbours = per_slice.select(
-        *keys,
-        SLICE,
-        "_asked",
-        *[F.last(f"_last_{n}", True).over(before(keys)).alias(f"_prev_{n}") for n in names],
-        *[F.last(f"_first_{n}", True).over(after(keys)).alias(f"_next_{n}") for n in names],
-    ).filter("_asked = 1")
-    carried = neighbours.select(
-        *keys,
-        SLICE,
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(f"_{side}_{n}").isNotNull(),
-                            F.struct(
-                                F.lit(n).alias("name"),
-                                F.col(f"_{side}_{n}.us").alias("us"),
-                                *[
-                                    (F.col(f"_{side}_{n}") if m == n else F.lit(None).cast(payload[m]))
-                                    .alias(f"_r_{m}")
-                                    for m in names
-                                ],
-                            ),
-                        )
-                        for n in names
-                        for side in ("prev", "next")
-                    ]
-                )
-            )
-        ).alias("_c"),
-    ).select(
-        *keys,
-        F.col("_c.us").alias("_us"),
-        F.lit(0).alias("_side"),
-        *[F.col(f"_c._r_{n}") for n in names],
-        SLICE,
-        F.lit(None).cast(left_type).alias("_left"),
-    )
-    full_left = (
-        lefts.filter("_us is not null")
+            for side in ("prev", "next")
+        ]
+    )
+    carried = (
+        told.select(*keys, SLICE, F.explode(neighbours).alias("_c"))
         .select(
             *keys,
-            "_us",
-            F.lit(1).alias("_side"),
-            *[F.lit(None).cast(payload[n]).alias(f"_r_{n}") for n in names],
-            "_left",
+            F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"),
+            *[F.col(f"_c._r_{n}") for n in names],
+            SLICE,
         )
-        .withColumn(SLICE, slice_of(F.col("_us"), width_us))
-    )
-    full_right = rights.withColumn("_left", F.lit(None).cast(left_type)).withColumn(
-        SLICE, slice_of(F.col("_us"), width_us)
+        .filter(F.coalesce(*[r["us"] for r in rights]).isNotNull())
+        .repartition(*keys, SLICE)
     )
-    rows = full_left.unionByName(full_right).unionByName(carried)
-
-    tie = F.coalesce(*[F.col(f"_r_{n}.tie") for n in names])
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    back = Window.partitionBy(*keys, SLICE).orderBy(F.col("_us"), "_side", tie).rowsBetween(*to_here)
-    ahead = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(F.col("_us").desc(), "_side", tie)
-        .rowsBetween(*to_here)
+    all_rows = placed.unionByName(carried).select(
+        *keys,
+        SLICE,
+        "_left",
+        *rights,
+        us.alias("_us"),
+        F.col("_left").isNotNull().cast("int").alias("_side"),
+        F.coalesce(*[r["tie"] for r in rights]).alias("_tie"),
     )
-    seen = rows.select(
+
+    def looking(first: Column):
+        return (
+            Window.partitionBy(*keys, SLICE)
+            .orderBy(first, "_side", "_tie")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+
+    back, ahead = looking(F.col("_us")), looking(F.col("_us").desc())
+    seen = all_rows.select(
         *keys,
         "_us",
-        "_side",
         "_left",
         *[F.last(f"_r_{n}", True).over(back).alias(f"_b_{n}") for n in names],
         *[F.last(f"_r_{n}", True).over(ahead).alias(f"_f_{n}") for n in names],
-    ).filter("_side = 1")
+    ).filter("_left is not null")
 
     def chosen(n: str) -> Column:
         b, f = F.col(f"_b_{n}"), F.col(f"_f_{n}")
         b_gap, f_gap = F.col("_us") - b["us"], f["us"] - F.col("_us")
         pick = F.when(f.isNull() | (b.isNotNull() & (b_gap <= f_gap)), b).otherwise(f)
         gap = F.abs(F.col("_us") - pick["us"])
+        values = rows.schema[f"_r_{n}"].dataType["values"].dataType.names
         found = F.struct(
-            *[pick["values"][v].alias(v) for v in series[n].values],
+            *[pick["values"][v].alias(v) for v in values],
             pick["us"].alias("us"),
             gap.alias("gap_us"),
         )
-        limit = series[n].tolerance_us
-        ok = pick.isNotNull() if limit is None else pick.isNotNull() & (gap <= limit)
-        return F.when(ok, found).alias(n)
+        reached = pick.isNotNull()
+        if limits[n] is not None:
+            reached = reached & (gap <= limits[n])
+        return F.when(reached, found).alias(n)
 
-    found = seen.select(*keys, "_left.*", *[chosen(n) for n in names])
-    # a left row without a time meets nothing
-    timeless = lefts.filter("_us is null").select(
-        *keys,
-        "_left.*",
-        *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in names],
+    return seen.select(
+        *keys, F.col("_us").alias("us"), F.col("_left.row").alias("row"), *[chosen(n) for n in names]
     )
-    return found.unionByName(timeless)

@@ -65,34 +65,32 @@ def organ_order(organ: Column) -> Column:
     return F.array_position(F.array(*[F.lit(o) for o in ORGAN_NAMES]), organ).cast("int")
 
 
-def sofa_lines(organs: DataFrame) -> DataFrame:
-    """Rows of the score table: organs that score above 0, with name and criterion."""
-    return organs.filter("score > 0").select(
-        "account_id",
-        organ_order(F.col("organ")).alias("ord"),
-        "organ",
-        _lookup(ORGAN_NAMES, F.col("organ")).alias("organ_name"),
-        "score",
-        "value",
-        F.coalesce(_lookup(SOFA_CRITERIA, F.col("organ"), F.col("score")), F.lit("")).alias(
-            "criterion"
+def sofa_lines() -> Column:
+    """Rows of the score table out of the organs array: those above 0, in report order."""
+    shown = F.transform(
+        F.filter("organs", lambda o: o["score"] > 0),
+        lambda o: F.struct(
+            organ_order(o["organ"]).alias("ord"),
+            _lookup(ORGAN_NAMES, o["organ"]).alias("organ_name"),
+            o["score"].alias("score"),
+            o["value"].alias("value"),
+            F.coalesce(_lookup(SOFA_CRITERIA, o["organ"], o["score"]), F.lit("")).alias(
+                "criterion"
+            ),
         ),
     )
+    return F.array_sort(shown)
 
 
-def sofa_text(scores: DataFrame, organs: DataFrame) -> DataFrame:
-    """The SOFA table of each account as Markdown; at most one line per organ is gathered."""
-    lines = sofa_lines(organs)
-    row = F.concat_ws(
-        " | ", "organ_name", F.col("score").cast("string"), "value", "criterion"
-    )
-    table = lines.groupBy("account_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("ord", F.concat(F.lit("| "), row, F.lit(" |")).alias("line"))
-            )
-        )["line"].alias("rows")
-    )
+def sofa_text(scores: DataFrame) -> DataFrame:
+    """The SOFA table of each account as Markdown."""
+    rows = F.transform(
+        sofa_lines(),
+        lambda x: F.concat(
+            F.lit("| "), x["organ_name"], F.lit(" | "), x["score"].cast("string"), F.lit(" | "),
+            x["value"], F.lit(" | "), x["criterion"], F.lit(" |"),
+        ),
+    )
     total = F.concat(
         F.lit("| **TOTAL** | **"), F.col("total_score").cast("string"), F.lit("** | "),
         F.col("organs_scored").cast("string"), F.lit(" organs scored | |"),
@@ -101,9 +99,7 @@ def sofa_text(scores: DataFrame, organs: DataFrame) -> DataFrame:
         F.lit("24-hour scoring window ("), window_label(F.col("window_mode")), F.lit("): "),
         "window_start", F.lit(" to "), "window_end",
     )
-    drugs = F.when(
-        F.col("vasopressors") != "", F.concat(F.lit("Vasopressors administered: "), "vasopressors")
-    )
+    drugs = F.concat(F.lit("Vasopressors administered: "), "vasopressors")
     text = F.array_join(
         F.concat(
             F.array(F.lit("SOFA SCORES (calculated from raw clinical data):")),
@@ -113,13 +109,13 @@ def sofa_text(scores: DataFrame, organs: DataFrame) -> DataFrame:
                 F.lit("| Organ System | Score | Value | Criteria |"),
                 F.lit("|---|---|---|---|"),
             ),
-            F.coalesce("rows", F.array().cast("array<string>")),
+            rows,
             F.array(total, F.lit("")),
             F.array_compact(F.array(drugs)),
         ),
         "\n",
     )
-    return scores.join(table, "account_id", "left").select(
+    return scores.select(
         "account_id",
         F.when(F.coalesce(F.col("total_score") >= SOFA_GATE, F.lit(False)), text)
         .otherwise(NO_SOFA)
@@ -210,60 +206,51 @@ def pf_text(series: DataFrame, summary: DataFrame, profile: Profile, **options)
 
 # --- report rows ------------------------------------------------------------------------------
 
-REPORT = ("account_id", "section", "ord", "c1", "c2", "c3", "c4", "c5", "c6", "highlight")
+REPORT = (
+    "section string, ord int, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string, "
+    "highlight boolean"
+)
+
 
+def _row(section: str, order: Column | int, *cells: Column | str, highlight: Column | bool = False):
+    """One report row as a struct; cells that are not given are empty."""
+    filled_cells = [*cells, *[""] * (6 - len(cells))]
 
-def _row(rows: DataFrame, section: str, order: Column, *cells: Column, highlight=None) -> DataFrame:
-    filler = [F.lit("")] * (6 - len(cells))
-    return rows.select(
-        "account_id",
+    def column(x) -> Column:
+        return x if isinstance(x, Column) else F.lit(x)
+
+    return F.struct(
         F.lit(section).alias("section"),
-        order.cast("int").alias("ord"),
-        *[c.cast("string").alias(f"c{i + 1}") for i, c in enumerate([*cells, *filler])],
-        (F.lit(False) if highlight is None else highlight).alias("highlight"),
+        column(order).cast("int").alias("ord"),
+        *[column(x).cast("string").alias(f"c{i + 1}") for i, x in enumerate(filled_cells)],
+        column(highlight).alias("highlight"),
     )
 
 
-def sofa_report(cases: DataFrame, scores: DataFrame, organs: DataFrame) -> DataFrame:
+def sofa_report(cases: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows of the SOFA appendix, or the note that says why there is none."""
-    all_cases = cases.select("account_id").join(
-        scores.withColumn("_scored", F.lit(True)), "account_id", "left"
-    )
+    joined = cases.select("account_id").join(scores, "account_id", "left")
     enough = F.coalesce(F.col("total_score") >= SOFA_GATE, F.lit(False))
-    note = F.when(
-        F.col("_scored").isNull(),
-        F.lit(SOFA_NOTE_NO_DATA),
-    ).otherwise(
-        F.concat(
-            F.lit("Not included — total SOFA score is "), F.col("total_score").cast("string"),
-            F.lit(" (below threshold of 2). "), F.col("organs_scored").cast("string"),
-            F.lit(" organ system(s) scored."),
-        )
+    low = F.concat(
+        F.lit("Not included — total SOFA score is "), F.col("total_score").cast("string"),
+        F.lit(" (below threshold of 2). "), F.col("organs_scored").cast("string"),
+        F.lit(" organ system(s) scored."),
     )
-    notes = _row(all_cases.filter(~enough), "status_note", F.lit(0), F.lit("SOFA Table: "), note)
-    shown = all_cases.filter(enough)
-    window = _row(
-        shown,
-        "window",
-        F.lit(0),
-        F.concat(F.lit("Scoring Window ("), window_label(F.col("window_mode")), F.lit("): ")),
-        F.concat("window_start", F.lit(" to "), "window_end"),
+    note = F.when(F.col("total_score").isNull(), SOFA_NOTE_NO_DATA).otherwise(low)
+    label = F.concat(F.lit("Scoring Window ("), window_label(F.col("window_mode")), F.lit("): "))
+    span = F.concat("window_start", F.lit(" to "), "window_end")
+    scored = F.concat(F.col("organs_scored").cast("string"), F.lit(" organs scored"))
+    body = F.transform(
+        sofa_lines(),
+        lambda x: _row("organ", x["ord"], x["organ_name"], x["score"], x["value"], x["criterion"]),
     )
-    body = _row(
-        sofa_lines(organs).join(shown.select("account_id"), "account_id", "left_semi"),
-        "organ", F.col("ord"), F.col("organ_name"), F.col("score"), F.col("value"),
-        F.col("criterion"),
-    )
-    total = _row(
-        shown,
-        "total",
-        F.lit(99),
-        F.lit("TOTAL"),
-        F.col("total_score"),
-        F.concat(F.col("organs_scored").cast("string"), F.lit(" organs scored")),
-        highlight=F.lit(True),
+    table = F.concat(
+        F.array(_row("window", 0, label, span)),
+        body,
+        F.array(_row("total", 99, "TOTAL", F.col("total_score"), scored, highlight=True)),
     )
-    return notes.unionByName(window).unionByName(body).unionByName(total)
+    rows = F.when(enough, table).otherwise(F.array(_row("status_note", 0, "SOFA Table: ", note)))
+    return joined.select("account_id", F.inline(rows))
 
 
 def pf_report(
@@ -285,27 +272,26 @@ def pf_report(
             F.lit("). No ARF-qualifying P/F values."),
         )
     )
-    notes = _row(
-        all_cases.filter(~enough), "status_note", F.lit(0), F.lit("P/F Ratio Table: "), note
-    )
     shown = all_cases.filter(enough)
     scope = F.concat(
         F.lit("Full encounter ("), count, F.lit(" ABG measurement(s)). Window: "),
         "window_start", F.lit(" to "), "window_end", F.lit("."),
     )
-    window = _row(shown, "window", F.lit(0), F.lit("Data Scope: "), scope)
+    head = F.when(enough, _row("window", 0, "Data Scope: ", scope)).otherwise(
+        _row("status_note", 0, "P/F Ratio Table: ", note)
+    )
+    heads = all_cases.select("account_id", F.inline(F.array(head)))
     cells = pf_cells(series).join(
         shown.select("account_id", worst.cast("string").alias("_worst")), "account_id"
     )
     names = ("timestamp", "pao2", "fio2", "peep", "ratio", "classification")
     body = _row(
-        cells,
         "measurement",
         F.col("position"),
         *[F.col(n) for n in names],
         highlight=F.col("ratio") == F.col("_worst"),
     )
-    return notes.unionByName(window).unionByName(body)
+    return heads.unionByName(cells.select("account_id", F.inline(F.array(body))))
 
 
 # --- assessment -------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.times import DAY, HOUR, SECOND, micros, stamp
 from caseflow.functions.values import (
+    any_of,
     band,
     berlin,
     categories,
@@ -15,7 +16,7 @@ from caseflow.functions.values import (
     oxygen_fraction,
     safe_double,
 )
-from caseflow.operators.asof import Series, nearest
+from caseflow.operators.asof import nearest_tagged, reading
 from caseflow.operators.slices import SLICE, after, ordinal, slice_of
 from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS, Profile
 
@@ -42,16 +43,13 @@ def readings(
     """
 
     def side(rows: DataFrame, name: str, value: str, kind: str) -> DataFrame:
-        found = categories(F.col(name), profile.matchers, kind, whole_word)
-        if exclusive:
-            first = F.slice(F.filter(found, lambda c: c.isin(*exclusive)), 1, 1)
-            found = F.concat(F.filter(found, lambda c: ~c.isin(*exclusive)), first)
+        found = categories(F.col(name), profile.matchers, kind, whole_word, exclusive)
         return rows.select(
             "account_id",
             micros(F.col("event_ts")).alias("us"),
             F.explode(found).alias("category"),
             safe_double(F.col(value)).alias("value"),
-        ).filter("us is not null and value is not null")
+        ).filter("category is not null and us is not null and value is not null")
 
     return side(labs, "lab_name", "lab_value", "lab").unionByName(
         side(vitals, "vital_name", "vital_value", "vital")
@@ -64,38 +62,35 @@ def oxygen_ratios(
     peep_tolerance_s: int | None = None,
     width_us: int = HOUR,
 ) -> DataFrame:
-    """PaO2 readings with the nearest positive FiO2 (and PEEP); those without one are dropped."""
-    reading = values.select("account_id", F.timestamp_micros("us").alias("ts"), "category", "value")
-    series = {
-        "fio2": Series(
-            reading.filter("category = 'fio2' and value > 0"),
-            "ts",
-            ["value"],
-            ["value"],
-            None if tolerance_s is None else tolerance_s * SECOND,
-        )
-    }
+    """PaO2 readings with the nearest positive FiO2 (and PEEP); those without one are dropped.
+
+    One pass over the readings: a row is marked as what it is and all are paired in one shuffle.
+    """
+    limits = {"fio2": None if tolerance_s is None else tolerance_s * SECOND}
+    marks = {"fio2": (F.col("category") == "fio2") & (F.col("value") > 0)}
     if peep_tolerance_s is not None:
-        series["peep"] = Series(
-            reading.filter("category = 'peep'"),
-            "ts",
-            ["value"],
-            ["value"],
-            peep_tolerance_s * SECOND,
-        )
-    pao2 = reading.filter("category = 'pao2'").select(
-        "account_id", "ts", F.col("value").alias("pao2")
+        limits["peep"] = peep_tolerance_s * SECOND
+        marks["peep"] = F.col("category") == "peep"
+    is_left = F.col("category") == "pao2"
+    left = F.struct("us", F.struct(F.col("value").alias("pao2")).alias("row"))
+    tagged = values.filter(is_left | any_of(list(marks.values()))).select(
+        "account_id",
+        F.when(is_left, left).alias("_left"),
+        *[
+            F.when(mark, reading(F.col("us"), ["value"], ["value"])).alias(f"_r_{name}")
+            for name, mark in marks.items()
+        ],
     )
-    paired = nearest(pao2, ["account_id"], "ts", series, width_us).filter("fio2 is not null")
+    paired = nearest_tagged(tagged, ["account_id"], limits, width_us).filter("fio2 is not null")
     fraction = oxygen_fraction(F.col("fio2.value"))
     return paired.select(
         "account_id",
-        micros(F.col("ts")).alias("us"),
-        "pao2",
+        "us",
+        F.col("row.pao2").alias("pao2"),
         F.col("fio2.value").alias("fio2_raw"),
         fraction.alias("fio2_normalized"),
-        *([F.col("peep.value").alias("peep")] if "peep" in series else []),
-        F.try_divide("pao2", fraction).alias("raw_ratio"),
+        *([F.col("peep.value").alias("peep")] if "peep" in limits else []),
+        F.try_divide("row.pao2", fraction).alias("raw_ratio"),
     )
 
 
@@ -180,27 +175,45 @@ def organ_events(
     """Everything that scores: ``(account_id, us, organ, score, value, display, drug, dose)``."""
     values = readings(labs, vitals, profile, whole_word)
     bands = profile.bands
+    v, category = F.col("value"), F.col("category")
+    gcs = F.bround(v, 0).cast("int")
 
-    def scored(rows: DataFrame, organ: str, value: Column, label: str, shown: Column | None = None):
-        text = F.concat(F.lit(label), (value if shown is None else shown).cast("string"))
-        return rows.select(
-            "account_id",
-            "us",
-            F.lit(organ).alias("organ"),
-            band(value, bands[organ]).alias("score"),
-            value.cast("double").alias("value"),
-            text.alias("display"),
-            F.lit(None).cast("string").alias("drug"),
-            F.lit(None).cast("double").alias("dose"),
-        )
-
-    def of(category: str) -> DataFrame:
-        return values.filter(F.col("category") == category)
-
-    v = F.col("value")
-    ratios = oxygen_ratios(values, profile.pair_tolerance_s, None, width_us)
+    # one pass over the readings scores all but the oxygen ratio
+    organ = score = display = None
+    for name, (of, number, label) in {
+        "platelets": ("coagulation", v, ""),
+        "bilirubin": ("liver", v, ""),
+        "creatinine": ("renal", v, ""),
+        "map": ("cardiovascular", v, "MAP = "),
+        "gcs": ("cns", gcs, "GCS = "),
+    }.items():
+        is_it, start = category == name, organ is None
+        points = band(number, bands[of])
+        text = F.concat(F.lit(label), number.cast("string"))
+        organ = F.when(is_it, of) if start else organ.when(is_it, of)
+        score = F.when(is_it, points) if start else score.when(is_it, points)
+        display = F.when(is_it, text) if start else display.when(is_it, text)
+    no_drug = [F.lit(None).cast("string").alias("drug"), F.lit(None).cast("double").alias("dose")]
+    plain = values.filter(category.isin("platelets", "bilirubin", "creatinine", "map", "gcs"))
+    scored = plain.select(
+        "account_id",
+        "us",
+        organ.alias("organ"),
+        score.alias("score"),
+        F.when(category == "gcs", gcs.cast("double")).otherwise(v).alias("value"),
+        display.alias("display"),
+        *no_drug,
+    )
     ratio = F.col("raw_ratio")
-    gcs = F.bround(v, 0).cast("int")
+    ratios = oxygen_ratios(values, profile.pair_tolerance_s, None, width_us).select(
+        "account_id",
+        "us",
+        F.lit("respiratory").alias("organ"),
+        band(ratio, bands["respiratory"]).alias("score"),
+        ratio.alias("value"),
+        F.concat(F.lit("PaO2/FiO2 = "), exact_round(ratio, 1).cast("string")).alias("display"),
+        *no_drug,
+    )
     doses = meds.select(
         "account_id",
         micros(F.col("event_ts")).alias("us"),
@@ -217,19 +230,7 @@ def organ_events(
         "drug",
         "dose",
     )
-    parts = [
-        scored(of("platelets"), "coagulation", v, ""),
-        scored(of("bilirubin"), "liver", v, ""),
-        scored(of("creatinine"), "renal", v, ""),
-        scored(ratios, "respiratory", ratio, "PaO2/FiO2 = ", exact_round(ratio, 1)),
-        scored(of("map"), "cardiovascular", v, "MAP = "),
-        scored(of("gcs"), "cns", gcs, "GCS = "),
-        drugs,
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return scored.unionByName(ratios).unionByName(drugs)
 
 
 def best_windows(
@@ -246,24 +247,30 @@ def best_windows(
     pairs = [(organ, level) for organ in ORGANS for level in LEVELS]
     name = {(o, s): f"_n_{o}_{s}" for o, s in pairs}
     organ = F.when(F.col("organ") == "vasopressor", "cardiovascular").otherwise(F.col("organ"))
-    marked = events.select("account_id", "us", organ.alias("o"), "score").select(
+    sliced = events.select(
         "account_id",
-        "us",
         slice_of(F.col("us"), width_us).alias(SLICE),
-        *[
-            F.when((F.col("o") == o) & (F.col("score") >= s), F.col("us")).alias(name[o, s])
-            for o, s in pairs
-        ],
-    )
+        "us",
+        organ.alias("o"),
+        "score",
+    ).repartition("account_id", SLICE)
     columns = list(name.values())
-    # all values of one instant become one row before the shuffle
-    instants = marked.groupBy("account_id", SLICE, "us").agg(*[F.min(c).alias(c) for c in columns])
-    per_slice = marked.groupBy("account_id", SLICE).agg(*[F.min(c).alias(c) for c in columns])
-    later = per_slice.select(
-        "account_id",
-        SLICE,
-        F.lit(None).cast("long").alias("us"),
-        *[F.min(c).over(after(["account_id"])).alias(c) for c in columns],
+    first = [
+        F.min(F.when((F.col("o") == o) & (F.col("score") >= s), F.col("us"))).alias(name[o, s])
+        for o, s in pairs
+    ]
+    # both aggregates read the one shuffle above
+    instants = sliced.groupBy("account_id", SLICE, "us").agg(*first)
+    later = (
+        sliced.groupBy("account_id", SLICE)
+        .agg(*first)
+        .select(
+            "account_id",
+            SLICE,
+            F.lit(None).cast("long").alias("us"),
+            *[F.min(c).over(after(["account_id"])).alias(c) for c in columns],
+        )
+        .repartition("account_id", SLICE)
     )
     # the carried row has no time of its own and sorts before all others, as the latest
     ahead = (
@@ -329,82 +336,105 @@ def score_windows(
 
 
 def in_windows(events: DataFrame, windows: DataFrame, width_us: int = HOUR) -> DataFrame:
-    """Events inside their account's window, both ends included.
+    """Each window with the events inside it, both ends included; a window without any stays.
 
     Joined by account and slice: each window is repeated for the few slices it touches, so the
     events of one account spread over as many tasks as it has slices.
     """
-    touched = windows.withColumn(
-        SLICE,
-        F.explode(
-            F.sequence(
-                slice_of(F.col("start_us"), width_us),
-                slice_of(F.col("end_us"), width_us),
-                F.lit(width_us),
-            )
-        ),
+    slices = F.sequence(
+        slice_of(F.col("start_us"), width_us), slice_of(F.col("end_us"), width_us), F.lit(width_us)
     )
+    touched = windows.withColumn(SLICE, F.explode(slices))
     sliced = events.withColumn(SLICE, slice_of(F.col("us"), width_us))
-    return (
-        sliced.join(touched, ["account_id", SLICE])
-        .filter("us between start_us and end_us")
-        .drop(SLICE)
+    on = (
+        (touched["account_id"] == sliced["account_id"])
+        & (touched[SLICE] == sliced[SLICE])
+        & F.col("us").between(F.col("start_us"), F.col("end_us"))
     )
+    return touched.join(sliced, on, "left").select(
+        touched["account_id"],
+        "start_us",
+        "end_us",
+        "window_mode",
+        "us", "organ", "score", "value", "display", "drug", "dose",
+    )
+
 
+WINDOW = ("account_id", "start_us", "end_us", "window_mode")
 
-def organ_scores(inside: DataFrame) -> DataFrame:
-    """Worst score per account and organ with its value and time.
+
+def window_scores(inside: DataFrame) -> DataFrame:
+    """One row per window: its organs as an array, their total, the drugs given.
 
     Organs other than the cardiovascular are present even at 0. Blood pressure must score above 0
-    to count, and a drug must beat it; among drugs of equal points the first one given counts.
+    to count, and a drug must beat it; among drugs of equal points the first one given counts, at
+    its highest dose. Events fall together per organ and drug before the shuffle; at most twelve
+    rows per account are then gathered.
     """
-    earliest = F.struct("score", -F.col("us"), "value")
-    plain = (
-        inside.filter("organ not in ('cardiovascular', 'vasopressor')")
-        .groupBy("account_id", "organ")
-        .agg(
-            F.max("score").alias("score"),
-            F.max_by("display", earliest).alias("value"),
-            F.max_by("us", earliest).alias("us"),
-        )
+    # highest score, then earliest time; a dose beats no dose, of equal doses the first
+    is_drug = F.col("organ") == "vasopressor"
+    order = F.struct(
+        F.when(is_drug, F.col("dose").isNotNull()).alias("known"),
+        F.when(is_drug, F.col("dose")).otherwise(F.col("score")).alias("most"),
+        (-F.col("us")).alias("early"),
+        F.when(~is_drug, F.col("value")).alias("value"),
     )
-    pressure = (
-        inside.filter("organ = 'cardiovascular' and score > 0")
-        .groupBy("account_id")
-        .agg(
-            F.max("score").alias("score"),
-            F.max_by("display", earliest).alias("value"),
-            F.max_by("us", earliest).alias("us"),
-        )
-        .select("account_id", "score", F.lit(1 << 62).alias("beats"), "value", "us")
+    groups = inside.groupBy(*WINDOW, "organ", "drug").agg(
+        F.max("score").alias("score"),
+        F.min("us").alias("first_us"),
+        F.max_by(F.struct(F.col("display").alias("value"), "us"), order).alias("shown"),
     )
-    # a dose beats no dose; of equal doses the first
-    best_dose = F.struct(F.col("dose").isNotNull(), F.col("dose"), -F.col("us"))
-    per_drug = (
-        inside.filter("organ = 'vasopressor'")
-        .groupBy("account_id", "drug")
-        .agg(
-            F.max("score").alias("score"),
-            F.min("us").alias("first_us"),
-            F.max_by("display", best_dose).alias("value"),
-            F.max_by("us", best_dose).alias("us"),
-        )
+    entry = F.struct(
+        "organ", "score", F.col("shown.value").alias("value"), F.col("shown.us").alias("us"),
+        (-F.col("first_us")).alias("beats"), "drug",
+    )
+    gathered = groups.groupBy(*WINDOW).agg(
+        F.array_sort(F.collect_list(F.when(F.col("organ").isNotNull(), entry))).alias("_all")
     )
-    drugs = per_drug.select(
-        "account_id", "score", (-F.col("first_us")).alias("beats"), "value", "us"
+    cardiac = F.filter(
+        "_all",
+        lambda e: (e["organ"] == "vasopressor")
+        | ((e["organ"] == "cardiovascular") & (e["score"] > 0)),
     )
-    best = F.struct("score", "beats", "value")
-    heart = (
-        pressure.unionByName(drugs)
-        .groupBy("account_id")
-        .agg(
-            F.max("score").alias("score"),
-            F.max_by("value", best).alias("value"),
-            F.max_by("us", best).alias("us"),
-        )
-        .select("account_id", F.lit("cardiovascular").alias("organ"), "score", "value", "us")
+    # pressure earns 1 and any drug at least 2, so only drugs can tie
+    ranked = F.transform(
+        cardiac,
+        lambda e: F.struct(e["score"].alias("score"), e["beats"].alias("beats"),
+                           e["value"].alias("value"), e["us"].alias("us")),
+    )
+    top = F.array_max(ranked)
+    heart = F.when(
+        F.size(cardiac) > 0,
+        F.array(
+            F.struct(
+                F.lit("cardiovascular").alias("organ"),
+                top["score"].alias("score"),
+                top["value"].alias("value"),
+                top["us"].alias("us"),
+            )
+        ),
+    )
+    plain = F.transform(
+        F.filter("_all", lambda e: ~e["organ"].isin("cardiovascular", "vasopressor")),
+        lambda e: F.struct(e["organ"].alias("organ"), e["score"].alias("score"),
+                           e["value"].alias("value"), e["us"].alias("us")),
+    )
+    organs = F.concat(plain, F.coalesce(heart, F.slice(plain, 1, 0)))
+    drugs = F.transform(F.filter("_all", lambda e: e["drug"].isNotNull()), lambda e: e["drug"])
+    rows = gathered.select(
+        *WINDOW, organs.alias("organs"), F.array_join(F.array_sort(drugs), ", ").alias("drugs")
+    )
+    total = F.aggregate("organs", F.lit(0), lambda t, o: t + o["score"])
+    return rows.select(
+        "account_id",
+        total.alias("total_score"),
+        F.size("organs").alias("organs_scored"),
+        "organs",
+        F.nullif("drugs", F.lit("")).alias("vasopressors"),
+        stamp(F.col("start_us")).alias("window_start"),
+        stamp(F.col("end_us")).alias("window_end"),
+        "window_mode",
     )
-    return plain.unionByName(heart)
 
 
 def sofa(
@@ -412,52 +442,49 @@ def sofa(
     anchors: DataFrame | None = None,
     length_us: int = DAY,
     width_us: int = HOUR,
-) -> tuple[DataFrame, DataFrame]:
-    """Two tables: one row per account, and one per account and organ."""
+) -> DataFrame:
+    """One row per account with something to score: totals, organs, drugs and the window.
+
+    ``events`` (the table of ``organ_events``) is read twice; stage it if it is dear to compute.
+    """
     windows = score_windows(events, anchors, length_us, width_us)
-    inside = in_windows(events, windows, width_us)
-    organs = organ_scores(inside)
-    totals = organs.groupBy("account_id").agg(
-        F.sum("score").cast("int").alias("total_score"),
-        F.count("*").cast("int").alias("organs_scored"),
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "organ",
-                        F.struct(
-                            "score", "value", stamp(F.col("us")).alias("timestamp")
-                        ).alias("detail"),
-                    )
-                )
-            )
-        ).alias("organ_scores"),
-    )
-    given = (
-        inside.filter("organ = 'vasopressor'")
-        .groupBy("account_id")
-        .agg(F.concat_ws(", ", F.array_sort(F.collect_set("drug"))).alias("vasopressors"))
-    )
-    rows = (
-        windows.join(totals, "account_id", "left")
-        .join(given, "account_id", "left")
-        .select(
-            "account_id",
-            F.coalesce("total_score", F.lit(0)).alias("total_score"),
-            F.coalesce("organs_scored", F.lit(0)).alias("organs_scored"),
-            "organ_scores",
-            "vasopressors",
-            stamp(F.col("start_us")).alias("window_start"),
-            stamp(F.col("end_us")).alias("window_end"),
-            "window_mode",
-        )
+    return window_scores(in_windows(events, windows, width_us))
+
+
+def organ_rows(scores: DataFrame) -> DataFrame:
+    """One row per account and organ."""
+    return scores.select("account_id", F.explode("organs").alias("o")).select(
+        "account_id", "o.organ", "o.score", "o.value", stamp(F.col("o.us")).alias("timestamp")
     )
-    return rows, organs
 
 
-def encounter_worst(events: DataFrame) -> DataFrame:
-    """Organ scores over the whole encounter, without a window."""
-    return organ_scores(events)
+def encounter_scores(events: DataFrame) -> DataFrame:
+    """Scores over the whole encounter, without a window."""
+    everything = events.select(
+        "account_id",
+        F.lit(None).cast("long").alias("start_us"),
+        F.lit(None).cast("long").alias("end_us"),
+        F.lit("encounter").alias("window_mode"),
+        "us", "organ", "score", "value", "display", "drug", "dose",
+    )
+    return window_scores(everything)
+
+
+def organ_map() -> Column:
+    """Organs by name, as they are stored with the scores."""
+    return F.map_from_entries(
+        F.transform(
+            "organs",
+            lambda o: F.struct(
+                o["organ"].alias("key"),
+                F.struct(
+                    o["score"].alias("score"),
+                    o["value"].alias("value"),
+                    stamp(o["us"]).alias("timestamp"),
+                ).alias("value"),
+            ),
+        )
+    )
 
 
 def score_rows(cases: DataFrame, scores: DataFrame, as_of: Column) -> DataFrame:
@@ -466,7 +493,7 @@ def score_rows(cases: DataFrame, scores: DataFrame, as_of: Column) -> DataFrame:
         "account_id",
         F.coalesce("total_score", F.lit(0)).alias("total_score"),
         F.coalesce("organs_scored", F.lit(0)).alias("organs_scored"),
-        F.coalesce(F.to_json("organ_scores"), F.lit("{}")).alias("organ_scores"),
+        F.coalesce(F.to_json(organ_map()), F.lit("{}")).alias("organ_scores"),
         "vasopressors",
         "window_start",
         "window_end",

@@ -68,35 +68,30 @@ def running_totals(
 
     ``order`` must begin with ``position`` (nulls first) and should be total.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(weights)
     sliced = rows.withColumn(SLICE, slice_of(position, width)).withColumns(
-        {f"_w_{name}": weight.cast("long") for name, weight in weights.items()}
+        {f"_w_{n}": w.cast("long") for n, w in weights.items()}
     )
     per_slice = sliced.groupBy(*keys, SLICE).agg(
-        *[F.sum(f"_w_{name}").alias(f"_s_{name}") for name in weights]
-    )
-    offsets = per_slice.select(
-        *keys,
-        SLICE,
-        *[
-            F.coalesce(F.sum(f"_s_{name}").over(before(keys)), F.lit(0)).alias(f"_o_{name}")
-            for name in weights
-        ],
+        *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names]
     )
+    # what lies before a slice enters it as one row that sorts first
+    opening = per_slice.select(
+        *keys, SLICE, *[F.sum(f"_w_{n}").over(before(keys)).alias(f"_w_{n}") for n in names]
+    ).withColumn("_real", F.lit(0))
     inside = (
         Window.partitionBy(*keys, SLICE)
-        .orderBy(*order)
+        .orderBy("_real", *order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = sliced.withColumns(
-        {
-            f"_l_{name}": F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0))
-            for name in weights
-        }
+    summed = (
+        sliced.withColumn("_real", F.lit(1))
+        .unionByName(opening, allowMissingColumns=True)
+        .withColumns({f"_b_{n}": F.sum(f"_w_{n}").over(inside) for n in names})
+        .filter("_real = 1")
     )
-    joined = same_key(local, offsets, [*keys, SLICE], "inner")
-    return joined.select(
-        *rows.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in weights]
+    return summed.select(
+        *rows.columns, *[F.coalesce(F.col(f"_b_{n}"), F.lit(0)).alias(n) for n in names]
     )
 
 

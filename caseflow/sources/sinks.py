@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseflow.operators.slices import same_key
+from caseflow.session import checkpoint_dir
 
 
 def create_if_missing(
@@ -72,6 +75,18 @@ def stamped(rows: DataFrame, column: str = "insert_tsp") -> DataFrame:
     return rows.withColumn(column, F.current_timestamp())
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows written to the cluster's shared checkpoint folder and read back.
+
+    For a table several later steps read: it is computed once, its lineage ends here, and the loss
+    of an executor costs a re-read. Parquet, so later steps read the columns they need.
+    """
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def write_texts(rows: DataFrame, path: str, key: str, text: str) -> None:
     """One folder of text per key value, for letters to hand out."""
     rows.select(key, text).write.mode("overwrite").partitionBy(key).text(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.functions.times import micros, stamp
 from caseflow.operators import crosscheck, report, scores
 from caseflow.operators.asof import Series, nearest
+from caseflow.sources.sinks import staged
 from caseflow.profiles import ORGAN_NAMES, RESPIRATORY_FAILURE, SEPSIS, SOFA_CRITERIA
 from standins import clinical as c
 from standins.registry import Tables, rounded, query
@@ -99,6 +99,10 @@ def pf(t: Tables):
     return scores.pf_series(c.reading_labs(t), c.reading_vitals(t))
 
 
+def pf_staged(t: Tables):
+    return staged(pf(t))
+
+
 @query("pf_series", f"WITH {SQL_PF} SELECT * FROM series")
 def pf_series(t: Tables):
     return pf(t)
@@ -145,7 +149,7 @@ SELECT account_id, 0 AS part_no,
 FROM pf JOIN lines USING (account_id)""",
 )
 def pf_table_text(t: Tables):
-    series = pf(t)
+    series = pf_staged(t)
     return report.pf_text(series, scores.pf_summary(series), RESPIRATORY_FAILURE)
 
 
@@ -176,7 +180,7 @@ FROM cells JOIN (SELECT account_id, worst_ratio FROM pf WHERE n_qualifying > 0)
   USING (account_id)""",
 )
 def pf_report_rows(t: Tables):
-    series = pf(t)
+    series = pf_staged(t)
     return report.pf_report(cases(t), series, scores.pf_summary(series), RESPIRATORY_FAILURE)
 
 
@@ -319,7 +323,7 @@ SOFA_COLUMNS = (
 
 
 def sofa_events(t: Tables):
-    return scores.organ_events(c.reading_labs(t), c.reading_vitals(t), c.meds(t))
+    return staged(scores.organ_events(c.reading_labs(t), c.reading_vitals(t), c.meds(t)))
 
 
 def anchors(t: Tables):
@@ -337,19 +341,17 @@ def anchors(t: Tables):
 
 @query("sofa_sliding", f"WITH {SQL_SLIDING} SELECT {', '.join(SOFA_COLUMNS)} FROM sofa")
 def sofa_sliding(t: Tables):
-    return scores.sofa(sofa_events(t))[0].select(*SOFA_COLUMNS)
+    return scores.sofa(sofa_events(t)).select(*SOFA_COLUMNS)
 
 
 @query("sofa_organs", f"WITH {SQL_SLIDING} SELECT * FROM organs")
 def sofa_organs(t: Tables):
-    return scores.sofa(sofa_events(t))[1].select(
-        "account_id", "organ", "score", "value", stamp(F.col("us")).alias("timestamp")
-    )
+    return scores.organ_rows(scores.sofa(sofa_events(t)))
 
 
 @query("sofa_anchored", f"WITH {SQL_ANCHORED} SELECT {', '.join(SOFA_COLUMNS)} FROM sofa")
 def sofa_anchored(t: Tables):
-    return scores.sofa(sofa_events(t), anchors(t))[0].select(*SOFA_COLUMNS)
+    return scores.sofa(sofa_events(t), anchors(t)).select(*SOFA_COLUMNS)
 
 
 @query(
@@ -362,9 +364,8 @@ windows AS (
 SELECT * FROM organs""",
 )
 def encounter_worst(t: Tables):
-    return scores.encounter_worst(sofa_events(t)).select(
-        "account_id", "organ", "score", "value", stamp(F.col("us")).alias("timestamp")
-    )
+    events = scores.organ_events(c.reading_labs(t), c.reading_vitals(t), c.meds(t))
+    return scores.organ_rows(scores.encounter_scores(events))
 
 
 def _values(table: dict) -> str:
@@ -402,7 +403,7 @@ SELECT account_id, CASE WHEN total_score < 2 THEN '{report.NO_SOFA}' ELSE
 FROM sofa LEFT JOIN lines USING (account_id)""",
 )
 def score_table_text(t: Tables):
-    return report.sofa_text(*scores.sofa(sofa_events(t), anchors(t)))
+    return report.sofa_text(scores.sofa(sofa_events(t), anchors(t)))
 
 
 @query(
@@ -427,7 +428,7 @@ SELECT account_id, 'total', 99, 'TOTAL', CAST(total_score AS VARCHAR),
   organs_scored || ' organs scored', '', '', '', true FROM sofa WHERE total_score >= 2""",
 )
 def report_rows(t: Tables):
-    return report.sofa_report(cases(t), *scores.sofa(sofa_events(t), anchors(t)))
+    return report.sofa_report(cases(t), scores.sofa(sofa_events(t), anchors(t)))
 
 
 # --- cross-check ------------------------------------------------------------------------------
