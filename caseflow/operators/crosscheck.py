@@ -78,7 +78,7 @@ def conflict_lines(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
     A conflict line counts if text follows its colon; the last recommendation wins.
     """
-    lines = F.transform(F.split(F.col(reply), "\n"), F.trim)
+    lines = F.transform(F.split(F.col(reply), "\n"), lambda x: F.trim(x))
     conflicts = F.filter(
         lines,
         lambda x: x.startswith("CONFLICT")

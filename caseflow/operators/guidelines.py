@@ -33,7 +33,7 @@ def best_guidelines(diagnoses: DataFrame, guidelines: DataFrame) -> DataFrame:
     coded = documents.select(
         "file_name",
         "_file_tokens",
-        F.explode(F.transform(F.split("codes", ","), F.trim)).alias("guideline_code"),
+        F.explode(F.transform(F.split("codes", ","), lambda x: F.trim(x))).alias("guideline_code"),
     ).distinct()
 
     shared = F.size(F.array_intersect("_dx_tokens", "_file_tokens"))

@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from standins import score_queries, timeline_queries  # noqa: F401
+from standins import (  # noqa: F401
+    letter_queries,
+    score_queries,
+    timeline_queries,
+    work_queries,
+)
 from standins.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
