@@ -525,6 +525,11 @@ def case_status(
     return status, reason
 
 
+def in_scope(is_condition_match: Column, scope: str) -> Column:
+    """Whether a denial is worked on: all are, or those of the condition."""
+    return F.lit(True) if scope == "all" else F.coalesce(is_condition_match, F.lit(False))
+
+
 def drg_warning(original_drg: Column, codes: tuple[str, ...]) -> Column:
     odd = (original_drg != "") & ~original_drg.isin(*codes)
     return F.when(

@@ -59,3 +59,18 @@ def text_parts(
         F.concat_ws(sep, F.col("_all._text")).alias("text"),
         *[F.col(f"_all._x_{name}").alias(name) for name in extra],
     )
+
+
+def json_parts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    record: Column,
+    position: Column,
+    tie: Sequence[Column] = (),
+    **options,
+) -> DataFrame:
+    """The records of each key as a JSON array; each part of a long one is an array by itself."""
+    parts = text_parts(rows, keys, F.to_json(record), ",", position, tie, **options)
+    return parts.withColumn("text", F.concat(F.lit("["), "text", F.lit("]"))).withColumnRenamed(
+        "text", "records"
+    )

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import crosscheck, report, scores
 from caseflow.operators.asof import Series, nearest
-from caseflow.sources.sinks import staged
 from caseflow.profiles import ORGAN_NAMES, RESPIRATORY_FAILURE, SEPSIS, SOFA_CRITERIA
+from caseflow.sources.sinks import staged
 from standins import clinical as c
 from standins.registry import Tables, rounded, query
 
@@ -530,3 +530,42 @@ FROM checked WHERE is_mismatch""",
 )
 def numeric_mismatches(t: Tables):
     return crosscheck.mismatches(checked(t)).select("account_id", "event_id", "message")
+
+
+@query(
+    "merged_conflicts",
+    f"""WITH {c.SQL_READINGS}, {SQL_CLAIMS}
+SELECT conv_id AS account_id, 'reply' AS origin, CAST(0 AS INTEGER) AS position,
+  'CONFLICT ' || turn || ': ' || role AS conflict FROM conversations
+UNION ALL
+SELECT account_id, 'numeric', NULL, 'NUMERIC MISMATCH: ' || parameter || ' - Notes claim '
+  || CAST(claimed AS VARCHAR) || ' (at ' || claim_time || '), but raw data shows '
+  || CAST(raw_value AS VARCHAR) || ' (at ' || raw_time || ')'
+FROM checked WHERE is_mismatch""",
+)
+def merged_conflicts(t: Tables):
+    reply = F.concat(F.lit("CONFLICT "), F.col("turn").cast("string"), F.lit(": "), "role")
+    stated = crosscheck.conflict_lines(
+        t.conversations.select(F.col("conv_id").alias("account_id"), reply.alias("reply"))
+    )
+    return crosscheck.merged_conflicts(stated, crosscheck.mismatches(checked(t)))
+
+
+@query(
+    "score_rows",
+    f"""WITH {SQL_ANCHORED},
+cases AS (SELECT c_custkey AS account_id FROM customer)
+SELECT account_id, coalesce(total_score, 0) AS total_score, coalesce(organs_scored, 0)
+  AS organs_scored, coalesce(body, '{{}}') AS organ_scores, vasopressors, window_start, window_end,
+  coalesce(window_mode, 'sliding_best_score') AS window_mode
+FROM cases LEFT JOIN sofa USING (account_id)
+LEFT JOIN (SELECT account_id, '{{' || string_agg('"' || organ || '":{{"score":' || score
+    || ',"value":"' || value || '","timestamp":"' || timestamp || '"}}', ','
+    ORDER BY organ = 'cardiovascular', organ) || '}}' AS body FROM organs GROUP BY 1)
+  USING (account_id)""",
+)
+def score_rows(t: Tables):
+    """Customers are the cases; most have nothing to score and get the empty row."""
+    cases_ = t.customer.select(F.col("c_custkey").alias("account_id"))
+    rows = scores.sofa(sofa_events(t), anchors(t))
+    return scores.score_rows(cases_, rows, F.current_timestamp()).drop("created_at")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from caseflow.functions.times import DAY, micros
 from caseflow.operators import extract, quality, report
 from caseflow.plans import case, spine, workqueue
 from caseflow.profiles import SEPSIS
-from caseflow.sources.sinks import unseen
+from caseflow.operators.textparts import json_parts
+from caseflow.session import checkpoint_dir
+from caseflow.sources.sinks import replace_slice, unseen
 from caseflow.streaming.incremental import to_score, unprocessed_letters
 from standins.registry import Tables, query
 
@@ -463,20 +468,48 @@ def status_tally(t: Tables):
 
 
 @query(
-    "rows_as_json",
-    """SELECT o_custkey AS account_id, o_orderkey,
-  '{"data_type":"' || o_orderstatus || '","name":"' || o_orderpriority || '"}' AS record
-FROM orders""",
+    "records_json",
+    """SELECT o_custkey AS account_id, 0 AS part_no, count(*) AS n_rows,
+  '[' || string_agg('{"data_type":"' || o_orderstatus || '","name":"' || o_orderpriority || '"}',
+    ',' ORDER BY o_orderdate, o_orderkey) || ']' AS records
+FROM orders GROUP BY o_custkey""",
 )
-def rows_as_json(t: Tables):
-    record = F.to_json(
-        F.struct(
-            F.col("o_orderstatus").alias("data_type"), F.col("o_orderpriority").alias("name")
-        )
-    )
-    return t.orders.select(
-        F.col("o_custkey").alias("account_id"), "o_orderkey", record.alias("record")
-    )
+def records_json(t: Tables):
+    record = F.struct(
+        F.col("o_orderstatus").alias("data_type"), F.col("o_orderpriority").alias("name")
+    )
+    orders = t.orders.withColumnRenamed("o_custkey", "account_id")
+    return json_parts(
+        orders, ["account_id"], record, micros(F.col("o_orderdate")), [F.col("o_orderkey")],
+        width=30 * DAY,
+    )
+
+
+@query(
+    "kb_replace_slice",
+    """SELECT lang AS condition_name, source || '_' || doc_id AS source_file, text AS letter_text,
+  1 AS version FROM documents WHERE lang <> 'de'
+UNION ALL
+SELECT 'de', source || '_' || doc_id, upper(lang), 2 FROM documents WHERE lang = 'de'
+  AND length(text) > 500""",
+)
+def kb_replace_slice(t: Tables):
+    """All letters are written by condition; then one condition is ingested anew."""
+    first = t.documents.select(
+        F.col("lang").alias("condition_name"),
+        F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("source_file"),
+        F.col("text").alias("letter_text"),
+        F.lit(1).alias("version"),
+    )
+    path = f"{checkpoint_dir(t.spark)}/library/{uuid.uuid4().hex}"
+    replace_slice(first, path, "condition_name")
+    again = first.filter("condition_name = 'de' and length(letter_text) > 500")
+    replace_slice(
+        again.withColumns({"letter_text": F.upper("condition_name"), "version": F.lit(2)}),
+        path,
+        "condition_name",
+    )
+    return t.spark.read.schema(first.schema).parquet(path)
 
 
 # --- quality ----------------------------------------------------------------------------------
