@@ -69,16 +69,27 @@ def running_totals(
     ``order`` must begin with ``position`` (nulls first) and should be total.
     """
     keys, names = list(keys), list(weights)
-    sliced = rows.withColumn(SLICE, slice_of(position, width)).withColumns(
-        {f"_w_{n}": w.cast("long") for n, w in weights.items()}
+    sliced = (
+        rows.withColumn(SLICE, slice_of(position, width))
+        .withColumns({f"_w_{n}": w.cast("long") for n, w in weights.items()})
+        .repartition(*keys, SLICE)
     )
+    # The counts are not used. They make this branch ask for the same columns as the one below, so
+    # that both read one shuffle, and the rows are neither computed nor sent twice.
+    same = [F.count(c).alias(f"_c_{i}") for i, c in enumerate(c for c in rows.columns if c not in keys)]
     per_slice = sliced.groupBy(*keys, SLICE).agg(
-        *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names]
+        *[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names], *same
     )
     # what lies before a slice enters it as one row that sorts first
-    opening = per_slice.select(
-        *keys, SLICE, *[F.sum(f"_w_{n}").over(before(keys)).alias(f"_w_{n}") for n in names]
-    ).withColumn("_real", F.lit(0))
+    used = F.greatest(F.lit(0), *[F.col(f"_c_{i}") for i in range(len(same))]) >= 0
+    opening = (
+        per_slice.filter(used)
+        .select(
+            *keys, SLICE, *[F.sum(f"_w_{n}").over(before(keys)).alias(f"_w_{n}") for n in names]
+        )
+        .withColumn("_real", F.lit(0))
+        .repartition(*keys, SLICE)
+    )
     inside = (
         Window.partitionBy(*keys, SLICE)
         .orderBy("_real", *order)

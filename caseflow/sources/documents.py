@@ -30,9 +30,8 @@ def new_files(files: DataFrame, loaded: DataFrame) -> DataFrame:
 def text_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Text files, one row each: ``(doc_id, source_file, text)``; the id is a hash of the name."""
     rows = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
+        spark.read.option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
     )
     return rows.select(F.sha2("source_file", 256).alias("doc_id"), "source_file", "text")

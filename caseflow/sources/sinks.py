@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from caseflow.operators.slices import same_key
 from caseflow.session import checkpoint_dir
 
 
 def create_if_missing(
-    spark: SparkSession, name: str, schema: StructType, partition_by: tuple[str, ...] = ()
+    spark: SparkSession, name: str, schema: str, partition_by: tuple[str, ...] = ()
 ) -> bool:
     """An empty table of the schema, unless one exists. Tells whether it was created."""
     if spark.catalog.tableExists(name):

@@ -6,7 +6,6 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -41,7 +40,7 @@ def parquet_tables(spark: SparkSession, folder: str, *names: str) -> list[DataFr
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
 
-def lookup(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def lookup(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A lookup sheet saved as CSV with a header; all columns are text unless a schema is given."""
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader).csv(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
 
 from caseflow.plans.workqueue import high_water_mark
 from caseflow.session import checkpoint_dir
@@ -32,7 +31,7 @@ def unprocessed_letters(letters: DataFrame, processed: DataFrame, min_chars: int
 def ingest_available(
     spark: SparkSession,
     folder: str,
-    schema: StructType,
+    schema: str,
     table: str,
     keys: tuple[str, ...],
     name: str,
