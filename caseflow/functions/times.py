@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ DAY = 24 * HOUR
 CLAIM_TIME_FORMATS = ("M/d/yyyy H:m", "M/d/yyyy", "yyyy-M-d H:m", "yyyy-M-d")
 
 
+def _shape(pattern: str) -> str:
+    """What a text of the format looks like: four digits for the year, one or two elsewhere."""
+
+    def digits(field: re.Match) -> str:
+        return r"\d{4}" if field.group() == "yyyy" else r"\d{1,2}"
+
+    return "^" + re.sub("yyyy|[MdHm]", digits, pattern) + "$"
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch as an exact long; accepts both timestamp types."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -23,8 +34,14 @@ def stamp(us: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 
 
 def parsed(text: Column, formats: tuple[str, ...] = CLAIM_TIME_FORMATS) -> Column:
-    """The first format that reads the text decides; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """The first format that reads the text decides; null when none does.
+
+    A format is tried only on text of its shape: a failed parse costs an exception per row.
+    """
+    bare = F.trim(text)
+    return F.coalesce(
+        *[F.when(bare.rlike(_shape(f)), F.try_to_timestamp(bare, F.lit(f))) for f in formats]
+    )
 
 
 def recorded(text: Column) -> Column:

@@ -337,14 +337,23 @@ def fingerprints(letters: DataFrame) -> DataFrame:
     )
 
 
-def matched_letters(samples: DataFrame, library: DataFrame, same: bool = False) -> DataFrame:
-    """For each sample how many library letters open alike, and the first of them.
+def matched_letters(samples: DataFrame, library: DataFrame) -> DataFrame:
+    """For each sample how many library letters open alike, and the first of them."""
+    return _matched(fingerprints(samples), fingerprints(library), same=False)
 
-    EXACT beats PARTIAL. The library is counted per opening first, so a group of copies is one row
-    and no pairs are formed, however large it is. ``same`` tells that samples and library are one
-    table: a letter is then no match of itself.
+
+def duplicate_letters(prints: DataFrame) -> DataFrame:
+    """For each letter how many others open alike, and the first of its group.
+
+    Takes the table of ``fingerprints``, which is read twice: stage it, it is small and the texts
+    are long.
     """
-    prints, found = fingerprints(samples), fingerprints(library)
+    return _matched(prints, prints, same=True)
+
+
+def _matched(prints: DataFrame, found: DataFrame, same: bool) -> DataFrame:
+    """EXACT beats PARTIAL. The library is counted per opening first, so a group of copies is one
+    row and no pairs are formed, however large it is."""
     both = found.groupBy("partial_key", "exact_key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_id")
     )

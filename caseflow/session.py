@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # wall-clock times in files are read as instants of the session zone, UTC, without a cast that
+    # would keep filters on them from the scan
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
 }
 
 
@@ -28,7 +31,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cpus: int | str = 8, shuffle_partitions: int = 8, extra: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -40,6 +45,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for name, value in (extra or {}).items():
+        builder = builder.config(name, value)
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

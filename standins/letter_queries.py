@@ -8,6 +8,7 @@ from caseflow.functions.text import STOP_WORDS
 from caseflow.functions.values import rating
 from caseflow.operators import crosscheck, guidelines, letters, report, similarity
 from caseflow.profiles import SEPSIS
+from caseflow.sources.sinks import staged
 from standins.registry import Tables, query
 
 # Names that the stand-in documents do mention stand for payors and subject lines.
@@ -213,8 +214,7 @@ FROM prints a JOIN prints b ON a.partial_key = b.partial_key AND a.doc_id <> b.d
 GROUP BY a.doc_id""",
 )
 def duplicate_letters(t: Tables):
-    docs = t.documents.select("doc_id", "text")
-    return letters.matched_letters(docs, docs, same=True)
+    return letters.duplicate_letters(staged(letters.fingerprints(t.documents)))
 
 
 @query(

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from caseflow.session import tune
 
@@ -19,22 +17,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-class Tables(SimpleNamespace):
-    """The tables of a folder, read when first asked for. Times become session-zone timestamps."""
+class Tables:
+    """The tables of a folder, each read when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark=spark, folder=folder)
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
         rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        times = {
-            f.name: F.col(f.name).cast("timestamp")
-            for f in rows.schema.fields
-            if f.dataType.typeName() == "timestamp_ntz"
-        }
-        rows = rows.withColumns(times) if times else rows
         setattr(self, name, rows)
         return rows
 

@@ -10,12 +10,13 @@ from caseflow.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
-    warehouse = tmp_path_factory.mktemp("warehouse")
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(warehouse)).config(
-        "spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))
+    session = local_session(
+        4,
+        4,
+        {
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
+        },
     )
-    session = local_session(4, 4)
     yield session
     session.stop()

@@ -54,12 +54,12 @@ def test_duplicates_form_no_pairs(spark):
     base = "word " * 120
     texts = [base + "one", base.upper() + "  two", "word " * 60 + "other " * 90, "word " * 60 + "third " * 90, "unique", "unique2"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r for r in letters.matched_letters(frame, frame, same=True).collect()}
+    out = {r.doc_id: r for r in letters.duplicate_letters(letters.fingerprints(frame)).collect()}
     assert {d: (r.n_exact, r.n_partial, r.match_type) for d, r in out.items()} == {
         0: (1, 2, "EXACT"), 1: (1, 2, "EXACT"), 2: (0, 3, "PARTIAL"), 3: (0, 3, "PARTIAL"),
     }
     copies = spark.createDataFrame([(i, base) for i in range(300)], "doc_id long, text string")
-    rows = letters.matched_letters(copies, copies, same=True).collect()
+    rows = letters.duplicate_letters(letters.fingerprints(copies)).collect()
     assert len(rows) == 300 and {r.n_exact for r in rows} == {299}
 
 
