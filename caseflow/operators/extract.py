@@ -278,6 +278,11 @@ def diagnosis_timing(
     )
 
 
+def timings_in_order(timed: DataFrame) -> DataFrame:
+    """For a reader of few accounts: what came up during the stay, then what was there before."""
+    return timed.orderBy("account_id", F.col("timing_category").desc(), "event_ts", "icd10_code")
+
+
 def poa_anchor(diagnosis_rows: DataFrame, predicate: str) -> DataFrame:
     """Per account the earliest billed diagnosis of the condition: ``poa_code, first_dx_ts``."""
     rows = diagnosis_rows.filter(

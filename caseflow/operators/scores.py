@@ -22,6 +22,7 @@ from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS, Profile
 
 ORGANS = ("respiratory", "coagulation", "liver", "cardiovascular", "cns", "renal")
 LEVELS = (1, 2, 3, 4)
+FULL = "full_encounter"
 SLIDING, ADMISSION, FIRST_DX = (
     "sliding_best_score",
     "poa_anchored_admission",
@@ -145,7 +146,27 @@ def pf_summary(series: DataFrame, render_below: float = 300) -> DataFrame:
         F.min_by("timestamp", order).alias("worst_timestamp"),
         F.min("timestamp").alias("window_start"),
         F.max("timestamp").alias("window_end"),
-        F.lit("full_encounter").alias("window_mode"),
+        F.lit(FULL).alias("window_mode"),
+    )
+
+
+def pf_rows(cases: DataFrame, summary: DataFrame, as_of: Column) -> DataFrame:
+    """The score table of the ratios: every case has a row, one without a pair an empty result.
+
+    The measurements stay in their own table, one row each, so no account's list is gathered.
+    """
+    joined = cases.select("account_id").join(summary, "account_id", "left")
+    counts = ("measurements_calculated", "total_score", "organs_scored", "n_qualifying")
+    return joined.select(
+        "account_id",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        "worst_ratio",
+        "worst_classification",
+        "worst_timestamp",
+        "window_start",
+        "window_end",
+        F.lit(FULL).alias("window_mode"),
+        as_of.alias("created_at"),
     )
 
 

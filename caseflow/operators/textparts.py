@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.times import HOUR
 from caseflow.operators.slices import running_totals
 
-PART_CHARS = 16_000_000
+PART_CHARS = 4_000_000
 
 
 def text_parts(

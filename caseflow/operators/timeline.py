@@ -145,6 +145,13 @@ def sectioned_timeline(
     return facts.unionByName(earlier).unionByName(events)
 
 
+def sections_in_order(sectioned: DataFrame) -> DataFrame:
+    """For a reader of few accounts: sections in order, rows without a time first."""
+    return sectioned.orderBy(
+        "account_id", "sort_order", F.col("event_ts").asc_nulls_first(), "content"
+    )
+
+
 def timeline_text(timeline: DataFrame, max_events: int = 500) -> DataFrame:
     """The first events of each account as lines ``[time] TYPE: detail (ABNORMAL)``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -52,6 +53,11 @@ def local_session(
     return spark
 
 
+@functools.cache
+def _temporary_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"caseflow-{application}-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -62,4 +68,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    return tempfile.mkdtemp(prefix="caseflow-")
+    return _temporary_folder(spark.sparkContext.applicationId)

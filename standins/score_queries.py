@@ -113,6 +113,22 @@ def pf_worst(t: Tables):
     return scores.pf_summary(pf(t))
 
 
+@query(
+    "pf_score_rows",
+    f"""WITH {SQL_PF}
+SELECT c_custkey AS account_id, coalesce(measurements_calculated, 0) AS measurements_calculated,
+  coalesce(total_score, 0) AS total_score, coalesce(organs_scored, 0) AS organs_scored,
+  coalesce(n_qualifying, 0) AS n_qualifying, worst_ratio, worst_classification, worst_timestamp,
+  window_start, window_end, 'full_encounter' AS window_mode
+FROM customer LEFT JOIN pf ON pf.account_id = c_custkey""",
+)
+def pf_score_rows(t: Tables):
+    """Customers are the cases; most have no ratio and get the empty row."""
+    cases_ = t.customer.select(F.col("c_custkey").alias("account_id"))
+    rows = scores.pf_rows(cases_, scores.pf_summary(pf(t)), F.current_timestamp())
+    return rows.drop("created_at")
+
+
 SQL_PF_CELLS = """
 cells AS (
   SELECT *, CASE WHEN fio2_raw > 1.0

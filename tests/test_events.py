@@ -61,7 +61,9 @@ def test_sectioned_timeline(spark):
         "timing_category string, availability_time string, event_ts timestamp, source string",
     )
     events = timeline.merge_timeline(timeline.during_diagnosis_events(dx))
-    rows = timeline.sectioned_timeline(enc, dx, events).orderBy("sort_order").collect()
+    rows = timeline.sections_in_order(timeline.sectioned_timeline(enc, dx, events)).collect()
+    ordered = extract.timings_in_order(dx).collect()
+    assert [r.icd10_code for r in ordered] == ["A2", "A1", "A3"]
     assert [r.content for r in rows] == [
         "Account ID: 1\nEncounter: 2\nAdmission: 2024-01-01 08:00:00\nDischarge: Still admitted",
         "A1: Unknown (S)",
