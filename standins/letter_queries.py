@@ -592,7 +592,7 @@ def assessments(t: Tables):
     "assessment_scores",
     """SELECT o_orderkey AS account_id,
   CASE WHEN o_orderstatus <> 'P' THEN
-    CAST(greatest(1, least(10, floor(o_totalprice / 30000))) AS INTEGER) END AS overall_score,
+    CAST(greatest(1, least(10, floor(o_totalprice / 30000))) AS DOUBLE) END AS overall_score,
   CASE WHEN o_orderstatus <> 'P' THEN
     CASE WHEN greatest(1, least(10, floor(o_totalprice / 30000))) <= 4 THEN 'LOW'
          WHEN greatest(1, least(10, floor(o_totalprice / 30000))) <= 7 THEN 'MODERATE'
@@ -603,7 +603,9 @@ def assessment_scores(t: Tables):
     parsed = report.parsed_assessment(assessments(t))
     ok = F.col("assessment").isNotNull()
     score = F.when(ok, F.col("overall_score"))
-    return parsed.select("account_id", score.alias("overall_score"), rating(score).alias("band"))
+    return parsed.select(
+        "account_id", score.cast("double").alias("overall_score"), rating(score).alias("band")
+    )
 
 
 @query(

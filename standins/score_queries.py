@@ -22,8 +22,8 @@ def clicks_and_views(t: Tables):
 def _sql_nearest(tolerance: int | None) -> str:
     limit = "" if tolerance is None else f"AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= {tolerance}"
     return f"""
-SELECT l.user_id, l.event_id, r.value AS near_value, epoch_us(r.ts) AS near_us,
-       abs(epoch_us(l.ts) - epoch_us(r.ts)) AS gap_us
+SELECT l.user_id, l.event_id, r.value AS near_value, CAST(epoch_us(r.ts) AS DOUBLE) AS near_us,
+       CAST(abs(epoch_us(l.ts) - epoch_us(r.ts)) AS DOUBLE) AS gap_us
 FROM events l LEFT JOIN events r
   ON l.user_id = r.user_id AND r.event_type = 'view' {limit}
 WHERE l.event_type = 'click'
@@ -38,8 +38,8 @@ def _nearest(t: Tables, tolerance: int | None):
         "user_id",
         "event_id",
         F.col("near.value").alias("near_value"),
-        F.col("near.us").alias("near_us"),
-        F.col("near.gap_us").alias("gap_us"),
+        F.col("near.us").cast("double").alias("near_us"),
+        F.col("near.gap_us").cast("double").alias("gap_us"),
     )
 
 
@@ -551,7 +551,7 @@ def numeric_mismatches(t: Tables):
 @query(
     "merged_conflicts",
     f"""WITH {c.SQL_READINGS}, {SQL_CLAIMS}
-SELECT conv_id AS account_id, 'reply' AS origin, CAST(0 AS INTEGER) AS position,
+SELECT conv_id AS account_id, 'reply' AS origin, CAST(0 AS DOUBLE) AS position,
   'CONFLICT ' || turn || ': ' || role AS conflict FROM conversations
 UNION ALL
 SELECT account_id, 'numeric', NULL, 'NUMERIC MISMATCH: ' || parameter || ' - Notes claim '
@@ -564,7 +564,8 @@ def merged_conflicts(t: Tables):
     stated = crosscheck.conflict_lines(
         t.conversations.select(F.col("conv_id").alias("account_id"), reply.alias("reply"))
     )
-    return crosscheck.merged_conflicts(stated, crosscheck.mismatches(checked(t)))
+    rows = crosscheck.merged_conflicts(stated, crosscheck.mismatches(checked(t)))
+    return rows.withColumn("position", F.col("position").cast("double"))
 
 
 @query(

@@ -40,7 +40,7 @@ def merged_timeline(t: Tables):
     "sectioned_timeline",
     f"""WITH {c.SQL_TIMED}, {c.SQL_TIMELINE}
 SELECT account_id, encounter_id, 'ENCOUNTER_INFO' AS section_type, 0 AS sort_order,
-       CAST(NULL AS BIGINT) AS event_us,
+       CAST(NULL AS DOUBLE) AS event_us,
        'Account ID: ' || account_id || chr(10) || 'Encounter: ' || encounter_id || chr(10)
          || 'Admission: ' || {second("start_ts")} || chr(10) || 'Discharge: '
          || coalesce({second("end_ts")}, 'Still admitted') AS content
@@ -61,7 +61,7 @@ def sectioned_timeline(t: Tables):
     )
     return rows.select(
         "account_id", "encounter_id", "section_type", "sort_order",
-        micros(F.col("event_ts")).alias("event_us"), "content",
+        micros(F.col("event_ts")).cast("double").alias("event_us"), "content",
     )
 
 
@@ -246,12 +246,17 @@ def procedures_extract(t: Tables):
     "diagnoses_union",
     f"""WITH {c.SQL_DIAGNOSES}
 SELECT DISTINCT account_id, encounter_id, dx_id, dx_name, icd10_code,
-       {second("event_ts")} AS event_time, source, poa_code
+       {second("event_ts")} AS event_time, source, CAST(poa_code AS DOUBLE) AS poa_code
 FROM dx_rows WHERE dx_name IS NOT NULL OR icd10_code IS NOT NULL""",
 )
 def diagnoses_union(t: Tables):
     rows = extract.diagnoses(**c.diagnosis_sources(t))
-    return rows.withColumn("event_time", F.date_format("event_ts", TS)).drop("event_ts")
+    return rows.withColumns(
+        {
+            "event_time": F.date_format("event_ts", TS),
+            "poa_code": F.col("poa_code").cast("double"),
+        }
+    ).drop("event_ts")
 
 
 @query(

@@ -366,9 +366,15 @@ cases AS (
 )"""
 
 
-@query("case_readback", f"WITH {SQL_CASES} SELECT * EXCLUDE (n_conflicts) FROM cases")
+@query(
+    "case_readback",
+    f"""WITH {SQL_CASES} SELECT * EXCLUDE (n_conflicts) REPLACE (
+  CAST(total_score AS DOUBLE) AS total_score, CAST(organs_scored AS DOUBLE) AS organs_scored)
+FROM cases""",
+)
 def case_readback(t: Tables):
-    return read_back(t).withColumn("conflicts", F.array_join("conflicts", "/"))
+    scores = {c: F.col(c).cast("double") for c in ("total_score", "organs_scored")}
+    return read_back(t).withColumns({"conflicts": F.array_join("conflicts", "/"), **scores})
 
 
 @query(
