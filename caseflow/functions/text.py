@@ -18,6 +18,14 @@ STOP_WORDS = (
 )
 
 
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, line ends included; ``trim`` takes off blanks only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int = 3) -> Column:
     words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), " +")
     kept = F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*stop_words))
@@ -64,12 +72,12 @@ def shortened(text: Column, n: int, ellipsis: str = "") -> Column:
 def without_fence(reply: Column) -> Column:
     """The inside of the first Markdown code fence, or the whole reply if it has none."""
     inside = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*(?:```|$)", 1)
-    return F.when(reply.contains("```"), inside).otherwise(F.trim(reply))
+    return F.when(reply.contains("```"), inside).otherwise(stripped(reply))
 
 
 def without_leading_fence(reply: Column) -> Column:
     """As ``without_fence``, for replies that may only start with a fence."""
-    trimmed = F.trim(reply)
+    trimmed = stripped(reply)
     return F.when(trimmed.startswith("```"), without_fence(trimmed)).otherwise(trimmed)
 
 
@@ -79,8 +87,8 @@ def key_values(reply: Column) -> Column:
     pairs = F.transform(
         lines,
         lambda line: F.struct(
-            F.upper(F.trim(F.substring_index(line, ":", 1))).alias("key"),
-            F.trim(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"),
+            F.upper(stripped(F.substring_index(line, ":", 1))).alias("key"),
+            stripped(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"),
         ),
     )
     # map_from_entries rejects repeated keys, so only each key's last entry is handed over
@@ -140,5 +148,5 @@ def bold_runs(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs split at blank lines, trimmed, without empty ones."""
-    parts = F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, "\n\n"), lambda p: stripped(p))
     return F.filter(parts, lambda p: p != "")

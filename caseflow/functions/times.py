@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseflow.functions.text import stripped
+
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 DAY = 24 * HOUR
@@ -38,7 +40,7 @@ def parsed(text: Column, formats: tuple[str, ...] = CLAIM_TIME_FORMATS) -> Colum
 
     A format is tried only on text of its shape: a failed parse costs an exception per row.
     """
-    bare = F.trim(text)
+    bare = stripped(text)
     return F.coalesce(
         *[F.when(bare.rlike(_shape(f)), F.try_to_timestamp(bare, F.lit(f))) for f in formats]
     )

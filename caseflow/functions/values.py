@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseflow.functions.text import stripped
+
 NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -17,7 +19,7 @@ def safe_double(text: Column) -> Column:
     NaN and infinity count as no number, so that no comparison depends on how an engine
     orders them.
     """
-    bare = F.trim(F.translate(text.cast("string"), ",<>", ""))
+    bare = stripped(F.translate(text.cast("string"), ",<>", ""))
     return F.when(bare.rlike(NUMERIC), bare.try_cast("double"))
 
 
@@ -137,7 +139,7 @@ def relative_gap(claimed: Column, raw: Column) -> Column:
 
 def account_number(text: Column) -> Column:
     """``H`` + digits + two trailing characters -> the digits; null for any other form."""
-    digits = F.regexp_extract(F.trim(text), r"^[Hh](\d+)..$", 1)
+    digits = F.regexp_extract(stripped(text), r"^[Hh](\d+)..$", 1)
     return F.nullif(digits, F.lit(""))
 
 

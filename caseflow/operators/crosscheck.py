@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.text import stripped
 from caseflow.functions.times import HOUR, parsed, stamp
 from caseflow.functions.values import relative_gap, safe_double
 from caseflow.operators.asof import Series, nearest
@@ -26,7 +27,7 @@ def checked_claims(
     """
     names = profile.parameter_categories
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    parameter = F.lower(F.trim("parameter"))
+    parameter = stripped(F.lower("parameter"))
     known = claims.select(
         "account_id",
         *[c for c in claims.columns if c not in ("account_id", "parameter", "value", "timestamp")],
@@ -78,18 +79,18 @@ def conflict_lines(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
     A conflict line counts if text follows its colon; the last recommendation wins.
     """
-    lines = F.transform(F.split(F.col(reply), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.col(reply), "\n"), lambda x: stripped(x))
     conflicts = F.filter(
         lines,
         lambda x: x.startswith("CONFLICT")
-        & (F.trim(F.regexp_replace(x, "^[^:]*:?", "")) != ""),
+        & (stripped(F.regexp_replace(x, "^[^:]*:?", "")) != ""),
     )
     advice = F.filter(lines, lambda x: x.startswith("RECOMMENDATION:"))
     last = F.coalesce(F.try_element_at(advice, F.lit(-1)), F.lit(""))
     return replies.select(
         *[c for c in replies.columns if c != reply],
         conflicts.alias("conflicts"),
-        F.trim(F.replace(last, F.lit("RECOMMENDATION:"), F.lit(""))).alias("recommendation"),
+        stripped(F.replace(last, F.lit("RECOMMENDATION:"), F.lit(""))).alias("recommendation"),
         F.contains(F.col(reply), F.lit("NO CONFLICTS DETECTED")).alias("none_detected"),
     )
 

@@ -17,7 +17,7 @@ def each(spark, inputs, build, kind="string"):
 
 
 def test_safe_double(spark):
-    inputs = ["<5", ">1,200", " 7 ", "", None, "abc", "nan", "inf", "1.0d", "1_0", "1e2", "-.5", "< 3"]
+    inputs = ["<5", ">1,200", " 7\t\n", "", None, "abc", "nan", "inf", "1.0d", "1_0", "1e2", "-.5", "< 3"]
     got = each(spark, inputs, values.safe_double)
     assert got == [5.0, 1200.0, 7.0, None, None, None, None, None, None, None, 100.0, -0.5, 3.0]
 
@@ -118,8 +118,9 @@ def test_tokens(spark):
 
 
 def test_key_values(spark):
-    got = each(spark, ["A: 1\nb:2:3\nA: 4\nnope\nc:", "nothing"], text.key_values)
-    assert got == [{"B": "2:3", "A": "4", "C": ""}, {}]
+    inputs = ["A: 1\nb:2:3\nA: 4\nnope\nc:", "nothing", "A: YES\r\n\tB : x\t\r\n"]
+    got = each(spark, inputs, text.key_values)
+    assert got == [{"B": "2:3", "A": "4", "C": ""}, {}, {"A": "YES", "B": "x"}]
 
 
 def test_fences(spark):
