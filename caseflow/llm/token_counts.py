@@ -43,8 +43,8 @@ class Counter:
     def _starts(self, text: str, start: int, stop: int) -> list[int]:
         """Where the tokens of a chunk begin in the text. The blank before it is the one the model sets."""
         shift = start + 1 if start else 0
-        found = self.model.encode(text[shift:stop], out_type="immutable_proto").pieces
-        return [start if i == 0 else shift + x.begin for i, x in enumerate(found)]
+        found = self.model.encode(text[shift:stop], return_type="offset_mapping")["offsets"]
+        return [start if i == 0 else shift + begin for i, (begin, _) in enumerate(found)]
 
     def spliced(self, text: str) -> int:
         """Tokens of the whole text. A chunk counts up to the boundary that it shares with the next."""
