@@ -81,8 +81,11 @@ def without_leading_fence(reply: Column) -> Column:
     return F.when(trimmed.startswith("```"), without_fence(trimmed)).otherwise(trimmed)
 
 
-def key_values(reply: Column) -> Column:
-    """``KEY: value`` lines as a map of upper-cased keys; the last line of a key wins."""
+def key_values(reply: Column, unless_none: tuple[str, ...] = ()) -> Column:
+    """``KEY: value`` lines as a map of upper-cased keys; the last line of a key wins.
+
+    Of the keys ``unless_none`` lines without a value, or with NONE, do not count.
+    """
     lines = F.filter(F.split(reply, "\n"), lambda line: line.contains(":"))
     pairs = F.transform(
         lines,
@@ -91,15 +94,20 @@ def key_values(reply: Column) -> Column:
             stripped(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"),
         ),
     )
-    # map_from_entries rejects repeated keys, so only each key's last entry is handed over
-    last = F.filter(
-        pairs,
-        lambda pair, i: ~F.exists(
-            F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
-            lambda later: later["key"] == pair["key"],
-        ),
+    if unless_none:
+        empty = lambda x: (x["value"] == "") | (F.upper(x["value"]) == "NONE")
+        pairs = F.filter(pairs, lambda x: ~(x["key"].isin(*unless_none) & empty(x)))
+
+    # map_from_entries rejects repeated keys. Sorted by key and place, a key's last entry is the one
+    # before another key; n log n in the lines.
+    def last(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: ~F.get(ordered, i + 1)["key"].eqNullSafe(x["key"]))
+
+    placed = F.transform(
+        pairs, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))
     )
-    return F.map_from_entries(last)
+    kept = F.element_at(F.transform(F.array(F.array_sort(placed)), last), 1)
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["key"], x["value"])))
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.text import stripped
 
+LARGEST = sys.float_info.max
 NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -20,7 +22,8 @@ def safe_double(text: Column) -> Column:
     orders them.
     """
     bare = stripped(F.translate(text.cast("string"), ",<>", ""))
-    return F.when(bare.rlike(NUMERIC), bare.try_cast("double"))
+    number = bare.try_cast("double")
+    return F.when(bare.rlike(NUMERIC) & (F.abs(number) <= LARGEST), number)
 
 
 @dataclass(frozen=True)
@@ -123,7 +126,8 @@ def oxygen_fraction(value: Column) -> Column:
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value.cast("int")))
+    """A whole number from ``low`` to ``high``; bounded first, as no integer type holds every double."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), value)).cast("int")
 
 
 def rating(score: Column) -> Column:
@@ -164,4 +168,5 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def exact_round(value: Column, digits: int) -> Column:
-    return fixed(value, digits).cast("double")
+    """Null for infinity; NaN stays."""
+    return fixed(value, digits).try_cast("double")

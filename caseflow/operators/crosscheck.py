@@ -45,7 +45,9 @@ def checked_claims(
         {"raw": Series(readings, "ts", ["value"], ["value"])},
         width_us,
     ).filter("raw is not null")
-    whole = F.col("claimed").cast("long") != F.col("raw.value").cast("long")
+    # without their fractions, as doubles: a claim may be larger than any integer
+    claimed, raw_value = F.col("claimed"), F.col("raw.value")
+    whole = (claimed - claimed % 1) != (raw_value - raw_value % 1)
     apart = relative_gap(F.col("claimed"), F.col("raw.value")) > TOLERATED_GAP
     return near.select(
         *[c for c in near.columns if c not in ("raw", "claim_ts")],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.text import UNKNOWN, condition_of_file, key_values, opening, or_default
+from caseflow.functions.text import UNKNOWN, condition_of_file, key_values, opening, or_default, squeeze
 from caseflow.functions.values import account_number, any_of, fixed
 from caseflow.operators.textparts import PART_CHARS, text_parts
 from caseflow.profiles import Profile
@@ -52,14 +52,16 @@ SUBJECT_PHRASES = (
     "re: patient",
 )
 
-HEADER_LINES = 15
-
-
 def pages_of(documents: DataFrame, lines_per_page: int, text: str = "text") -> DataFrame:
     """Documents cut into pages of so many lines: ``(…, page_no, page_text)``, numbered from 1."""
     lines = F.split(F.col(text), "\n")
-    starts = F.sequence(F.lit(1), F.size(lines), F.lit(lines_per_page))
-    pages = F.transform(starts, lambda s: F.array_join(F.slice(lines, s, lines_per_page), "\n"))
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(lines_per_page))
+        return F.transform(starts, lambda s: F.array_join(F.slice(whole, s, lines_per_page), "\n"))
+
+    # the lines are bound to a variable: named inside a lambda, the split would run for every page
+    pages = F.element_at(F.transform(F.array(lines), cut), 1)
     rest = [c for c in documents.columns if c != text]
     return documents.select(*rest, F.posexplode(pages).alias("page_no", "page_text")).withColumn(
         "page_no", F.col("page_no") + 1
@@ -77,16 +79,17 @@ def denial_start(
     pages: DataFrame,
     payors: Sequence[tuple[str, str]] = PAYORS,
     phrases: Sequence[str] = SUBJECT_PHRASES,
+    header_lines: int | None = 15,
 ) -> DataFrame:
     """Per document the page its denial starts on and the payor named there.
 
     Page 1 is always rebuttal. The first later page whose header names a payor starts the denial;
     without one, the first whose header holds a subject phrase; without that, all is rebuttal.
-    The header is the first lines of a page.
+    The header is the first ``header_lines`` lines of a page, the whole page if None.
     """
-    header = F.lower(
-        F.array_join(F.slice(F.split(F.col("page_text"), "\n"), 1, HEADER_LINES), "\n")
-    )
+    header = F.lower("page_text")
+    if header_lines is not None:
+        header = F.substring_index(header, "\n", header_lines)
     payor = F.when(F.lit(False), "")
     for pattern, name in payors:
         payor = payor.when(header.contains(pattern), name)
@@ -159,15 +162,9 @@ def letter_library(
     )
 
 
-def definition_library(
-    files: DataFrame, as_of: Column, prefix: str = "", short_below: int = 100
-) -> DataFrame:
-    """Condition definitions; the full text stands in for a summary that is missing, and for that
-    of a text too short to need one."""
-    text = F.col("definition_text")
-    summary = F.when(F.length(text) < short_below, text).otherwise(
-        F.coalesce(F.nullif("definition_summary", F.lit("")), text)
-    )
+def definition_library(files: DataFrame, as_of: Column, prefix: str = "") -> DataFrame:
+    """Condition definitions; the full text stands in for a summary that is missing or empty."""
+    summary = F.coalesce(F.nullif("definition_summary", F.lit("")), F.col("definition_text"))
     return files.select(
         condition_of_file(F.col("source_file"), prefix).alias("condition_name"),
         "source_file",
@@ -179,20 +176,20 @@ def definition_library(
 
 def denial_fields(replies: DataFrame, profile: Profile, reply: str = "reply") -> DataFrame:
     """Typed denial fields out of a ``KEY: value`` reply."""
-    parsed = replies.withColumn("_kv", key_values(F.col(reply)))
+    # a later NONE does not take back what was stated
+    parsed = replies.withColumn(
+        "_kv", key_values(F.col(reply), ("ACCOUNT_ID", "ORIGINAL_DRG", "PROPOSED_DRG"))
+    )
 
     def got(key: str) -> Column:
         return F.try_element_at("_kv", F.lit(key))
 
-    def stated(key: str) -> Column:
-        return F.when((F.upper(got(key)) != "NONE") & (got(key) != ""), got(key))
-
     return parsed.select(
         *[c for c in replies.columns if c != reply],
-        account_number(stated("ACCOUNT_ID")).alias("hsp_account_id"),
+        account_number(got("ACCOUNT_ID")).alias("hsp_account_id"),
         or_default(got("PAYOR"), UNKNOWN).alias("payor"),
-        stated("ORIGINAL_DRG").alias("original_drg"),
-        stated("PROPOSED_DRG").alias("proposed_drg"),
+        got("ORIGINAL_DRG").alias("original_drg"),
+        got("PROPOSED_DRG").alias("proposed_drg"),
         F.coalesce(F.upper(got(profile.denial_field.upper())) == "YES", F.lit(False)).alias(
             "is_condition_match"
         ),
@@ -324,26 +321,32 @@ def query_text(reasons: Column) -> Column:
 
 # --- duplicates -------------------------------------------------------------------------------
 
-# The comparison is defined on this many characters of the normalised text.
-EXACT_CHARS, PARTIAL_CHARS = 500, 200
+# Fixed value: letters that agree so far open alike.
+OPENING_CHARS = 200
 
 
-def fingerprints(letters: DataFrame) -> DataFrame:
-    """``(doc_id, exact_key, partial_key)``: hashes of the openings, so rows are small to shuffle."""
+def fingerprints(letters: DataFrame, opening_chars: int = OPENING_CHARS) -> DataFrame:
+    """``(doc_id, exact_key, partial_key)``: hashes of the whole normalised text and of its opening.
+
+    Two letters are the same if all of their text is; "opens alike" is a weaker mark of its own.
+    Rows are small to shuffle.
+    """
     return letters.select(
         "doc_id",
-        F.sha2(opening(F.col("text"), EXACT_CHARS), 256).alias("exact_key"),
-        F.sha2(opening(F.col("text"), PARTIAL_CHARS), 256).alias("partial_key"),
+        F.sha2(squeeze(F.col("text")), 256).alias("exact_key"),
+        F.sha2(opening(F.col("text"), opening_chars), 256).alias("partial_key"),
     )
 
 
 def matched_letters(samples: DataFrame, library: DataFrame) -> DataFrame:
-    """For each sample how many library letters open alike, and the first of them."""
+    """For each sample how many library letters are the same or open alike, and the first of them."""
     return _matched(fingerprints(samples), fingerprints(library), same=False)
 
 
 def duplicate_letters(prints: DataFrame) -> DataFrame:
-    """For each letter how many others open alike, and the first of its group.
+    """For each letter how many others are the same or open alike, and the first of its group.
+
+    ``first_doc_id`` names the group: its members are the rows that share it and ``match_type``.
 
     Takes the table of ``fingerprints``, which is read twice: stage it, it is small and the texts
     are long.
@@ -382,6 +385,12 @@ def _matched(prints: DataFrame, found: DataFrame, same: bool) -> DataFrame:
     )
 
 
+def group_members(prints: DataFrame) -> DataFrame:
+    """``(doc_id, group_id, group_size)`` of letters whose whole text others have: every member, no pairs."""
+    groups = prints.groupBy("exact_key").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    return prints.join(groups.filter("group_size > 1"), "exact_key").select("doc_id", "group_id", "group_size")
+
+
 # --- scan quality -----------------------------------------------------------------------------
 
 # Steps of the density and line scores, their weights and the usability limits.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.text import NO_ID, NO_NOTE, NOT_AVAILABLE, shortened, title_of
+from caseflow.functions.text import NO_ID, NO_NOTE, NOT_AVAILABLE, title_of
 from caseflow.functions.times import DAY, micros
+from caseflow.operators.slices import same_key
 from caseflow.operators.textparts import PART_CHARS, text_parts
 from caseflow.operators.windows import latest_per
 
@@ -92,14 +93,22 @@ def notes_by_type(
     """All notes of an account and type as one text under time headers, with their ids.
 
     Input ``(account_id, note_type, note_id, note_csn_id, contact_date, entry_ts, note_text)``;
-    notes run in order of contact date and entry time. A note without text adds its ids only.
+    notes run in order of contact date and entry time. A note without text adds its ids only. Notes
+    may come in parts, with a ``part_no``.
     """
     wanted = notes.filter(F.col("note_type").isin(*types))
     at = F.coalesce(F.col("entry_ts"), F.col("contact_date").cast("timestamp"))
     header = F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("Unknown time"))
-    body = F.when(
-        F.length("note_text") > 0, F.concat(F.lit("["), header, F.lit("]\n"), "note_text")
-    )
+    headed = F.concat(F.lit("["), header, F.lit("]\n"), "note_text")
+    note_id, csn = F.col("note_id").cast("string"), F.col("note_csn_id").cast("string")
+    tie = [F.col("entry_ts"), F.col("note_id")]
+    if "part_no" in notes.columns:
+        # a note is headed and named once; its further parts follow it
+        opens = F.col("part_no") == 0
+        headed = F.when(opens, headed).otherwise(F.col("note_text"))
+        note_id, csn = F.when(opens, note_id), F.when(opens, csn)
+        tie.append(F.col("part_no"))
+    body = F.when(F.length("note_text") > 0, headed)
     day = micros(F.col("contact_date").cast("timestamp"))
     parts = text_parts(
         wanted,
@@ -107,13 +116,10 @@ def notes_by_type(
         body,
         NOTE_SEPARATOR,
         day,
-        [F.col("entry_ts"), F.col("note_id")],
+        tie,
         part_chars,
         DAY,
-        collect={
-            "_ids": F.col("note_id").cast("string"),
-            "_csns": F.col("note_csn_id").cast("string"),
-        },
+        collect={"_ids": note_id, "_csns": csn},
     )
 
     def listed(c: str) -> Column:
@@ -157,7 +163,10 @@ def notes_wide(by_type: DataFrame, types: dict[str, str] | None = None) -> DataF
 
 
 def latest_notes(notes: DataFrame) -> DataFrame:
-    """The latest note per account and type."""
+    """The latest note per account and type; of a note in parts, all its parts."""
+    if "part_no" in notes.columns:
+        first = latest_notes(notes.drop("part_no", "note_text").distinct())
+        return same_key(notes, first.select("account_id", "note_type", "note_id"), ("account_id", "note_type", "note_id"), "left_semi")
     order = [
         F.col("contact_date").desc(),
         F.col("entry_ts").desc(),
@@ -170,23 +179,11 @@ def notes_per_type(notes: DataFrame) -> DataFrame:
     return notes.groupBy("account_id", "note_type").agg(F.count("*").alias("n_notes"))
 
 
-def gate(
-    text: Column, extraction: Column | None = None, pass_below: int | None = None,
-    fallback_chars: int | None = None,
-) -> Column:
-    """What stands for a note: its extraction, the short note itself, or a mark of absence.
-
-    A missing note gives ``"Not available"``. A note under ``pass_below`` characters needs no
-    extraction. A longer one whose extraction is missing is cut to ``fallback_chars`` if given.
-    """
+def gate(text: Column, extraction: Column | None = None) -> Column:
+    """What stands for a note: its extraction, else the whole note, else a mark of absence."""
     missing = text.isNull() | (text == NO_NOTE) | (text == "")
-    result = F.when(missing, NOT_AVAILABLE)
-    if pass_below is not None:
-        result = result.when(F.length(text) < pass_below, text)
-    long_text = text if fallback_chars is None else shortened(text, fallback_chars, "...")
-    if extraction is None:
-        return result.otherwise(long_text)
-    return result.otherwise(F.coalesce(extraction, long_text))
+    whole = text if extraction is None else F.coalesce(F.nullif(extraction, F.lit("")), text)
+    return F.when(missing, NOT_AVAILABLE).otherwise(whole)
 
 
 def priority(note_key: Column) -> Column:
@@ -198,32 +195,35 @@ def available(text: Column) -> Column:
     return F.length(text).isNotNull() & (text != "") & (text != NOT_AVAILABLE)
 
 
-def notes_summary(extracted: DataFrame, chars: int = 2000) -> DataFrame:
-    """``## key`` and the start of each available note, in key order, per account.
+def notes_summary(extracted: DataFrame, chars: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """``## key`` and each available note, in key order: ``(account_id, part_no, notes_summary)``.
 
-    Input ``(account_id, note_key, note_text)``: one row per note key, so a bounded few.
+    Notes are whole; ``chars`` keeps the start of each only.
     """
     rows = extracted.filter(available(F.col("note_text")))
-    entry = F.concat(F.lit("## "), "note_key", F.lit("\n"), F.left("note_text", F.lit(chars)))
-    entries = F.array_sort(F.collect_list(F.struct("note_key", entry.alias("entry"))))
-    return rows.groupBy("account_id").agg(
-        F.concat_ws("\n\n", entries["entry"]).alias("notes_summary")
-    )
+    text = F.col("note_text") if chars is None else F.left("note_text", F.lit(chars))
+    entry = F.concat(F.lit("## "), "note_key", F.lit("\n"), text)
+    keys = [F.col("note_key"), *([F.col("part_no")] if "part_no" in extracted.columns else [])]
+    parts = text_parts(rows, ["account_id"], entry, "\n\n", F.lit(0).cast("long"), keys, part_chars)
+    return parts.select("account_id", "part_no", F.col("text").alias("notes_summary"))
 
 
-def notes_section(extracted: DataFrame) -> DataFrame:
-    """The notes for a writer: by priority, then key, under titled headings."""
+def notes_section(extracted: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The notes for a writer, by priority, then key, under titled headings.
+
+    Gives ``(account_id, part_no, n_notes, notes_section)``; a part holds so much text that no task
+    gathers more, and an account's parts joined by a blank line are its whole section.
+    """
     shown = available(F.col("note_text"))
     entry = F.when(
         shown, F.concat(F.lit("## "), title_of(F.col("note_key")), F.lit("\n"), "note_text")
     )
-    entries = F.array_sort(
-        F.collect_list(
-            F.struct(priority(F.col("note_key")).alias("p"), "note_key", entry.alias("entry"))
-        )
-    )
-    joined = F.concat_ws("\n\n", entries["entry"])
-    return extracted.groupBy("account_id").agg(
-        F.count(F.when(shown, 1)).alias("n_notes"),
-        F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_NOTES)).alias("notes_section"),
+    keys = [F.col("note_key"), *([F.col("part_no")] if "part_no" in extracted.columns else [])]
+    place = priority(F.col("note_key")).cast("long")
+    parts = text_parts(extracted, ["account_id"], entry, "\n\n", place, keys, part_chars, width=1)
+    return parts.select(
+        "account_id",
+        "part_no",
+        F.col("n_rows").alias("n_notes"),
+        F.coalesce(F.nullif("text", F.lit("")), F.lit(NO_NOTES)).alias("notes_section"),
     )

@@ -369,22 +369,27 @@ def assessment_rows(parsed: DataFrame, keys: tuple[str, ...] = ("account_id",))
 
 # --- letter -----------------------------------------------------------------------------------
 
-EVIDENCE = "array<struct<criterion:string,value:string,threshold:string>>"
+EVIDENCE = "struct<criterion:string,value:string,threshold:string>"
 LETTER = (
     "header struct<address:string,date:string>, payor_address string, appeal_level string, "
     "patient_info struct<beneficiary_name:string,dob:string,claim_reference:string,"
     "hospital_account:string,date_of_service:string>, salutation string, "
     "opening_paragraph string, justification string, "
     "rationale struct<payor_argument_quote:string,infection_source:string,"
-    f"organ_dysfunction:{EVIDENCE},sirs_criteria:{EVIDENCE},inflammatory_markers:{EVIDENCE},"
+    "organ_dysfunction:array<string>,sirs_criteria:array<string>,inflammatory_markers:array<string>,"
     "blood_culture:string,other_conditions:array<string>>, hospital_course string, "
     "summary_paragraph string, conclusion string, contact_info string, signature_block string"
 )
 
 
 def letter_text(letter: Column) -> Column:
-    """A letter's JSON as plain text, section by section."""
-    a = F.from_json(letter, LETTER)
+    """A letter's JSON as plain text, section by section.
+
+    The reply may hold the letter under ``letter``. Evidence is a list of texts, or of objects with
+    criterion, value and threshold, or of both.
+    """
+    wrapped = F.get_json_object(letter, "$.letter")
+    a = F.from_json(F.when(wrapped.startswith("{"), wrapped).otherwise(letter), LETTER)
 
     def text(value: Column, default: str = "") -> Column:
         return F.coalesce(value, F.lit(default))
@@ -403,11 +408,14 @@ def letter_text(letter: Column) -> Column:
         body = F.concat(block(title), F.transform(items, line), block(""))
         return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, body).otherwise(none)
 
-    def evidence(e: Column) -> Column:
-        return F.concat(
-            F.lit("  - "), text(e["criterion"]), F.lit(": "), text(e["value"]),
+    def evidence(item: Column) -> Column:
+        # an item read as text is the JSON of an object, or a plain text
+        e = F.from_json(item, EVIDENCE)
+        stated = F.concat(
+            text(e["criterion"]), F.lit(": "), text(e["value"]),
             F.lit(" (threshold: "), text(e["threshold"]), F.lit(")"),
         )
+        return F.concat(F.lit("  - "), F.when(item.startswith("{"), stated).otherwise(text(item)))
 
     p, r = a["patient_info"], a["rationale"]
     labelled = (
@@ -476,7 +484,7 @@ def writer_context(cases: DataFrame, template: str, profile: Profile) -> DataFra
     """The filled template per account.
 
     ``cases`` holds one row per account with the columns named below; a missing text gets its
-    default.
+    default. Rows with a ``part_no`` (a text of theirs comes in parts) give a context for each part.
     """
     definition = F.coalesce(
         F.concat(
@@ -500,7 +508,8 @@ def writer_context(cases: DataFrame, template: str, profile: Profile) -> DataFra
         "proposed_drg": or_default(F.col("proposed_drg"), UNKNOWN),
         "payor": or_default(F.col("payor"), UNKNOWN),
     }
-    return cases.select("account_id", filled(F.lit(template), values).alias("prompt"))
+    parts = ["part_no"] if "part_no" in cases.columns else []
+    return cases.select("account_id", *parts, filled(F.lit(template), values).alias("prompt"))
 
 
 # --- status -----------------------------------------------------------------------------------

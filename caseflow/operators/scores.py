@@ -197,7 +197,7 @@ def organ_events(
     values = readings(labs, vitals, profile, whole_word)
     bands = profile.bands
     v, category = F.col("value"), F.col("category")
-    gcs = F.bround(v, 0).cast("int")
+    gcs = F.bround(v, 0).try_cast("int")
 
     # one pass over the readings scores all but the oxygen ratio
     organ = score = display = None

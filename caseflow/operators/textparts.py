@@ -61,6 +61,14 @@ def text_parts(
     )
 
 
+def first_part(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key out of a table in parts: part 0, with ``n_parts``; any other table as it is."""
+    if "part_no" not in rows.columns:
+        return rows
+    counts = rows.groupBy(*keys).agg((F.max("part_no") + 1).alias("n_parts"))
+    return rows.filter("part_no = 0").drop("part_no").join(counts, list(keys))
+
+
 def json_parts(
     rows: DataFrame,
     keys: Sequence[str],

@@ -152,19 +152,22 @@ def sections_in_order(sectioned: DataFrame) -> DataFrame:
     )
 
 
-def timeline_text(timeline: DataFrame, max_events: int = 500) -> DataFrame:
-    """The first events of each account as lines ``[time] TYPE: detail (ABNORMAL)``.
+def timeline_text(
+    timeline: DataFrame,
+    accounts: DataFrame | None = None,
+    max_events: int | None = None,
+    **parts,
+) -> DataFrame:
+    """Each account's events as lines ``[time] TYPE: detail (ABNORMAL)``, whole, in parts of bounded size.
 
-    The cap is the report's own; it is applied per task before the shuffle, so no task gathers
-    more than ``max_events`` rows of an account from each of the others.
+    Gives ``(account_id, part_no, n_events, timeline_text)``. Accounts of ``accounts`` without events
+    get the sentence that says so. ``max_events`` keeps an account's first events only, for readers
+    that want no more; it is applied per task before the shuffle.
     """
-    order = [
-        F.col("event_ts"),
-        F.col("event_type"),
-        F.col("event_detail"),
-        F.col("encounter_id"),
-    ]
-    first = top_per(timeline, ["account_id"], order, max_events, rank="_n")
+    tie = [F.col("event_type"), F.col("event_detail"), F.col("encounter_id")]
+    rows = timeline
+    if max_events is not None:
+        rows = top_per(timeline, ["account_id"], [F.col("event_ts"), *tie], max_events)
     line = F.concat(
         F.lit("["),
         F.coalesce(F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("None")),
@@ -174,17 +177,18 @@ def timeline_text(timeline: DataFrame, max_events: int = 500) -> DataFrame:
         F.coalesce("event_detail", F.lit("None")),
         F.when(F.col("is_abnormal") == 1, " (ABNORMAL)").otherwise(""),
     )
-    lines = F.array_sort(F.collect_list(F.struct("_n", line.alias("line"))))
-    return first.groupBy("account_id").agg(
-        F.count("*").alias("n_events"), F.concat_ws("\n", lines["line"]).alias("timeline_text")
+    text = text_parts(rows, ["account_id"], line, "\n", micros(F.col("event_ts")), tie, **parts)
+    text = text.withColumnsRenamed({"n_rows": "n_events", "text": "timeline_text"})
+    if accounts is None:
+        return text
+    return (
+        accounts.select("account_id")
+        .distinct()
+        .join(text, "account_id", "left")
+        .select(
+            "account_id",
+            F.coalesce("part_no", F.lit(0)).alias("part_no"),
+            F.coalesce("n_events", F.lit(0)).alias("n_events"),
+            F.coalesce("timeline_text", F.lit(NO_TIMELINE)).alias("timeline_text"),
+        )
     )
-
-
-def timeline_parts(timeline: DataFrame, **kwargs) -> DataFrame:
-    """The whole timeline of each account as text, in parts of bounded size."""
-    line = F.concat_ws("", F.lit("["), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"),
-                       F.lit("] "), "event_type", F.lit(": "), "event_detail")
-    return text_parts(
-        timeline, ["account_id"], line, "\n", micros(F.col("event_ts")),
-        [F.col("event_type"), F.col("event_detail")], **kwargs,
-    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import UNKNOWN
+from caseflow.operators.textparts import first_part
 
 NO_SUMMARY = "No structured data available."
 
@@ -20,14 +21,17 @@ def read_back(
 ) -> DataFrame:
     """The five case tables of all accounts in one row each; gaps hold the documented defaults.
 
-    ``conflicts`` is one row per account with an array, or null, and a recommendation.
+    ``conflicts`` is one row per account with an array, or null, and a recommendation. A denial in
+    parts gives a row for each of its parts; of the other tables a row carries part 0.
     """
     joined = denial
+    parts = ["part_no"] if "part_no" in denial.columns else []
     for table in (clinical, summary, scores, conflicts):
-        joined = joined.join(table, "account_id", "left")
+        joined = joined.join(first_part(table, ("account_id",)).drop("n_parts"), "account_id", "left")
     empty = F.array().cast("array<string>")
     return joined.select(
         "account_id",
+        *parts,
         "denial_text",
         F.coalesce("payor", F.lit(UNKNOWN)).alias("payor"),
         "original_drg",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.operators.textparts import first_part
 from caseflow.operators.windows import top_per
 
 
@@ -24,7 +25,11 @@ def first_claims(claims: DataFrame, order: str, columns: tuple[str, ...]) -> Dat
 def spine_features(spine: DataFrame, *features: DataFrame) -> DataFrame:
     """Left joins of one-row-per-account tables to the distinct accounts of the spine.
 
-    All joins are on the account, so the spine is shuffled once and stays in place.
+    All joins are on the account, so the spine is shuffled once and stays in place. Of a table of
+    text in parts (it has a ``part_no``) the spine carries part 0 and the number of parts,
+    ``n_parts``; further parts stay in their table, keyed by account and part.
     """
     accounts = spine.select("account_id").distinct()
-    return reduce(lambda rows, f: rows.join(f, "account_id", "left"), features, accounts)
+    return reduce(
+        lambda rows, f: rows.join(first_part(f, ("account_id",)), "account_id", "left"), features, accounts
+    )

@@ -66,8 +66,16 @@ def unseen(rows: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFram
     return same_key(rows, table.select(*keys).distinct(), keys, "left_anti")
 
 
+def first_of_each(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per key: the smallest by the other columns, so the choice does not depend on the layout."""
+    rest = [c for c in rows.columns if c not in keys]
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")) if rest else rows.distinct()
+    return least.select(*[f"_r.{c}" if c in rest else c for c in rows.columns])
+
+
 def insert_unseen(rows: DataFrame, name: str, keys: tuple[str, ...]) -> None:
-    append(unseen(rows, rows.sparkSession.table(name), keys), name)
+    """Appends one row for each key that the table does not hold."""
+    append(unseen(first_of_each(rows, keys), rows.sparkSession.table(name), keys), name)
 
 
 def stamped(rows: DataFrame, column: str = "insert_tsp") -> DataFrame:

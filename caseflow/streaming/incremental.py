@@ -23,9 +23,11 @@ def to_score(
 
 
 def unprocessed_letters(letters: DataFrame, processed: DataFrame, min_chars: int = 100):
-    """Letters with usable text that were not processed yet."""
-    usable = letters.filter(F.length("letter_text") > min_chars)
-    return usable.join(processed.select("letter_id").distinct(), "letter_id", "left_anti")
+    """Letters that were not processed yet; ``skip_reason`` says why one has no usable text, else null."""
+    chars = F.coalesce(F.length("letter_text"), F.lit(0))
+    reason = F.concat(F.lit("Insufficient text ("), chars.cast("string"), F.lit(" chars)"))
+    left = letters.join(processed.select("letter_id").distinct(), "letter_id", "left_anti")
+    return left.withColumn("skip_reason", F.when(chars <= min_chars, reason))
 
 
 def ingest_available(
@@ -43,7 +45,7 @@ def ingest_available(
     """
 
     def insert(batch: DataFrame, _: int) -> None:
-        insert_unseen(batch.dropDuplicates(list(keys)), table, keys)
+        insert_unseen(batch, table, keys)
 
     return (
         spark.readStream.schema(schema)

@@ -14,7 +14,7 @@ from standins.registry import Tables, query
 # Names that the stand-in documents do mention stand for payors and subject lines.
 PAYORS = (("schber", "Alpha Health"), ("eaueux", "Beta Care"), ("thand", "Gamma Plan"))
 PHRASES = ("the in", "dans le")
-PAGE_LINES = 10
+PAGE_LINES = 20
 
 
 def pages(t: Tables):
@@ -41,7 +41,8 @@ SQL_STARTS = f"""{SQL_PAGES},
 seen AS (
   SELECT doc_id, page_no, CASE WHEN page_no > 1 THEN {_SQL_PAYOR} END AS payor,
          page_no > 1 AND ({_SQL_SUBJECT}) AS subject
-  FROM pages
+  FROM (SELECT doc_id, page_no, array_to_string(string_split(page_text, chr(10))[1:15], chr(10))
+          AS page_text FROM pages)
 ),
 starts AS (
   SELECT doc_id, max(page_no) AS total_pages,
@@ -113,8 +114,7 @@ def letter_library(t: Tables):
          THEN substr(lower(source || '_' || lang), 5) ELSE lower(source || '_' || lang) END
          AS condition_name,
        source || '_' || upper(lang) || '.PDF' AS source_file, text AS definition_text,
-       CASE WHEN length(text) < 100 THEN text WHEN quality = 1 THEN 'summary of ' || doc_id
-            ELSE text END AS definition_summary
+       CASE WHEN quality = 1 THEN 'summary of ' || doc_id ELSE text END AS definition_summary
 FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def definition_library(t: Tables):
@@ -159,6 +159,7 @@ def kv_reply_parse(t: Tables):
         F.when(status != "O", F.concat("o_orderpriority", F.lit(": A"))).otherwise(""),
         F.lit("\n ORIGINAL_DRG : "), drg,
         F.lit("\nPROPOSED_DRG: "), F.when(status == "F", "NONE").otherwise("872"),
+        F.lit("\nproposed_drg: None"),
         F.lit("\nIS_SEPSIS: "), F.when(status == "F", "yes").otherwise("no"),
     )
     return letters.denial_fields(o.select("o_orderkey", reply.alias("reply")), SEPSIS)
@@ -167,19 +168,20 @@ def kv_reply_parse(t: Tables):
 @query(
     "conflict_lines",
     """SELECT conv_id AS account_id, turn, role = 'user' AS none_detected,
-       array_to_string(list_filter([
-         'CONFLICT 1: ' || trim(string_split(text, chr(10))[1]),
-         CASE WHEN len(string_split(text, chr(10))) > 1
-              THEN 'CONFLICT 2: ' || trim(string_split(text, chr(10))[2]) END],
-         lambda x: x IS NOT NULL AND trim(substr(x, 12)) <> ''), ' / ') AS conflicts,
+       array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+           lambda x, i: trim('CONFLICT ' || i || ': ' || x)),
+         lambda y: trim(regexp_replace(y, '^[^:]*:', '')) <> ''), ' / ') AS conflicts,
        'see ' || role AS recommendation
 FROM conversations""",
 )
 def conflict_lines(t: Tables):
-    lines = F.split("text", "\n")
-    second = F.when(F.size(lines) > 1, F.concat(F.lit("\n  CONFLICT 2: "), lines[1])).otherwise("")
+    """Every line of every text stated as a conflict, among lines that are none."""
+    stated = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.concat(F.lit("CONFLICT "), (i + 1).cast("string"), F.lit(": "), line),
+    )
     reply = F.concat(
-        F.lit("CONFLICT 1: "), lines[0], second,
+        F.array_join(stated, "\n  "),
         F.lit("\nCONFLICT 3:\nCONFLICT without colon\nRECOMMENDATION: early\n"),
         F.when(F.col("role") == "user", "NO CONFLICTS DETECTED\n").otherwise("\n"),
         F.lit("RECOMMENDATION: see "), "role",
@@ -197,7 +199,7 @@ normal AS (
   SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS t
   FROM documents
 ),
-prints AS (SELECT doc_id, left(t, 500) AS exact_key, left(t, 200) AS partial_key FROM normal)"""
+prints AS (SELECT doc_id, t AS exact_key, left(t, 200) AS partial_key FROM normal)"""
 
 
 @query(
@@ -217,6 +219,17 @@ def duplicate_letters(t: Tables):
     return letters.duplicate_letters(staged(letters.fingerprints(t.documents)))
 
 
+@query(
+    "duplicate_members",
+    f"""WITH {SQL_OPENINGS}
+SELECT doc_id, min(doc_id) OVER (PARTITION BY exact_key) AS group_id,
+       count(*) OVER (PARTITION BY exact_key) AS group_size
+FROM prints QUALIFY count(*) OVER (PARTITION BY exact_key) > 1""",
+)
+def duplicate_members(t: Tables):
+    return letters.group_members(staged(letters.fingerprints(t.documents)))
+
+
 @query(
     "sample_matches",
     f"""WITH {SQL_OPENINGS}
@@ -618,7 +631,8 @@ def assessment_scores(t: Tables):
   'Justification for Appeal:', '', '', '', 'Rationale:', '',
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'Quoted' || chr(10) END,
   'Infection Source: ' || c_mktsegment, '',
-  'Organ Dysfunction:', '  - balance: ' || c_nationkey || ' (threshold: )', '',
+  'Organ Dysfunction:', CASE WHEN c_custkey % 3 = 0 THEN '  - stated in words ' || c_nationkey
+    ELSE '  - balance: ' || c_nationkey || ' (threshold: )' END, '',
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Other Conditions:' || chr(10) || '  - a' || chr(10)
     || '  - b' || chr(10) END,
   'Hospital Course:', 'short', '', '', '', 'Conclusion:', '', 'End', '',
@@ -644,12 +658,7 @@ def letter_text(t: Tables):
             F.struct(
                 F.when(F.col("c_mktsegment") == "BUILDING", "Quoted").alias("payor_argument_quote"),
                 F.col("c_mktsegment").alias("infection_source"),
-                F.array(
-                    F.struct(
-                        F.lit("balance").alias("criterion"),
-                        F.col("c_nationkey").cast("string").alias("value"),
-                    )
-                ).alias("organ_dysfunction"),
+                F.array(F.lit("@evidence@")).alias("organ_dysfunction"),
                 F.when(
                     F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("a"), F.lit("b"))
                 ).alias("other_conditions"),
@@ -659,8 +668,16 @@ def letter_text(t: Tables):
             F.lit("Signed").alias("signature_block"),
         )
     )
+    # of three letters one states its evidence in words, and every other one is wrapped
+    nation = F.col("c_nationkey").cast("string")
+    evidence = F.when(
+        F.col("c_custkey") % 3 == 0, F.concat(F.lit('"stated in words '), nation, F.lit('"'))
+    ).otherwise(F.concat(F.lit('{"criterion":"balance","value":"'), nation, F.lit('"}')))
+    body = F.replace(body, F.lit('"@evidence@"'), evidence)
+    wrapped = F.concat(F.lit('{"letter":'), body, F.lit("}"))
+    reply = F.when(F.col("c_custkey") % 2 == 0, wrapped).otherwise(body)
     return t.customer.select(
-        F.col("c_custkey").alias("account_id"), report.letter_text(body).alias("letter_text")
+        F.col("c_custkey").alias("account_id"), report.letter_text(reply).alias("letter_text")
     )
 
 

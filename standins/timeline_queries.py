@@ -79,28 +79,50 @@ SELECT account_id, count(*) AS n_events,
 FROM ranked WHERE n <= 500 GROUP BY account_id""",
 )
 def timeline_text_capped(t: Tables):
-    return timeline.timeline_text(merged(t))
+    """The report that shows an account's first 500 events; ``timeline_text`` is the whole."""
+    return timeline.timeline_text(merged(t), max_events=500).drop("part_no")
+
+
+@query(
+    "timeline_text",
+    f"""WITH {c.SQL_TIMELINE},
+texts AS (
+  SELECT account_id, count(*) AS n_events,
+         string_agg('[' || {second("event_ts")} || '] ' || event_type || ': ' || event_detail
+           || CASE WHEN is_abnormal = 1 THEN ' (ABNORMAL)' ELSE '' END, chr(10)
+           ORDER BY event_ts, event_type, event_detail, encounter_id) AS timeline_text
+  FROM timeline GROUP BY account_id
+)
+SELECT c_custkey AS account_id, CAST(0 AS INTEGER) AS part_no, coalesce(n_events, 0) AS n_events,
+       coalesce(timeline_text, 'No structured data available for this encounter.') AS timeline_text
+FROM customer LEFT JOIN texts ON account_id = c_custkey""",
+)
+def timeline_text(t: Tables):
+    accounts = t.customer.select(F.col("c_custkey").alias("account_id"))
+    return timeline.timeline_text(merged(t), accounts)
 
 
 @query(
     "timeline_text_parts",
     f"""WITH {c.SQL_TIMELINE},
 lines AS (
-  SELECT account_id, event_ts, event_type, event_detail,
-         '[' || {second("event_ts")} || '] ' || event_type || ': ' || event_detail AS line
+  SELECT account_id, event_ts, event_type, event_detail, encounter_id,
+         '[' || {second("event_ts")} || '] ' || event_type || ': ' || event_detail
+         || CASE WHEN is_abnormal = 1 THEN ' (ABNORMAL)' ELSE '' END AS line
   FROM timeline
 ),
 placed AS (
   SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY account_id
-    ORDER BY event_ts, event_type, event_detail
+    ORDER BY event_ts, event_type, event_detail, encounter_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines
 )
-SELECT account_id, CAST(before // 1000 AS INTEGER) AS part_no, count(*) AS n_rows,
-       string_agg(line, chr(10) ORDER BY event_ts, event_type, event_detail) AS text
+SELECT account_id, CAST(before // 1000 AS INTEGER) AS part_no, count(*) AS n_events,
+       string_agg(line, chr(10) ORDER BY event_ts, event_type, event_detail, encounter_id)
+         AS timeline_text
 FROM placed GROUP BY 1, 2""",
 )
 def timeline_text_parts(t: Tables):
-    return timeline.timeline_parts(merged(t), part_chars=1000)
+    return timeline.timeline_text(merged(t), part_chars=1000)
 
 
 @query(
@@ -454,7 +476,7 @@ extracted AS (
 @query(
     "notes_summary",
     f"""WITH {SQL_EXTRACTED}
-SELECT account_id, string_agg('## ' || note_key || chr(10) || left(note_text, 2000),
+SELECT account_id, CAST(0 AS INTEGER) AS part_no, string_agg('## ' || note_key || chr(10) || note_text,
        chr(10) || chr(10) ORDER BY note_key) AS notes_summary
 FROM extracted WHERE note_text <> 'Not available' GROUP BY account_id""",
 )
@@ -465,7 +487,8 @@ def notes_summary(t: Tables):
 @query(
     "note_priority_context",
     f"""WITH {SQL_EXTRACTED}
-SELECT account_id, count(CASE WHEN note_text <> 'Not available' THEN 1 END) AS n_notes,
+SELECT account_id, CAST(0 AS INTEGER) AS part_no,
+       count(CASE WHEN note_text <> 'Not available' THEN 1 END) AS n_notes,
        coalesce(string_agg('## ' || title || chr(10) || note_text, chr(10) || chr(10)
          ORDER BY priority, note_key) FILTER (WHERE note_text <> 'Not available'),
          'No clinical notes available.') AS notes_section
@@ -478,9 +501,8 @@ def note_priority_context(t: Tables):
 @query(
     "note_gate",
     """SELECT doc_id,
-       CASE WHEN length(text) < 8000 THEN text
-            WHEN quality = 1 THEN 'extracted ' || doc_id
-            WHEN length(text) > 12000 THEN left(text, 12000) || '...' ELSE text END AS note_text
+       CASE WHEN coalesce(text, '') = '' THEN 'Not available'
+            WHEN quality = 1 THEN 'extracted ' || doc_id ELSE text END AS note_text
 FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def note_gate(t: Tables):
@@ -489,5 +511,5 @@ def note_gate(t: Tables):
         F.col("quality") == 1, F.concat(F.lit("extracted "), F.col("doc_id").cast("string"))
     )
     return rows.select(
-        "doc_id", notes.gate(F.col("text"), done, 8000, 12000).alias("note_text")
+        "doc_id", notes.gate(F.col("text"), done).alias("note_text")
     )

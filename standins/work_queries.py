@@ -227,7 +227,7 @@ FROM customer LEFT JOIN latest ON latest.o_custkey = c_custkey
 LEFT JOIN nation ON n_nationkey = c_nationkey
 LEFT JOIN claims ON claims.o_custkey = c_custkey
 LEFT JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS note FROM conversations
-           WHERE role = 'user' GROUP BY 1) ON conv_id = c_custkey""",
+           GROUP BY 1) ON conv_id = c_custkey""",
 )
 def spine_features(t: Tables):
     from caseflow.operators.notes import reassemble
@@ -248,14 +248,12 @@ def spine_features(t: Tables):
         (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("claim_key"),
     )
     first = spine.first_claims(claims, "claim_key", ("claim_key",))
-    user = t.conversations.filter("role = 'user'").select(
-        F.col("conv_id").alias("account_id"), "turn", "text"
-    )
-    notes = reassemble(user, ["account_id"], "text", "turn", " ").select(
-        "account_id", F.col("text").alias("note_text")
+    turns = t.conversations.select(F.col("conv_id").alias("account_id"), "turn", "text")
+    notes = reassemble(turns, ["account_id"], "text", "turn", " ").select(
+        "account_id", "part_no", F.col("text").alias("note_text")
     )
     accounts = t.customer.select(F.col("c_custkey").alias("account_id"))
-    return spine.spine_features(accounts, latest, facility, first, notes)
+    return spine.spine_features(accounts, latest, facility, first, notes).drop("n_parts")
 
 
 # --- incremental ------------------------------------------------------------------------------
@@ -279,8 +277,9 @@ def incremental_unscored(t: Tables):
 
 @query(
     "unprocessed_letters",
-    """SELECT doc_id AS letter_id, length(text) AS n FROM documents
-WHERE length(text) > 100 AND doc_id NOT IN (SELECT doc_id FROM labels)""",
+    """SELECT doc_id AS letter_id, length(text) AS n,
+  CASE WHEN length(text) <= 100 THEN 'Insufficient text (' || length(text) || ' chars)' END AS skip_reason
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def unprocessed(t: Tables):
     letters = t.documents.select(
@@ -288,7 +287,7 @@ def unprocessed(t: Tables):
     )
     done = t.labels.select(F.col("doc_id").alias("letter_id"))
     return unprocessed_letters(letters, done).select(
-        "letter_id", F.length("letter_text").cast("long").alias("n")
+        "letter_id", F.length("letter_text").cast("long").alias("n"), "skip_reason"
     )
 
 
@@ -567,14 +566,14 @@ def missing_audit(t: Tables):
 @query(
     "length_profile",
     """SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS text_chars,
-  CAST(len(embedding) AS INTEGER) AS embedding_dims
-FROM documents JOIN embeddings ON vec_id = doc_id""",
+  CAST(len(embedding) AS DOUBLE) AS embedding_dims
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
 )
 def length_profile(t: Tables):
-    rows = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"))
+    rows = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"), "left")
     return quality.lengths(
         rows, ("doc_id", "lang"), {"text_chars": "text"}, {"embedding_dims": "embedding"}
-    )
+    ).withColumn("embedding_dims", F.col("embedding_dims").cast("double"))
 
 
 @query(

@@ -44,7 +44,7 @@ def test_event_details(spark):
 
 def test_timeline_text_cap(spark):
     rows = [(1, 1, datetime(2024, 1, 1, 0, i), "LAB", f"d{i}", i % 2) for i in range(9)]
-    text = timeline.timeline_text(records(spark, rows, schemas.TIMELINE), 3).first()
+    text = timeline.timeline_text(records(spark, rows, schemas.TIMELINE), max_events=3).first()
     assert text.n_events == 3
     assert text.timeline_text == (
         "[2024-01-01 00:00:00] LAB: d0\n[2024-01-01 00:01:00] LAB: d1 (ABNORMAL)\n"
@@ -52,6 +52,17 @@ def test_timeline_text_cap(spark):
     )
 
 
+def test_timeline_text_is_whole(spark):
+    rows = [(1, 1, datetime(2024, 1, 1, i // 60, i % 60), "LAB", f"d{i}", 0) for i in range(700)]
+    events = records(spark, rows, schemas.TIMELINE)
+    accounts = spark.createDataFrame([(1,), (2,)], "account_id long")
+    out = {r.account_id: r for r in timeline.timeline_text(events, accounts).collect()}
+    assert out[1].n_events == 700 and out[1].timeline_text.count("\n") == 699
+    assert out[2].timeline_text == timeline.NO_TIMELINE and out[2].n_events == 0
+    parts = timeline.timeline_text(events, part_chars=500).orderBy("part_no").collect()
+    assert len(parts) > 20 and "\n".join(p.timeline_text for p in parts) == out[1].timeline_text
+
+
 def test_sectioned_timeline(spark):
     enc = records(spark, [(1, 2, 3, T0, None)], schemas.ENCOUNTERS)
     dx = spark.createDataFrame(
@@ -182,8 +193,8 @@ def test_note_gate(spark):
         [(1, None, None), (2, "No Note Available", "x"), (3, "short", "x"), (4, "a long note", "found"), (5, "a long note", None)],
         "i int, t string, e string",
     )
-    out = frame.select("i", notes.gate(F.col("t"), F.col("e"), 8, 6).alias("g")).orderBy("i").collect()
-    assert [r.g for r in out] == ["Not available", "Not available", "short", "found", "a long..."]
+    out = frame.select("i", notes.gate(F.col("t"), F.col("e")).alias("g")).orderBy("i").collect()
+    assert [r.g for r in out] == ["Not available", "Not available", "x", "found", "a long note"]
 
 
 def test_notes_sections(spark):
@@ -197,6 +208,49 @@ def test_notes_sections(spark):
     assert notes.notes_summary(frame).first().notes_summary.startswith("## discharge_summary\nd\n\n## nursing")
 
 
+def test_parts_of_notes_lose_and_repeat_nothing(spark):
+    day = datetime(2024, 1, 1)
+    notes_of = lambda i, n: [(1, "Query", i, 90 + i, day, day.replace(hour=i), f"{i}w{k}", k) for k in range(n)]
+    lines = spark.createDataFrame(
+        [*notes_of(1, 40), *notes_of(2, 50)],
+        "account_id long, note_type string, note_id long, note_csn_id long, contact_date timestamp, "
+        "entry_ts timestamp, note_text string, line int",
+    )
+    keys = ["account_id", "note_type", "note_id", "note_csn_id", "contact_date", "entry_ts"]
+    texts = {}
+    for size in (20, 10**6):
+        parts = notes.reassemble(lines, keys, "note_text", "line", " ", size).withColumnRenamed("text", "note_text")
+        latest = notes.latest_notes(parts).orderBy("part_no").collect()
+        assert " ".join(r.note_text for r in latest) == " ".join(f"2w{k}" for k in range(50))
+        joined = notes.notes_by_type(parts, 10**6).collect()
+        assert len(joined) == 1 and joined[0].note_ids == "1, 2" and joined[0].note_text.count("[2024") == 2
+        texts[size] = joined[0].note_text.replace(notes.NOTE_SEPARATOR, " ")
+    assert texts[20] == texts[10**6]
+
+
+def test_consumers_keep_one_row_per_account_and_part(spark):
+    from caseflow.operators import report
+    from caseflow.plans import case, spine
+    from caseflow.profiles import SEPSIS
+
+    parts = spark.createDataFrame([(1, k, f"t{k}") for k in range(4)] + [(2, 0, "u")], "account_id long, part_no int, note_text string")
+    rows = spine.spine_features(parts.select("account_id"), parts).orderBy("account_id").collect()
+    assert [(r.account_id, r.note_text, r.n_parts) for r in rows] == [(1, "t0", 4), (2, "u", 1)]
+    plain = lambda names: spark.createDataFrame([], "account_id long, " + ", ".join(f"{n} string" for n in names))
+    denial = parts.withColumnRenamed("note_text", "denial_text").selectExpr(
+        "*", "'p' payor", "'1' original_drg", "'2' proposed_drg", "true is_condition_match"
+    )
+    conflicts = spark.createDataFrame([], "account_id long, conflicts array<string>, recommendation string")
+    cases = case.read_back(
+        denial, plain(["patient_name", "patient_dob", "facility_name", "date_of_service"]),
+        parts.withColumnRenamed("note_text", "structured_summary"), plain(["total_score", "organs_scored"]), conflicts,
+    )
+    assert cases.count() == 5 and {r.structured_summary for r in cases.collect()} == {"t0", "u"}
+    more = cases.selectExpr("*", "null notes_section", "null scores_text", "null definition", "null template_letter")
+    prompts = report.writer_context(more, "{denial_letter_text}", SEPSIS).orderBy("account_id", "part_no").collect()
+    assert [r.prompt for r in prompts] == ["t0", "t1", "t2", "t3", "u"]
+
+
 RAW = "account_id long, us long, category string, value double"
 
 

@@ -182,3 +182,12 @@ def test_encounter_times(spark):
         times.recorded(F.lit("2024-01-05 10:11:12.345")),
     )
     assert (r.c0, r.c1, r.c2, r.c3) == (2, 43, "DURING", "AFTER") and r.c4.second == 12
+
+
+def test_no_value_ends_a_job(spark):
+    numbers = ["1e999", "-1e999", "1e308", "<1e-320", "99999999999", "1e30"]
+    got = each(spark, numbers, values.safe_double)
+    assert got[:3] == [None, None, 1e308] and got[4:] == [99999999999.0, 1e30]
+    frame = spark.createDataFrame([(1e300,), (float("inf"),), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in frame.select(values.exact_round(F.col("x"), 1)).collect()][1::2] == [None, None]
+    assert [r[0] for r in frame.limit(2).select(values.clamp(F.col("x"), 1, 10)).collect()] == [10, 10]

@@ -56,11 +56,61 @@ def test_duplicates_form_no_pairs(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r for r in letters.duplicate_letters(letters.fingerprints(frame)).collect()}
     assert {d: (r.n_exact, r.n_partial, r.match_type) for d, r in out.items()} == {
-        0: (1, 2, "EXACT"), 1: (1, 2, "EXACT"), 2: (0, 3, "PARTIAL"), 3: (0, 3, "PARTIAL"),
+        0: (0, 3, "PARTIAL"), 1: (0, 3, "PARTIAL"), 2: (0, 3, "PARTIAL"), 3: (0, 3, "PARTIAL"),
     }
     copies = spark.createDataFrame([(i, base) for i in range(300)], "doc_id long, text string")
     rows = letters.duplicate_letters(letters.fingerprints(copies)).collect()
     assert len(rows) == 300 and {r.n_exact for r in rows} == {299}
+    members = letters.group_members(letters.fingerprints(copies)).collect()
+    assert {(r.group_id, r.group_size) for r in members} == {(0, 300)} and len(members) == 300
+
+
+def test_pages_and_replies_cost_their_length(spark):
+    import time
+
+    from caseflow.functions.text import key_values
+
+    def seconds(frame):
+        frame.write.format("noop").mode("overwrite").save()
+        start = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    def pages(n):
+        return letters.pages_of(spark.createDataFrame([(1, "line\n" * n)], "doc_id long, text string"), 10)
+
+    def reply(n):
+        text = "\n".join(f"K{i}: v" for i in range(n))
+        return spark.createDataFrame([(text,)], "r string").select(F.size(key_values(F.col("r"))))
+
+    for build, n in ((pages, 100_000), (reply, 20_000)):
+        assert seconds(build(2 * n)) < 3.2 * seconds(build(n)) + 0.5
+
+
+def test_a_later_none_takes_nothing_back(spark):
+    frame = spark.createDataFrame([("ORIGINAL_DRG: 871\noriginal_drg: NONE\nORIGINAL_DRG:\nPAYOR: a\nPAYOR: b",)], "reply string")
+    row = letters.denial_fields(frame, SEPSIS).first()
+    assert (row.original_drg, row.payor) == ("871", "b")
+
+
+def test_letter_text_takes_both_forms_of_evidence(spark):
+    import json
+
+    from caseflow.operators import report
+
+    body = {"salutation": "Dear", "rationale": {"organ_dysfunction": ["in words", {"criterion": "c", "value": 3, "threshold": "t"}]}}
+    frame = spark.createDataFrame([(json.dumps(body),), (json.dumps({"letter": body}),)], "reply string")
+    texts = [r[0] for r in frame.select(report.letter_text(F.col("reply"))).collect()]
+    assert texts[0] == texts[1] and "  - in words\n  - c: 3 (threshold: t)" in texts[0] and "Dear" in texts[0]
+
+
+def test_definitions_keep_their_summary(spark):
+    frame = spark.createDataFrame(
+        [("A_x.pdf", "short", "sum"), ("b.pdf", "text", ""), ("c.pdf", "text", None)],
+        "source_file string, definition_text string, definition_summary string",
+    )
+    out = letters.definition_library(frame, F.current_timestamp()).orderBy("source_file").collect()
+    assert [r.definition_summary for r in out] == ["sum", "text", "text"]
 
 
 @pytest.mark.parametrize(

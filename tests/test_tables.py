@@ -142,7 +142,8 @@ def test_incremental(spark):
     assert incremental.to_score(source, scored.limit(0), default).count() == 4
     letters = spark.createDataFrame([(1, "x" * 101), (2, "x" * 100), (3, None), (4, "y" * 200)], "letter_id long, letter_text string")
     done = spark.createDataFrame([(4,)], "letter_id long")
-    assert [r.letter_id for r in incremental.unprocessed_letters(letters, done).collect()] == [1]
+    out = {r.letter_id: r.skip_reason for r in incremental.unprocessed_letters(letters, done).collect()}
+    assert out == {1: None, 2: "Insufficient text (100 chars)", 3: "Insufficient text (0 chars)"}
 
 
 def test_files_are_taken_in_once(spark, tmp_path):
