@@ -78,6 +78,14 @@ def insert_unseen(rows: DataFrame, name: str, keys: tuple[str, ...]) -> None:
     append(unseen(first_of_each(rows, keys), rows.sparkSession.table(name), keys), name)
 
 
+def insert_unseen_files(rows: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """As ``insert_unseen``, for a table that is a folder of Parquet files."""
+    table = rows.sparkSession.read.parquet(path)
+    fresh = unseen(first_of_each(rows, keys), table, keys)
+    # the rows are staged first: a folder cannot be read and appended to in one job
+    staged(fresh).write.mode("append").parquet(path)
+
+
 def stamped(rows: DataFrame, column: str = "insert_tsp") -> DataFrame:
     return rows.withColumn(column, F.current_timestamp())
 

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from standins import (  # noqa: F401
+    file_queries,
     letter_queries,
     score_queries,
     timeline_queries,

@@ -157,10 +157,10 @@ SELECT account_id, 0 AS part_no,
     || chr(10) || chr(10)
     || '| Timestamp | PaO2 (mmHg) | FiO2 | PEEP (cmH2O) | P/F Ratio | Berlin Classification |'
     || chr(10) || '|---|---|---|---|---|---|' || chr(10) || body || chr(10) || chr(10)
-    || '{report.PF_INSTRUCTIONS}'
+    || 'Cite the computed P/F ratios as they stand.'
   ELSE 'P/F RATIO DATA: ' || measurements_calculated
     || ' measurement(s) calculated. All ratios >= 300 (worst = ' || CAST(worst_ratio AS VARCHAR)
-    || '). No ARF-qualifying P/F values. Do not cite P/F ratio as evidence of ARF for this case.'
+    || ').'
   END AS scores_text
 FROM pf JOIN lines USING (account_id)""",
 )
@@ -409,7 +409,7 @@ lines AS (
     || criterion || ' |', chr(10) ORDER BY ord) AS body
   FROM organs JOIN criteria USING (organ, score) WHERE score > 0 GROUP BY account_id
 )
-SELECT account_id, CASE WHEN total_score < 2 THEN '{report.NO_SOFA}' ELSE
+SELECT account_id, CASE WHEN total_score < 2 THEN 'SOFA score below 2 or unavailable.' ELSE
   'SOFA SCORES (calculated from raw clinical data):' || chr(10) || '24-hour scoring window ('
   || {SQL_LABEL} || '): ' || window_start || ' to ' || window_end || chr(10) || chr(10)
   || '| Organ System | Score | Value | Criteria |' || chr(10) || '|---|---|---|---|'

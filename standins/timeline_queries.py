@@ -184,6 +184,13 @@ def labs_extract(t: Tables):
 FROM events WHERE event_type IN ('purchase', 'signup') AND value >= 1""",
 )
 def vitals_extract(t: Tables):
+    enc = t.events.select(
+        F.col("user_id").alias("account_id"), F.col("user_id").alias("encounter_id")
+    ).distinct()
+    return vitals_rows(t, enc)
+
+
+def vitals_rows(t: Tables, enc):
     ids = F.when(F.col("event_type") == "purchase", "5").when(
         F.col("event_type") == "signup", "1525"
     )
@@ -194,9 +201,6 @@ def vitals_extract(t: Tables):
         F.when(F.col("value") >= 1, F.col("value").cast("string")).alias("measure_value"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("recorded_time"),
     )
-    enc = t.events.select(
-        F.col("user_id").alias("account_id"), F.col("user_id").alias("encounter_id")
-    ).distinct()
     rows = extract.vitals(enc, sheet)
     return rows.withColumn("event_time", F.date_format("event_ts", TS)).drop("event_ts")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from caseflow.functions.times import DAY, micros
-from caseflow.operators import extract, quality, report
+from caseflow.operators import extract, notes, quality, report
 from caseflow.plans import case, spine, workqueue
 from caseflow.profiles import SEPSIS
 from caseflow.operators.textparts import json_parts
@@ -15,6 +15,7 @@ from caseflow.session import checkpoint_dir
 from caseflow.sources.sinks import replace_slice, unseen
 from caseflow.streaming.incremental import to_score, unprocessed_letters
 from standins.registry import Tables, query
+from standins.timeline_queries import extracted
 
 AS_OF = "1999-06-30"
 CLASSES = {"Medicare": (1, 2), "Commercial": (3, 4)}
@@ -249,11 +250,11 @@ def spine_features(t: Tables):
     )
     first = spine.first_claims(claims, "claim_key", ("claim_key",))
     turns = t.conversations.select(F.col("conv_id").alias("account_id"), "turn", "text")
-    notes = reassemble(turns, ["account_id"], "text", "turn", " ").select(
+    texts = reassemble(turns, ["account_id"], "text", "turn", " ").select(
         "account_id", "part_no", F.col("text").alias("note_text")
     )
     accounts = t.customer.select(F.col("c_custkey").alias("account_id"))
-    return spine.spine_features(accounts, latest, facility, first, notes).drop("n_parts")
+    return spine.spine_features(accounts, latest, facility, first, texts).drop("n_parts")
 
 
 # --- incremental ------------------------------------------------------------------------------
@@ -395,7 +396,8 @@ def case_summary(t: Tables):
 TEMPLATE = (
     "Patient {patient_name}, account {hsp_account_id}, payor {payor}, DRG {original_drg} to "
     "{proposed_drg}.\n{denial_letter_text}\n{structured_data_summary}\n{clinical_scores_section}\n"
-    "{clinical_definition_section}\n{gold_letter_section}"
+    "{clinical_definition_section}\n{gold_letter_section}\n{clinical_notes_section}\n"
+    "{conditional_rebuttals_section}"
 )
 
 
@@ -407,21 +409,42 @@ SELECT account_id, 'Patient ' || patient_name || ', account ' || account_id || '
   || structured_summary || chr(10) || coalesce('score ' || total_score,
      'Clinical scores not available.') || chr(10)
   || CASE WHEN account_id % 2 = 0 THEN '## OFFICIAL SEPSIS DEFINITION' || chr(10) || 'two'
-     ELSE 'No specific definition loaded.' END || chr(10) AS prompt
-FROM cases""",
+     ELSE 'No specific definition loaded.' END || chr(10)
+  || CASE WHEN account_id % 3 = 0 THEN 'letter ' || account_id ELSE '' END || chr(10)
+  || coalesce(notes_section, 'No clinical notes available.') || chr(10) || coalesce(rebuttals, '') AS prompt
+FROM cases LEFT JOIN (
+  SELECT account_id, coalesce(string_agg('## ' || title || chr(10) || note_text, chr(10) || chr(10)
+    ORDER BY priority, note_key) FILTER (WHERE note_text <> 'Not available'),
+    'No clinical notes available.') AS notes_section
+  FROM (SELECT conv_id AS account_id,
+      CASE role WHEN 'assistant' THEN 'discharge_summary' WHEN 'user' THEN 'nursing_note' ELSE 'zz_other' END AS note_key,
+      CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 8 ELSE 9 END AS priority,
+      CASE role WHEN 'assistant' THEN 'Discharge Summary' WHEN 'user' THEN 'Nursing Note' ELSE 'Zz Other' END AS title,
+      CASE WHEN length(text) >= 40 THEN text ELSE 'Not available' END AS note_text
+    FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1)
+  GROUP BY account_id) USING (account_id)
+LEFT JOIN (
+  SELECT o_custkey AS account_id, string_agg('## ' || o_orderpriority || chr(10) || n || ' orders',
+    chr(10) || chr(10) ORDER BY o_orderpriority) AS rebuttals
+  FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)
+  USING (account_id)""",
 )
 def writer_context(t: Tables):
     even = F.col("account_id") % 2 == 0
     cases = read_back(t).select(
         "*",
-        F.lit(None).cast("string").alias("notes_section"),
         F.concat(F.lit("score "), F.col("total_score").cast("string")).alias("scores_text"),
         F.when(even, "two").alias("definition"),
-        F.lit(None).cast("string").alias("template_letter"),
+        F.when(
+            F.col("account_id") % 3 == 0, F.concat(F.lit("letter "), F.col("account_id").cast("string"))
+        ).otherwise("").alias("template_letter"),
     )
     # a value that looks like a placeholder stays as it is
     cases = cases.withColumn("denial_text", F.concat("denial_text", F.lit(" {payor}")))
-    return report.writer_context(cases, TEMPLATE, SEPSIS)
+    section = notes.notes_section(extracted(t)).filter("part_no = 0").select("account_id", "notes_section")
+    counts = t.orders.groupBy(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("name"))
+    rebuttals = counts.agg(F.concat(F.count("*").cast("string"), F.lit(" orders")).alias("text"))
+    return report.writer_context(cases.join(section, "account_id", "left"), TEMPLATE, SEPSIS, rebuttals)
 
 
 SQL_STATUS = """
@@ -495,8 +518,7 @@ def records_json(t: Tables):
     """SELECT lang AS condition_name, source || '_' || doc_id AS source_file, text AS letter_text,
   1 AS version FROM documents WHERE lang <> 'de'
 UNION ALL
-SELECT 'de', source || '_' || doc_id, upper(lang), 2 FROM documents WHERE lang = 'de'
-  AND length(text) > 500""",
+SELECT 'de', source || '_' || doc_id, text || ' again', 2 FROM documents WHERE lang = 'de'""",
 )
 def kb_replace_slice(t: Tables):
     """All letters are written by condition; then one condition is ingested anew."""
@@ -508,9 +530,10 @@ def kb_replace_slice(t: Tables):
     )
     path = f"{checkpoint_dir(t.spark)}/library/{uuid.uuid4().hex}"
     replace_slice(first, path, "condition_name")
-    again = first.filter("condition_name = 'de' and length(letter_text) > 500")
+    again = first.filter("condition_name = 'de'")
+    changed = F.concat("letter_text", F.lit(" again"))
     replace_slice(
-        again.withColumns({"letter_text": F.upper("condition_name"), "version": F.lit(2)}),
+        again.withColumns({"letter_text": changed, "version": F.lit(2)}),
         path,
         "condition_name",
     )

@@ -228,8 +228,9 @@ def test_letter_text_optional_sections(spark):
 
 
 def test_rebuttals_and_status(spark):
-    assert report.rebuttals_text(SEPSIS) == ""
-    assert report.rebuttals_text(RESPIRATORY_FAILURE).count("\n## ") == 2
+    rows = spark.createDataFrame([(1, "b", "two"), (1, "a", "one"), (2, "c", "x")], "account_id long, name string, text string")
+    sections = {r.account_id: r.rebuttals_section for r in report.rebuttal_sections(rows).collect()}
+    assert sections == {1: "## a\none\n\n## b\ntwo", 2: "## c\nx"}
     frame = spark.createDataFrame(
         [(1, "bad", True, "gen"), (2, None, False, "gen"), (3, None, True, "gen"), (4, None, True, None), (5, None, None, None)],
         "i int, p string, s boolean, g string",
