@@ -163,8 +163,12 @@ def _diagnosis_branches(
     problems: DataFrame,
     dictionary: DataFrame,
     same_account_only: bool,
+    once: bool = False,
 ) -> DataFrame:
-    """The three diagnosis sources in one shape, with the encounter's bounds."""
+    """The three diagnosis sources in one shape, with the encounter's bounds.
+
+    With ``once`` equal diagnoses of a patient fall together before they meet the patient's stays.
+    """
     names = dictionary.select("dx_id", "dx_name")
     bounds = [*ENCOUNTER, "patient_id", "start_ts", "end_ts"]
     out = ["account_id", "encounter_id", "start_ts", "end_ts", "dx_id", "dx_name", "icd10_code"]
@@ -190,9 +194,18 @@ def _diagnosis_branches(
         )
         .join(names, "dx_id", "left")
     )
-    inpatient = encounters.select(*bounds).join(billed, "patient_id")
+    listed = problems.filter(F.col("status") == "Active").select(
+        "patient_id", "problem_id", "problem_name", "problem_icd10_code", "entry_date"
+    )
+    if once:
+        listed = listed.distinct()
+        billed = (billed if same_account_only else billed.drop("dx_account")).distinct()
     if same_account_only:
-        inpatient = inpatient.filter(F.col("dx_account") == F.col("account_id"))
+        # a stay meets the diagnoses of its own account only
+        own = billed.withColumnRenamed("dx_account", "account_id")
+        inpatient = encounters.select(*bounds).join(own, ["patient_id", "account_id"])
+    else:
+        inpatient = encounters.select(*bounds).join(billed, "patient_id")
     inpatient = inpatient.select(
         *out,
         F.col("discharge_ts").cast("timestamp").alias("event_ts"),
@@ -201,7 +214,7 @@ def _diagnosis_branches(
     )
     problem_list = (
         encounters.select(*bounds)
-        .join(problems.filter(F.col("status") == "Active"), "patient_id")
+        .join(listed, "patient_id")
         .select(
             "account_id",
             "encounter_id",
@@ -235,7 +248,7 @@ def diagnoses(
     """
     rows = _diagnosis_branches(
         encounters, encounter_dx, contacts, account_dx, discharges, problems, dictionary,
-        same_account_only,
+        same_account_only, once=True,
     )
     return (
         rows.filter(

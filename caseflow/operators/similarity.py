@@ -11,19 +11,22 @@ from caseflow.functions.values import fixed
 from caseflow.operators.windows import top_per
 
 THRESHOLD = 0.7
-BLOCK_ROWS = 2048
+# Each side is sent once per block of the other: the fewer blocks, the less is sent.
+BLOCK_ROWS = 8192
+# Of a block so many queries are scored at a time, which bounds the matrix of scores.
+CHUNK_ROWS = 256
 # Scores are compared to this many digits, so that the order of additions cannot reorder matches.
 DIGITS = 9
 
 
 def _blocks(rows: DataFrame, block_rows: int):
-    """Number of blocks, as a scalar subquery over the row count."""
-    return rows.agg(
+    """Number of blocks, as a scalar subquery over the count of vectors."""
+    return rows.filter(F.col("embedding").isNotNull()).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")
     ).scalar()
 
 
-def _scored(k: int, exclude_same: bool):
+def _scored(k: int, exclude_same: bool, chunk_rows: int = CHUNK_ROWS):
     """Best ``k`` of one block of letters for each query of one block of queries."""
 
     def matrix(vectors: pd.Series) -> np.ndarray:
@@ -32,11 +35,15 @@ def _scored(k: int, exclude_same: bool):
         return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
     def score(queries: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "letter_id": [], "score": []})
         if queries.empty or letters.empty:
-            return empty
-        scores = np.round(matrix(queries["_vector"]) @ matrix(letters["_vector"]).T, DIGITS)
+            return pd.DataFrame({"query_id": [], "letter_id": [], "score": []})
+        own, theirs = matrix(queries["_vector"]), matrix(letters["_vector"]).T
         q_ids, l_ids = queries["query_id"].to_numpy(), letters["letter_id"].to_numpy()
+        starts = range(0, len(own), chunk_rows)
+        return pd.concat([best(own[i : i + chunk_rows], theirs, q_ids[i : i + chunk_rows], l_ids) for i in starts])
+
+    def best(own: np.ndarray, theirs: np.ndarray, q_ids: np.ndarray, l_ids: np.ndarray) -> pd.DataFrame:
+        scores = np.round(own @ theirs, DIGITS)
         if exclude_same:
             scores[q_ids[:, None] == l_ids[None, :]] = -np.inf
         n = min(k, scores.shape[1])

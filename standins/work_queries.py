@@ -95,7 +95,7 @@ SELECT account_id, c.id_kind AS id_kind, 0 AS part_no, count(*) AS n_rows,
 FROM ids WHERE c.v IS NOT NULL GROUP BY 1, 2""",
 )
 def claim_id_lists(t: Tables):
-    return extract.claim_id_lists(claim_rows(t), F.col("l_linenumber").cast("long"), 1000)
+    return extract.claim_id_lists(claim_rows(t), F.col("l_linenumber").cast("long"), 1)
 
 
 KINDS = ("Payor", "Plans", "Payor or plan", "Payor and Location?")
