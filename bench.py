@@ -19,9 +19,10 @@ from caseflow.session import local_session  # noqa: E402
 from standins.catalogue import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "merged_timeline", "timeline_text_capped", "labs_extract", "diagnosis_timing", "notes_by_type",
+    "merged_timeline", "timeline_text", "sectioned_timeline", "labs_extract", "diagnosis_timing", "notes_by_type",
     "nearest_unbounded", "pf_series", "sofa_sliding", "sofa_anchored", "numeric_crosscheck",
-    "denial_page_split", "duplicate_letters", "scan_confidence", "template_match_topk",
+    "score_table_text", "pf_table_text", "claim_id_lists", "letter_library", "letter_sections",
+    "template_match_top1", "timeline_text_capped", "denial_page_split", "duplicate_letters", "scan_confidence", "template_match_topk",
     "guideline_match", "workqueue_population", "address_mapping", "claim_rollup", "spine_features",
     "incremental_unscored", "insert_unseen", "condition_type",
 )
