@@ -335,25 +335,23 @@ def score_windows(
     admission, 2 at the first diagnosis; anything else slides. Accounts with nothing to score have
     no window.
     """
-    sliding = best_windows(events, length_us, width_us)
+    columns = ("account_id", "start_us", "end_us", "window_mode")
     if anchors is None:
-        return sliding.select(
-            "account_id", "start_us", "end_us", F.lit(SLIDING).alias("window_mode")
-        )
+        return best_windows(events, length_us, width_us).withColumn("window_mode", F.lit(SLIDING)).select(*columns)
     admission = (F.col("poa_code") == 1) & F.col("admit_ts").isNotNull()
     first_dx = (F.col("poa_code") == 2) & F.col("first_dx_ts").isNotNull()
-    start = (
-        F.when(admission, micros(F.col("admit_ts")))
-        .when(first_dx, micros(F.col("first_dx_ts")))
-        .otherwise(F.col("start_us"))
-    )
-    mode = F.when(admission, ADMISSION).when(first_dx, FIRST_DX).otherwise(SLIDING)
-    joined = sliding.join(
-        anchors.select("account_id", "admit_ts", "poa_code", "first_dx_ts"), "account_id", "left"
+    start = F.when(admission, micros(F.col("admit_ts"))).otherwise(micros(F.col("first_dx_ts")))
+    decided = anchors.filter(admission | first_dx).select(
+        "account_id",
+        start.alias("start_us"),
+        (start + length_us).alias("end_us"),
+        F.when(admission, ADMISSION).otherwise(FIRST_DX).alias("window_mode"),
     )
-    return joined.select(
-        "account_id", start.alias("start_us"), mode.alias("window_mode")
-    ).select("account_id", "start_us", (F.col("start_us") + length_us).alias("end_us"), "window_mode")
+    # only accounts that no anchor decides are searched
+    free = events.join(decided.select("account_id"), "account_id", "left_anti")
+    sliding = best_windows(free, length_us, width_us).withColumn("window_mode", F.lit(SLIDING))
+    fixed = decided.join(events.select("account_id").distinct(), "account_id", "left_semi")
+    return fixed.unionByName(sliding.select(*columns))
 
 
 def in_windows(events: DataFrame, windows: DataFrame, width_us: int = HOUR) -> DataFrame:
