@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from caseflow.session import local_session  # noqa: E402
+from caseflow.sources.sinks import remove_staged  # noqa: E402
 from standins.catalogue import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -56,6 +57,7 @@ def main() -> None:
             }
         )
     )
+    remove_staged(spark)
     spark.stop()
 
 

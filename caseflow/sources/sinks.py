@@ -97,11 +97,21 @@ def staged(rows: DataFrame) -> DataFrame:
     of an executor costs a re-read. Parquet, so later steps read the columns they need.
     """
     spark = rows.sparkSession
-    path = f"{checkpoint_dir(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{_staging_folder(spark)}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def _staging_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Deletes what this application staged; for the end of a run, when no frame reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_texts(rows: DataFrame, path: str, key: str, text: str) -> None:
     """One folder of text per key value, for letters to hand out."""
     rows.select(key, text).write.mode("overwrite").partitionBy(key).text(path)

@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 
 import pytest
@@ -178,3 +179,14 @@ def test_registry_is_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 70
+
+
+def test_staged_files_can_be_removed(spark, tmp_path):
+    from caseflow.sources import sinks
+
+    rows = sinks.staged(spark.range(5))
+    assert rows.count() == 5
+    folder = sinks._staging_folder(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    sinks.remove_staged(spark)
+    assert not os.path.exists(folder)
