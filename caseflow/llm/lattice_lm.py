@@ -105,6 +105,7 @@ class Lattice:
         total = math.log(sum(counts.get(i, 0) for i in usable) + ends + len(usable) + 1)
         self.pieces: dict[str, float] = {}
         self.bytes: dict[int, float] = {}
+        self.characters: dict[str, float] = {}
         for i in usable:
             value = math.log(counts.get(i, 0) + 1) - total
             if model.is_byte(i):
@@ -114,22 +115,37 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         self.end = math.log(ends + 1) - total
 
+    def _character(self, character: str) -> float:
+        """A character by itself: as a piece, if it is one, or by its bytes."""
+        value = sum(self.bytes.get(b, -50.0) for b in character.encode("utf-8", "replace"))
+        piece = self.pieces.get(character)
+        if piece is not None:
+            value = max(value, piece) + math.log1p(math.exp(-abs(value - piece)))
+        self.characters[character] = value
+        return value
+
     def word(self, word: str) -> float:
+        """Forward recursion: the score of a prefix is the log of the sum over the last piece.
+
+        Terms are taken relative to the division that ends in a single character, which there always is.
+        """
         text = _BLANK + word
-        n = len(text)
-        score = [0.0] + [-math.inf] * n
-        pieces, longest = self.pieces, self.longest
-        for stop in range(1, n + 1):
-            found = []
-            for start in range(max(0, stop - longest), stop):
+        pieces, longest, characters = self.pieces, self.longest, self.characters
+        score = [0.0]
+        for stop in range(1, len(text) + 1):
+            last = text[stop - 1]
+            base = characters.get(last)
+            base = score[-1] + (self._character(last) if base is None else base)
+            terms = []
+            for start in range(stop - longest if stop > longest else 0, stop - 1):
                 value = pieces.get(text[start:stop])
                 if value is not None:
-                    found.append(score[start] + value)
-            # a character can always be spelled by its bytes
-            found.append(score[stop - 1] + sum(self.bytes.get(b, -50.0) for b in text[stop - 1].encode("utf-8", "replace")))
-            top = max(found)
-            score[stop] = top + math.log(sum(math.exp(x - top) for x in found)) if len(found) > 1 else top
-        return score[n]
+                    terms.append(score[start] + value - base)
+            if terms:
+                top = max(0.0, *terms)
+                base += top + math.log(math.exp(-top) + sum([math.exp(x - top) for x in terms]))
+            score.append(base)
+        return score[-1]
 
 
 def _likelihoods(batches: Iterator[pa.RecordBatch], vocabulary: str, lattice) -> Iterator[pa.RecordBatch]:
@@ -145,34 +161,35 @@ def _scored(
     known = frequent.value
     names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
     for part, texts in slices(batches):
-        out: list[list] = [[] for _ in names[2:]]
-        at: list[int] = []
+        words: list[bytes] = []
+        times: list[int] = []
+        heads, sums = [], []
         for i, text in enumerate(texts):
             found = Counter(text.translate(_LOWER).encode("utf-8", "replace").split())
-            base, score, hits, total = end_base, end_score, int(end_known), 1
-            rare = []
-            for word, times in found.items():
-                total += times
+            base, score, hits = end_base, end_score, int(end_known)
+            heads.append(len(words))
+            for word, n in found.items():
                 value = known.get(word)
                 if value is None:
-                    rare.append((word, times))
+                    words.append(word)
+                    times.append(n)
                 else:
-                    base += times * value[0]
-                    score += times * value[1]
-                    hits += times
-            # a text of frequent words alone: a row that meets no word (it has a blank), so
-            # that such rows spread over the tasks
-            head = rare[:1] or [(b" %d" % i, 0)]
-            for column, value in zip(out, (head[0][0], head[0][1], total, hits, base, score), strict=True):
-                column.append(value)
-            at.append(i)
-            for word, times in rare[1:]:
-                for column, value in zip(out, (word, times, 0, 0, 0.0, 0.0), strict=True):
-                    column.append(value)
-                at.append(i)
-        take = pa.array(at, pa.int64())
-        columns = [part.column(2).take(take), part.column(0).take(take), pa.array(out[0], pa.binary()).cast(pa.string())]
-        columns += [pa.array(x, pa.int64()) for x in out[1:4]] + [pa.array(x, pa.float64()) for x in out[4:]]
+                    base += n * value[0]
+                    score += n * value[1]
+                    hits += n
+            if len(words) == heads[-1]:
+                # a text of frequent words alone: a row that meets no word (it has a blank), so
+                # that such rows spread over the tasks
+                words.append(b" %d" % i)
+                times.append(0)
+            sums.append((1 + found.total(), hits, base, score))
+        # the first row of a text carries what was summed here
+        take = np.repeat(np.arange(len(texts)), np.diff([*heads, len(words)]))
+        own = np.zeros((len(words), 4))
+        own[heads] = sums
+        columns = [part.column(2).take(pa.array(take)), part.column(0).take(pa.array(take))]
+        columns += [pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())]
+        columns += [pa.array(own[:, k].astype(np.int64)) for k in (0, 1)] + [pa.array(own[:, k].copy()) for k in (2, 3)]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
