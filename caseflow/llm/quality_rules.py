@@ -75,7 +75,8 @@ def repeated_words(words: Column, width: int = 3) -> Column:
 
         n = F.size(a) - (width - 1)
         return F.when(n < 2, F.array().cast("array<struct<w:string,i:int>>")).otherwise(
-            F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), window))
+            # sort_array compares by the type's own order, array_sort by an expression for each pair
+            F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), window))
         )
 
     def repeated(s: Column) -> Column:
@@ -84,7 +85,7 @@ def repeated_words(words: Column, width: int = 3) -> Column:
             after = F.get(s, i + 1)["w"]
             return F.when(before.eqNullSafe(x["w"]) | after.eqNullSafe(x["w"]), x["i"])
 
-        return F.array_sort(F.filter(F.transform(s, again), lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(F.transform(s, again), lambda i: i.isNotNull()))
 
     def covered(p: Column) -> Column:
         each = F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width))))
@@ -93,10 +94,7 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return let(words, lambda a: let(places(a), lambda s: let(repeated(s), covered)))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = words_of(text)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     bare = F.regexp_replace(text, SPACE_RUN, "")
     return {
         "n_words": F.size(words).cast("long"),
@@ -105,7 +103,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words),
-        "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
     }
 
 
@@ -127,8 +125,14 @@ def judge(
 
     Null or empty text has no words and fails. Repeated rows: one result each. Empty table: no rows.
     """
-    measured = docs.select(docs[id_col].alias("doc_id"), text_of(text_col).alias("text"))
-    measured = measured.select("doc_id", *[c.alias(n) for n, c in measures(F.col("text")).items()])
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # words and lines are columns of their own, so that each text is split once
+    split = docs.select(docs[id_col].alias("doc_id"), text_of(text_col).alias("text")).select(
+        "doc_id", "text", words_of(text).alias("words"), lines.alias("lines")
+    )
+    found = measures(text, F.col("words"), F.col("lines"))
+    measured = split.select("doc_id", *[c.alias(n) for n, c in found.items()])
     named = [F.when(breaks(r), F.lit(r.name)) for r in (*base_rules, *rules)]
     failed = F.lit(False)
     for rule in base_rules:
