@@ -11,20 +11,24 @@ later arrival can change the signature.
 
 Texts that share a band meet in its bucket. Not all pairs of a bucket are compared: a bucket's
 members are compared with one pivot, the links found are merged into classes, and only buckets that
-still hold several classes go on, with four times as many pivots, those with the most links first.
-A pivot leaves its bucket once all have met it, and members of one class need not meet. So a bucket
-of near copies costs a comparison each, and yet every pair of a bucket is either compared or already
-in one class: no cap, and no link lost. A pair at 0.8 misses all 30 bands of 5 rows once in 150,000.
+still hold several classes go on, with 8, 64, ... pivots each, those with the most links first, and
+with more where that brings no more comparisons than there are different texts. A pivot leaves its
+bucket once all have met it, and members of one class need not meet. After the first round each open
+text's own shingles are weighed, those that no other open text has: they bound its similarity to any
+of them, and pairs that cannot reach the threshold do not meet. So a bucket of near copies costs a
+comparison each, and yet every pair of a bucket is compared, or in one class, or proven apart: no
+cap, and no link lost. A pair at 0.8 misses all 30 bands of 5 rows once in 150,000.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,28 +158,85 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
     return dealt.mapInArrow(in_tasks(_compared, width, threshold), "pivot long, node long, linked boolean")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle, and for each node one without shingle that holds its totals."""
+    for part, texts in slices(batches):
+        for node, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            shingles, weights = weighted(text, width)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([node] * (len(shingles) + 1), pa.int64()),
+                    pa.array([None, *shingles.view(np.int64)], pa.int64()),
+                    pa.array([weights.sum(), *weights], pa.int64()),
+                    pa.array([len(shingles)] * (len(shingles) + 1), pa.int64()),
+                ],
+                names=["node", "shingle", "weight", "size"],
+            )
+
+
+def own_shares(texts: DataFrame, width: int) -> DataFrame:
+    """Per node: size (different shingles), total (with repeats), own (weight of shingles no other node has)."""
+    rows = texts.select("node", "text").mapInArrow(
+        in_tasks(_shingle_rows, width), "node long, shingle long, weight long, size long"
+    )
+    # the rows without shingle are told apart by their node, so that they do not meet in one task
+    key = F.when(F.col("shingle").isNull(), F.col("node")).alias("whole")
+    found = rows.groupBy("shingle", key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"), F.min("size").alias("size")
+    )
+    total = F.when(F.col("shingle").isNull(), F.col("weight"))
+    own = F.when(F.col("shingle").isNotNull(), F.col("weight"))
+    return (
+        found.filter("n = 1 or shingle is null")
+        .groupBy("node")
+        .agg(F.max("size").alias("size"), F.max(total).alias("total"), F.coalesce(F.sum(own), F.lit(0)).alias("own"))
+    )
+
+
+def reachable(threshold: float, a: str, b: str) -> Column:
+    """Whether two nodes can be as similar as the threshold, by what each has that the other lacks.
+
+    A similarity is at most 1 - own / total of either. Where no shingle repeats it is the Jaccard
+    similarity, and the shared shingles are at most size - own of either.
+    """
+    n = {x: F.col(f"{x}.size") for x in (a, b)}
+    whole = {x: F.col(f"{x}.total") for x in (a, b)}
+    own = {x: F.col(f"{x}.own") for x in (a, b)}
+    weak = F.lit(True)
+    for x in (a, b):
+        weak = weak & (whole[x] - own[x] >= (threshold - 1e-9) * whole[x])
+    shared = F.least(*[n[x] - own[x] for x in (a, b)])
+    plain = (n[a] == whole[a]) & (n[b] == whole[b])
+    return weak & (~plain | (shared * (1 + threshold) >= (threshold - 1e-9) * (n[a] + n[b])))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) by large and small stars: node, class (its smallest node)."""
-    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = staged(edges.distinct())
     while True:
-        if edges.isEmpty():
+        # done once every node has one edge, to a node that has none
+        ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        tops = edges.select(F.col("v").alias("u"), F.lit(True).alias("top")).distinct()
+        if ends.join(tops, "u", "left").filter("n > 1 or top").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = staged(
-            small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .filter("u <> v")
-            .distinct()
-        )
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        mark = now
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+
+
+def merged_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes after further links, which are followed from class to class only."""
+    if classes is None:
+        return components(links)
+    ends = _with_class(_with_class(links, classes, "a"), classes, "b")
+    moved = components(ends.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+    onward = moved.select(F.col("node").alias("class"), F.col("class").alias("__to"))
+    kept = classes.join(onward, "class", "left").select("node", F.coalesce("__to", "class").alias("class"))
+    return staged(kept.unionByName(moved))
 
 
 def find_near_copies(
@@ -208,29 +269,47 @@ def find_near_copies(
     # repeated rows would bring a text twice
     texts = staged(text.join(chosen, same).groupBy("node").agg(F.first("text").alias("text")))
 
-    done, classes, count = None, None, 1
-    while True:
-        pairs = open_rows.join(pivots, "band").filter("node <> pivot")
-        if classes is not None:
-            pairs = _with_class(_with_class(pairs, classes, "node"), classes, "pivot").filter("node_class <> pivot_class")
-        pairs = pairs.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")).distinct()
+    budget = nodes.count()
+    done = classes = shares = None
+    for later in itertools.count(1):
+        if shares is None:
+            met = open_rows.join(pivots, "band").filter("node <> pivot")
+        else:
+            # the bounds of a text are carried along, so that pairs proven apart are not made
+            a = open_rows.join(shares, "node").select("band", "node", "node_class", F.struct("size", "total", "own").alias("a"))
+            b = pivots.join(shares, pivots["pivot"] == shares["node"]).select(
+                "band", "pivot", "pivot_class", F.struct("size", "total", "own").alias("b")
+            )
+            apart = (F.col("node") != F.col("pivot")) & (F.col("node_class") != F.col("pivot_class"))
+            met = a.join(b, "band").filter(apart & reachable(threshold, "a", "b"))
+        pairs = met.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["pivot", "node"], "left_anti")
         fresh = staged(verified(pairs, texts, width, threshold))
         done = fresh if done is None else done.unionByName(fresh)
-        links = done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        classes = components(links)
-        left = _with_class(open_rows.join(pivots.withColumnRenamed("pivot", "node"), ["band", "node"], "left_anti"), classes, "node")
-        mixed = left.groupBy("band").agg(F.min("node_class").alias("a"), F.max("node_class").alias("b")).filter("a <> b")
-        open_rows = staged(left.join(mixed.select("band"), "band").select("band", "node"))
-        if open_rows.isEmpty():
+        classes = merged_classes(classes, _links(fresh))
+        used = pivots.select("band", F.col("pivot").alias("node"))
+        left = open_rows.select("band", "node").join(used, ["band", "node"], "left_anti")
+        open_rows = staged(_mixed(_with_class(left, classes, "node")))
+        if shares is None:
+            # weighed once, over the texts that are open now; texts open later are fewer
+            waiting = open_rows.select("node").distinct()
+            shares = staged(own_shares(texts.join(waiting, "node", "left_semi"), width))
+            able = shares.filter(F.col("total") - F.col("own") >= (threshold - 1e-9) * F.col("total"))
+            open_rows = staged(_reaching(open_rows.join(able, "node"), threshold))
+        # how many comparisons so many pivots of each bucket would bring: each row has n in its bucket
+        sizes = [4**k for k in range(1, 12)]
+        costs = open_rows.agg(F.count(F.lit(1)), *[F.sum(F.least("n", F.lit(c))) for c in sizes]).first()
+        if not costs[0]:
             break
-        count *= 4
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        count = max([8**later, *(c for c, cost in zip(sizes, costs[1:], strict=True) if cost <= budget)])
+        degree = _links(done).select(F.explode(F.array("a", "b")).alias("node"))
+        degree = degree.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         order = Window.partitionBy("band").orderBy(F.col("degree").desc_nulls_last(), "node")
         ranked = open_rows.join(degree, "node", "left").withColumn("nth", F.row_number().over(order))
-        pivots = staged(ranked.filter(F.col("nth") <= count).select("band", F.col("node").alias("pivot")))
+        pivots = staged(
+            ranked.filter(F.col("nth") <= count).select("band", F.col("node").alias("pivot"), F.col("node_class").alias("pivot_class"))
+        )
 
     counted = found.groupBy("node", "doc_id", "x").agg(F.count(F.lit(1)).alias("rows"))
     member = staged(_with_class(counted, classes, "node"))
@@ -250,6 +329,33 @@ def find_near_copies(
     )
 
 
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (band, node, node_class) of the buckets that hold several classes, with ``n``, the bucket's rows."""
+    found = rows.groupBy("band").agg(
+        F.min("node_class").alias("__a"), F.max("node_class").alias("__b"), F.count(F.lit(1)).alias("n")
+    )
+    return rows.join(found.filter("__a <> __b").select("band", "n"), "band")
+
+
+def _reaching(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows that can reach the threshold with some row of their bucket, by the sizes of its smallest and itself.
+
+    A partner has at least ``threshold`` times the size; if nothing repeats in the bucket, the shared
+    shingles must be ``threshold / (1 + threshold)`` of both sizes.
+    """
+    least = rows.groupBy("band").agg(
+        F.min("size").alias("__least"), F.bool_and(F.col("size") == F.col("total")).alias("__plain")
+    )
+    partner = F.greatest(F.col("__least"), F.col("size") * threshold)
+    able = (F.col("size") - F.col("own")) * (1 + threshold) >= (threshold - 1e-9) * (F.col("size") + partner)
+    kept = rows.join(least, "band").filter(~F.col("__plain") | able)
+    return _mixed(kept.select("band", "node", "node_class"))
+
+
 def _with_class(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     names = classes.select(F.col("node").alias(column), F.col("class").alias(f"__{column}"))
     joined = rows.join(names, column, "left")
