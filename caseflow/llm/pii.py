@@ -1,7 +1,8 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated thresholds.
 
-High-recall patterns propose spans of each kind; spans of different kinds may overlap. Those that a
-strict rule of the kind confirms (its base) always stay. Further spellings that pass the kind's check
+High-recall patterns propose spans of each kind, which may overlap. Those that a strict rule of the
+kind confirms (its base) always stay, and only they divide the text: where a strict match fails its
+check, spans inside it are proposed too. Further spellings that pass the kind's check
 (of digits, parts or domain) are judged by gradient-boosted trees on how a candidate is written and
 what stands around it. The trees learn over all documents: confirmed spans are positive, candidates
 that fail the check negative, further spellings unlabelled. A candidate is added where its
@@ -37,16 +38,39 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# What divides a text for the further spellings of a kind, which are looked for between such matches.
-DIVIDERS = BASE | {"card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+"}
+# A phone number led by a plus begins at the plus.
+_LED = r"(?<![0-9+(]|\+[0-9]{1,3}[\x20.-]|\+[0-9]{1,3}[\x20.-]\()"
 # Further spellings: at and dot written out, digits in groups with other separators, no leading plus.
 GENEROUS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+"
     r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?<![0-9A-Fa-f.:])(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f.:])",
     "card": r"(?<![0-9])[0-9]{3,6}+(?:[\x20./-][0-9]{2,7}+){2,4}+(?![0-9])",
-    "phone": r"(?<![0-9+])\(?[0-9]{2,4}+\)?[\x20.-][0-9]{2,4}+[\x20.-][0-9]{3,4}+(?![0-9])",
+    "phone": _LED + r"\(?[0-9]{2,4}+\)?[\x20.-][0-9]{2,4}+[\x20.-][0-9]{3,4}+(?![0-9])",
 }
+# Where numbers stand side by side, a span is tried from every group, in every number of groups, so that
+# spans overlap: per kind the stretches that are looked through (all the text, if none), and the forms tried in them.
+STRETCHES = {
+    "ip": r"[0-9]++(?:\.[0-9]++){3,}+",
+    "card": r"[0-9](?:[\x20./-]?[0-9]){12,}+",
+    "phone": r"[+(]{0,2}[0-9](?:[\x20().+-]{0,3}[0-9]){8,}+",
+}
+_GROUP = r"[\x20().-]{1,3}[0-9]{2,8}"
+FORMS = {
+    "email": (GENEROUS["email"].replace("(?<![A-Za-z0-9])", f"(?<!{_LOCAL})"),),
+    "ip": (r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",),
+    "card": (
+        r"(?<![0-9])[0-9]{13,19}(?![0-9])",
+        *[rf"(?<![0-9])[0-9]{{2,8}}(?:[\x20./-][0-9]{{2,8}}){{{n}}}(?![0-9])" for n in (1, 2, 3, 4)],
+    ),
+    # a form ends before a number that goes on with a point
+    "phone": (
+        r"\+[0-9]{9,15}(?![0-9])",
+        *[rf"\+[0-9]{{1,5}}(?:{_GROUP}){{{n}}}(?![0-9]|\.[0-9])" for n in (1, 2, 3, 4)],
+        *[rf"{_LED}\(?[0-9]{{2,5}}(?:{_GROUP}){{{n}}}(?![0-9]|\.[0-9])" for n in (1, 2, 3, 4)],
+    ),
+}
+SPANS = "array<struct<start:int,stop:int,found:string,before:string,after:string>>"
 NEAR = 24  # characters of context
 # Words before a candidate that announce its kind.
 HINTS = {
@@ -58,15 +82,19 @@ HINTS = {
 FEATURES = ("digits", "groups", "marks", "hint", "left", "right", "shape")
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str, overlap: bool = False) -> Column:
     """Non-overlapping matches from the left: array of (start, stop, found, before, after); code points.
 
-    Lengths of the stretches between matches give the places. Running sums are kept in blocks, so
-    that a text with very many matches does not copy its list of spans for each.
+    With ``overlap`` the match of every place, whatever else it overlaps. Lengths of the stretches
+    between matches give the places. Running sums are kept in blocks, so that a text with very many
+    matches does not copy its list of spans for each.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:int,stop:int,found:string,before:string,after:string>>"
-    empty = F.array().cast(kind)
+    first, group = 0, 0
+    if overlap:  # matches of no length, each with what it sees; the first is not at the start, where nothing is split off
+        text, pattern = F.concat(F.lit("\n"), text), f"(?=({pattern})((?s:.{{0,{NEAR}}})))"
+        first, group = -1, 1
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    empty = F.array().cast(SPANS)
 
     def placed(pieces: Column) -> Column:
         def put(state: Column, x: Column) -> Column:
@@ -76,7 +104,8 @@ def spans(text: Column, pattern: str) -> Column:
                 start.alias("start"), stop.alias("stop"), x["found"].alias("found"),
                 F.right(x["gap"], F.lit(NEAR)).alias("before"), F.left(x["next"], F.lit(NEAR)).alias("after"),
             )
-            return F.struct(stop.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+            at = start if overlap else stop
+            return F.struct(at.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
 
         def block(state: Column, b: Column) -> Column:
             inner = F.aggregate(b, F.struct(state["at"].alias("at"), empty.alias("out")), put)
@@ -89,12 +118,16 @@ def spans(text: Column, pattern: str) -> Column:
             n = F.size(z)
             firsts = F.sequence(F.lit(1), n, F.lit(256))
             blocks = F.transform(firsts, lambda i: F.slice(z, i, F.lit(256)))
-            return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), block)["out"]
+            return F.aggregate(blocks, F.struct(F.lit(first).alias("at"), empty.alias("out")), block)["out"]
 
+        if overlap:
+            following = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+        else:
+            following = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
         zipped = F.arrays_zip(
             F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("gap"),
             found.alias("found"),
-            F.slice(pieces, F.lit(2), F.size(pieces) - 1).alias("next"),
+            following.alias("next"),
         )
         return let(zipped, rows)
 
@@ -184,13 +217,11 @@ class Model:
     def values(self, table: np.ndarray) -> np.ndarray:
         return self.start + sum((t.values(table) for t in self.trees), np.zeros(len(table)))
 
-    def accepts(self, x: dict[str, Column]) -> Column:
-        if self.threshold is None:
-            return F.lit(False)
+    def total(self, x: dict[str, Column]) -> Column:
         total = F.lit(self.start)
         for tree in self.trees:
             total = total + tree.column(x)
-        return total >= self.threshold
+        return total
 
 
 def _split(table, grad, hess, rows) -> tuple[str, int]:
@@ -247,28 +278,80 @@ def _where(rule: Callable[[str, Column], Column], kind: str, holds: bool = True)
     return lambda x: rule(kind, x["found"]) if holds else ~rule(kind, x["found"])
 
 
-def _accepted(model: Model, kind: str) -> Callable[[Column], Column]:
-    return lambda x: model.accepts(looks(kind, x))
+def _chosen(model: Model, kind: str, more: Column) -> Column:
+    """Of the candidates, in order of place, those that the trees take: of overlapping ones the likeliest, then the longest."""
+    shape = "struct<rank:double,size:int,start:int,stop:int,found:string>"
+    none = F.array().cast(f"array<{shape}>")
+    if model.threshold is None:
+        return none
+
+    def ranked(x: Column) -> Column:
+        rank = -F.round(model.total(looks(kind, x)), 9)
+        return F.struct(rank.alias("rank"), (x["start"] - x["stop"]).alias("size"), x["start"], x["stop"], x["found"])
+
+    def best(group: Column) -> Column:
+        def take(kept: Column, x: Column) -> Column:
+            clash = F.exists(kept, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
+            return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
+
+        return F.when(F.size(group) < 2, group).otherwise(F.aggregate(F.array_sort(group), none, take))
+
+    def state(reach: Column, group: Column, out: Column) -> Column:
+        return F.struct(reach.alias("reach"), group.alias("group"), out.alias("out"))
+
+    def sweep(s: Column, x: Column) -> Column:
+        # a group is a run of candidates each of which overlaps one before it
+        return F.when(
+            x["start"] < s["reach"], state(F.greatest(s["reach"], x["stop"]), F.concat(s["group"], F.array(x)), s["out"])
+        ).otherwise(state(x["stop"], F.array(x), F.concat(s["out"], best(s["group"]))))
+
+    def swept(taken: Column) -> Column:
+        groups = F.aggregate(taken, state(F.lit(-1), none, none), sweep, lambda s: F.concat(s["out"], best(s["group"])))
+        return F.when(F.size(taken) < 2, taken).otherwise(groups)
+
+    passing = F.transform(F.filter(more, _where(passes, kind)), ranked)
+    return let(F.filter(passing, lambda x: -x["rank"] >= model.threshold).cast(f"array<{shape}>"), swept)
+
+
+def _cleared(text: Column, kind: str, strict: Column) -> Column:
+    """The text with every confirmed span of the kind made blank lines, which no spelling crosses."""
+
+    def put(gap: Column, x: Column) -> Column:
+        own = F.when(confirmed(kind, x["found"]), F.repeat(F.lit("\n"), F.length(x["found"]))).otherwise(x["found"])
+        return F.concat(gap, F.coalesce(own, F.lit("")))
+
+    return F.array_join(F.zip_with(F.split(text, BASE[kind], -1), strict, put), "")
 
 
 def _further(text: Column, kind: str) -> Column:
-    """Spans of the further spellings of a kind, between the matches that divide the text."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans(text, DIVIDERS[kind]), lambda x: x["stop"]))
+    """Spans of the further spellings of a kind, which may overlap, in a text cleared of its confirmed spans."""
+
+    def within(x: Column) -> Column:
+        def moved(y: Column) -> Column:
+            return F.struct(
+                (y["start"] + x["start"]).alias("start"), (y["stop"] + x["start"]).alias("stop"), y["found"],
+                F.right(F.concat(x["before"], F.ltrim(y["before"], F.lit("\n"))), F.lit(NEAR)).alias("before"),
+                F.left(F.concat(y["after"], x["after"]), F.lit(NEAR)).alias("after"),
+            )
 
-    def shifted(piece: Column, at: Column) -> Column:
-        return F.transform(
-            spans(piece, GENEROUS[kind]),
-            lambda x: x.withField("start", x["start"] + at).withField("stop", x["stop"] + at),
-        )
+        return F.transform(F.concat(*[spans(x["found"], form, overlap=True) for form in FORMS[kind]]), moved)
 
-    return F.flatten(F.zip_with(F.split(text, DIVIDERS[kind], -1), starts, shifted))
+    if kind not in STRETCHES:
+        return F.concat(spans(text, GENEROUS[kind]), *[spans(text, form, overlap=True) for form in FORMS[kind]])
+    return F.concat(spans(text, GENEROUS[kind]), F.flatten(F.transform(spans(text, STRETCHES[kind]), within)))
+
+
+def _distinct(found: Column) -> Column:
+    """In order of place, each place once."""
+    same = lambda a, b: (a["start"] == b["start"]) & (a["stop"] == b["stop"])
+    return let(F.array_sort(found), lambda z: F.filter(z, lambda x, i: (i == 0) | ~same(x, F.get(z, F.greatest(i - 1, F.lit(0))))))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, and per kind arrays of spans: ``base_<kind>`` (confirmed), ``more_<kind>`` (all other candidates)."""
     text = F.col("text")
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(text_col).alias("text"))
-    none = F.array().cast("array<struct<start:int,stop:int,found:string,before:string,after:string>>")
+    none = F.array().cast(SPANS)
     # a text without the sign that every match of a kind has is not searched further
     strict_sign = {
         "email": F.contains(text, F.lit("@")),
@@ -279,22 +362,31 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide_sign = {
         "email": strict_sign["email"] | text.rlike(r"[(\[]at[)\]]"),
         "ip": text.rlike("[0-9][.:][0-9A-Fa-f]|[A-Fa-f]:[0-9A-Fa-f]"),
-        "card": text.rlike("[0-9][\\x20./-][0-9]"),
-        "phone": text.rlike("[0-9]\\)?[\\x20.-][0-9]"),
+        "card": text.rlike("[0-9][\\x20./-]?[0-9]"),
+        "phone": text.rlike("[0-9][\\x20().-]{0,3}[0-9]"),
     }
+
+    def searched(kind: str) -> Callable[[Column], Column]:
+        def both(strict: Column) -> Column:
+            cleared = F.when(F.size(strict) == 0, text).otherwise(_cleared(text, kind, strict))
+            wide = F.when(wide_sign[kind], let(cleared, lambda x: _further(x, kind))).otherwise(none)
+            return F.struct(strict.alias("strict"), wide.alias("wide"))
+
+        return both
+
     columns = {}
     for kind in KINDS:
-        columns[f"strict_{kind}"] = F.when(strict_sign[kind], spans(text, BASE[kind])).otherwise(none)
-        columns[f"wide_{kind}"] = F.when(wide_sign[kind], _further(text, kind)).otherwise(none)
+        strict = F.when(strict_sign[kind], spans(text, BASE[kind])).otherwise(none)
+        columns[kind] = let(strict, searched(kind))
     rows = rows.select("doc_id", *[c.alias(n) for n, c in columns.items()])
     kept = {}
     for kind in KINDS:
-        strict = F.col(f"strict_{kind}")
+        strict = F.col(f"{kind}.strict")
         kept[f"base_{kind}"] = F.filter(strict, _where(confirmed, kind))
-        failed = F.filter(strict, _where(confirmed, kind, False))
+        more = F.concat(F.filter(strict, _where(confirmed, kind, False)), F.col(f"{kind}.wide"))
         if kind == "card":  # a short number is no candidate
-            failed = F.filter(failed, lambda x: F.length(F.regexp_replace(x["found"], "[^0-9]", "")) >= 13)
-        kept[f"more_{kind}"] = F.concat(failed, F.col(f"wide_{kind}"))
+            more = F.filter(more, lambda x: F.length(F.regexp_replace(x["found"], "[^0-9]", "")) >= 13)
+        kept[f"more_{kind}"] = _distinct(more)
     return rows.select("doc_id", *[c.alias(n) for n, c in kept.items()])
 
 
@@ -331,7 +423,8 @@ def find_spans(
 ) -> DataFrame:
     """Per document: doc_id, and per kind ``base_<kind>`` and ``added_<kind>``, arrays of (start, stop, found).
 
-    Places are code points, the stop exclusive. Null or empty text has no spans. A kind of which too
+    Places are code points, the stop exclusive. Of candidates that overlap, the likeliest is added;
+    added spans overlap no span of their own kind. Null or empty text has no spans. A kind of which too
     few spans are confirmed (20 held back) adds none. Repeated rows: one result each. Empty table: no
     rows.
     """
@@ -340,7 +433,7 @@ def find_spans(
     columns = {}
     for kind in KINDS:
         slim = lambda x: F.struct(x["start"], x["stop"], x["found"])
-        chosen = F.filter(F.filter(f"more_{kind}", _where(passes, kind)), _accepted(models[kind], kind))
+        chosen = _chosen(models[kind], kind, F.col(f"more_{kind}"))
         columns[f"base_{kind}"] = F.transform(f"base_{kind}", slim)
         columns[f"added_{kind}"] = F.transform(chosen, slim)
     return found.select("doc_id", *[c.alias(n) for n, c in columns.items()])

@@ -93,5 +93,54 @@ def test_trees_as_columns_give_the_same(spark):
     assert [x[0] for x in rows.select(total).collect()] == pytest.approx(model.values(table).tolist())
 
 
+def further(spark, texts, kind):
+    rows = pii.candidates(frame(spark, list(enumerate(texts))), "doc_id", "text").collect()
+    for r in rows:
+        for x in [*r[f"base_{kind}"], *r[f"more_{kind}"]]:
+            assert texts[r["doc_id"]][x["start"] : x["stop"]] == x["found"]
+        places = [(x["start"], x["stop"]) for x in r[f"more_{kind}"]]
+        assert places == sorted(set(places))
+        assert not any(a < d and c < b for a, b in places for c, d in [(x["start"], x["stop"]) for x in r[f"base_{kind}"]])
+    return {r["doc_id"]: [x["found"] for x in r[f"more_{kind}"]] for r in rows}
+
+
+def test_numbers_beside_others_are_candidates(spark):
+    phones = ["é. Des +1 (826) 555-4081 190.137.223.204 du", "🙂 +1 (269) 555-3296 ok 0171 5553296, 01 23 45 67 89 10.999.1.2.3.4"]
+    found = further(spark, phones, "phone")
+    assert "+1 (826) 555-4081" in found[0]
+    assert {"0171 5553296", "01 23 45 67 89"} <= set(found[1])
+    assert "1.2.3.4" in further(spark, phones, "ip")[1]
+    cards = ["ç 7536784127813050 4845168114407329 è", "x 4111 1111 1111 1111 2024 4465758382889437 4465758382889437"]
+    found = further(spark, cards, "card")
+    assert {"7536784127813050", "4845168114407329"} <= set(found[0])
+    assert "4111 1111 1111 1111" in found[1] and found[1].count("4465758382889437") == 2
+    mails = ["joe (at) b (dot) org (at) d (dot) com"]
+    assert {"joe (at) b (dot) org", "org (at) d (dot) com"} <= set(further(spark, mails, "email")[0])
+
+
+def test_numbers_beside_others_are_added(spark):
+    r = random.Random(13)
+    number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    texts = [f"so +1 ({number(3)}) {number(3)}-{number(4)} now, 4111111111111111 here" for _ in range(300)]
+    texts += ["Des +1 (826) 555-4081 190.137.223.204 du", "a 4465758382889437 4465758382889437 b"]
+    rows = {x["doc_id"]: x for x in pii.find_spans(frame(spark, list(enumerate(texts)))).collect()}
+    phones = rows[300]["added_phone"]
+    assert "+1 (826) 555-4081" in [x["found"] for x in phones]
+    assert all(a["stop"] <= b["start"] for a, b in zip(phones, phones[1:]))
+    assert [x["found"] for x in rows[300]["base_ip"]] == ["190.137.223.204"]
+    assert [x["found"] for x in rows[301]["added_card"]] == ["4465758382889437"] * 2
+
+
+def test_rows_of_the_given_documents(spark):
+    for folder, kind, named in (
+        ("sf0.1", "phone", {1377: "+1 (826) 555-4081", 7052: "+1 (843) 555-7672"}),
+        ("sf0.1", "card", {46: "4845168114407329", 1262: "4550997810720808"}),
+        ("sf0.01", "card", {254: "4465758382889437", 402: "4465758382889437"}),
+    ):
+        docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").filter(f"doc_id in {tuple(named)}")
+        rows = pii.candidates(docs, "doc_id", "text").collect()
+        assert len(rows) == 2 and all(named[r["doc_id"]] in {x["found"] for x in r[f"more_{kind}"]} for r in rows)
+
+
 def test_empty_table(spark):
     assert pii.find_spans(frame(spark, [])).count() == 0
