@@ -69,6 +69,35 @@ def first_part(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter("part_no = 0").drop("part_no").join(counts, list(keys))
 
 
+def whole(rows: DataFrame, keys: Sequence[str], column: str, sep: str, count: str = "n_rows") -> DataFrame:
+    """One row per key out of a table in parts: the texts of ``column`` in order of their parts, joined by ``sep``.
+
+    Parts that hold no text (their ``count`` is 0) are passed over, unless no part of the key holds any.
+    One value then holds all the text of a key; where that may be too long for a value, keep the parts.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("part_no", F.col(count).alias("n"), F.col(column).alias("text"))))
+    held = F.filter("_parts", lambda x: x["n"] > 0)
+    texts = F.when(F.size(held) > 0, held).otherwise(F.slice("_parts", 1, 1))
+    gathered = rows.groupBy(*keys).agg(parts.alias("_parts"))
+    return gathered.select(*keys, F.concat_ws(sep, texts["text"]).alias(column))
+
+
+def by_part(rows: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """Left joins of tables to ``rows``, one row per key and part.
+
+    A table with a ``part_no`` has its texts on the rows of their parts; the values of one without stand
+    on every row of the key. A key has as many rows as the table with most parts, at least part 0.
+    """
+    parts = [t for t in (rows, *tables) if "part_no" in t.columns]
+    numbers = rows.select(key, F.lit(0).alias("part_no"))
+    for table in parts:
+        numbers = numbers.unionByName(table.select(key, F.col("part_no").cast("int").alias("part_no")))
+    joined = numbers.distinct().join(rows.select(key).distinct(), key, "left_semi")
+    for table in (rows, *tables):
+        joined = joined.join(table, [key, "part_no"] if "part_no" in table.columns else [key], "left")
+    return joined
+
+
 def json_parts(
     rows: DataFrame,
     keys: Sequence[str],

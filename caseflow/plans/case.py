@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import UNKNOWN
-from caseflow.operators.textparts import first_part
+from caseflow.operators.textparts import by_part, first_part
 
 NO_SUMMARY = "No structured data available."
 
@@ -18,16 +18,24 @@ def read_back(
     scores: DataFrame,
     conflicts: DataFrame,
     facility: str = "",
+    every_part: bool = False,
 ) -> DataFrame:
     """The five case tables of all accounts in one row each; gaps hold the documented defaults.
 
     ``conflicts`` is one row per account with an array, or null, and a recommendation. A denial in
     parts gives a row for each of its parts; of the other tables a row carries part 0.
+    With ``every_part`` there is one row per account and ``part_no``, and each table's parts stand on
+    their own rows; a text that has ended is empty on the rows after, where it would otherwise have a default.
     """
-    joined = denial
-    parts = ["part_no"] if "part_no" in denial.columns else []
-    for table in (clinical, summary, scores, conflicts):
-        joined = joined.join(first_part(table, ("account_id",)).drop("n_parts"), "account_id", "left")
+    tables = (clinical, summary, scores, conflicts)
+    if every_part:
+        parts, joined = ["part_no"], by_part(denial, tables, "account_id")
+    else:
+        parts, joined = ["part_no"] if "part_no" in denial.columns else [], denial
+        for table in tables:
+            joined = joined.join(first_part(table, ("account_id",)).drop("n_parts"), "account_id", "left")
+    # what is missing on a further part is so because the text has ended
+    no_summary = F.when(F.col("part_no") > 0, "").otherwise(NO_SUMMARY) if every_part else F.lit(NO_SUMMARY)
     empty = F.array().cast("array<string>")
     return joined.select(
         "account_id",
@@ -41,7 +49,7 @@ def read_back(
         F.coalesce("patient_dob", F.lit("")).alias("patient_dob"),
         F.coalesce("facility_name", F.lit(facility)).alias("facility_name"),
         F.coalesce("date_of_service", F.lit("")).alias("date_of_service"),
-        F.coalesce("structured_summary", F.lit(NO_SUMMARY)).alias("structured_summary"),
+        F.coalesce("structured_summary", no_summary).alias("structured_summary"),
         "total_score",
         "organs_scored",
         F.coalesce("conflicts", empty).alias("conflicts"),

@@ -10,7 +10,7 @@ from caseflow.functions.times import DAY, micros
 from caseflow.operators import extract, notes, quality, report
 from caseflow.plans import case, spine, workqueue
 from caseflow.profiles import SEPSIS
-from caseflow.operators.textparts import json_parts
+from caseflow.operators.textparts import json_parts, whole
 from caseflow.session import checkpoint_dir
 from caseflow.sources.sinks import replace_slice, unseen
 from caseflow.streaming.incremental import to_score, unprocessed_letters
@@ -250,11 +250,10 @@ def spine_features(t: Tables):
     )
     first = spine.first_claims(claims, "claim_key", ("claim_key",))
     turns = t.conversations.select(F.col("conv_id").alias("account_id"), "turn", "text")
-    texts = reassemble(turns, ["account_id"], "text", "turn", " ").select(
-        "account_id", "part_no", F.col("text").alias("note_text")
-    )
+    texts = whole(reassemble(turns, ["account_id"], "text", "turn", " "), ["account_id"], "text", " ", "n_lines")
+    texts = texts.withColumnRenamed("text", "note_text")
     accounts = t.customer.select(F.col("c_custkey").alias("account_id"))
-    return spine.spine_features(accounts, latest, facility, first, texts).drop("n_parts")
+    return spine.spine_features(accounts, latest, facility, first, texts)
 
 
 # --- incremental ------------------------------------------------------------------------------
@@ -441,7 +440,7 @@ def writer_context(t: Tables):
     )
     # a value that looks like a placeholder stays as it is
     cases = cases.withColumn("denial_text", F.concat("denial_text", F.lit(" {payor}")))
-    section = notes.notes_section(extracted(t)).filter("part_no = 0").select("account_id", "notes_section")
+    section = whole(notes.notes_section(extracted(t)), ["account_id"], "notes_section", "\n\n", "n_notes")
     counts = t.orders.groupBy(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("name"))
     rebuttals = counts.agg(F.concat(F.count("*").cast("string"), F.lit(" orders")).alias("text"))
     return report.writer_context(cases.join(section, "account_id", "left"), TEMPLATE, SEPSIS, rebuttals)

@@ -251,6 +251,46 @@ def test_consumers_keep_one_row_per_account_and_part(spark):
     assert [r.prompt for r in prompts] == ["t0", "t1", "t2", "t3", "u"]
 
 
+def test_every_part_comes_back(spark):
+    from caseflow.plans import case, spine
+
+    parts = spark.createDataFrame([(1, k, f"t{k}") for k in range(4)] + [(2, 0, "u")], "account_id long, part_no int, note_text string")
+    accounts = spark.createDataFrame([(1,), (2,), (3,)], "account_id long")
+    one = spark.createDataFrame([(1, "f"), (3, "g")], "account_id long, facility string")
+    rows = spine.spine_features(accounts, one, parts, every_part=True).collect()
+    assert sorted((r.account_id, r.part_no, r.facility, r.note_text) for r in rows if r.account_id != 2) == [
+        *[(1, k, "f", f"t{k}") for k in range(4)], (3, 0, "g", None)
+    ]
+    denial = accounts.selectExpr(
+        "account_id", "'d' denial_text", "'p' payor", "'1' original_drg", "'2' proposed_drg", "true is_condition_match"
+    )
+    plain = lambda names: spark.createDataFrame([], "account_id long, " + ", ".join(f"{n} string" for n in names))
+    longer = spark.createDataFrame([(2, k, f"c{k}") for k in range(2)], "account_id long, part_no int, recommendation string")
+    cases = case.read_back(
+        denial, plain(["patient_name", "patient_dob", "facility_name", "date_of_service"]),
+        parts.withColumnRenamed("note_text", "structured_summary"), plain(["total_score", "organs_scored"]),
+        longer.selectExpr("*", "array('x') conflicts"), every_part=True,
+    )
+    assert sorted((r.account_id, r.part_no, r.structured_summary, r.recommendation) for r in cases.collect()) == [
+        *[(1, k, f"t{k}", "") for k in range(4)], (2, 0, "u", "c0"), (2, 1, "", "c1"), (3, 0, case.NO_SUMMARY, ""),
+    ]
+
+
+def test_queries_give_the_whole_text_in_small_parts(spark, monkeypatch):
+    from standins import catalogue
+
+    whole = {}
+    reassemble, section = notes.reassemble, notes.notes_section
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(notes, "reassemble", lambda *a: reassemble(*a, 60))
+            monkeypatch.setattr(notes, "notes_section", lambda rows: section(rows, 60))
+        for name in ("spine_features", "writer_context"):
+            rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+            found = sorted(map(str, rows.collect()))
+            assert whole.setdefault(name, found) == found
+
+
 RAW = "account_id long, us long, category string, value double"
 
 
