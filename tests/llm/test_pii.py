@@ -80,6 +80,22 @@ def test_trees_learn_and_thresholds_hold():
     assert yes[above].sum() >= 0.9 * (yes[above].sum() + no[above].sum())
 
 
+@pytest.mark.parametrize(("yes", "no", "has"), [(4, 0, True), (19, 0, True), (19, 1, True), (3, 0, False), (12, 4, False), (0, 0, False)])
+def test_few_spans_have_a_threshold(yes, no, has):
+    table = np.zeros((1, len(pii.FEATURES)), int)
+    counts = np.array([float(yes)]), np.array([float(no)])
+    assert (pii.calibrated(pii.boost(table, *counts), table, *counts, 0.9).threshold is not None) == has
+
+
+def test_small_corpus_adds_spans(spark):
+    r = random.Random(14)
+    number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    texts = [f"please call +1 ({number(3)}) {number(3)}-{number(4)} now" for _ in range(40)]
+    texts += ["please call (269) 555-3296 now"]
+    rows = pii.find_spans(frame(spark, list(enumerate(texts)))).collect()
+    assert [y["found"] for x in rows for y in x["added_phone"]] == ["(269) 555-3296"]
+
+
 def test_trees_as_columns_give_the_same(spark):
     from pyspark.sql import functions as F
 
