@@ -371,6 +371,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def searched(kind: str) -> Callable[[Column], Column]:
         def both(strict: Column) -> Column:
             cleared = F.when(F.size(strict) == 0, text).otherwise(_cleared(text, kind, strict))
+            if kind == "phone":  # a piece of a confirmed address is no number of its own
+                cleared = let(cleared, lambda x: F.when(strict_sign["ip"], _cleared(x, "ip", spans(x, BASE["ip"]))).otherwise(x))
             wide = F.when(wide_sign[kind], let(cleared, lambda x: _further(x, kind))).otherwise(none)
             return F.struct(strict.alias("strict"), wide.alias("wide"))
 

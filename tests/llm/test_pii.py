@@ -91,7 +91,7 @@ def test_small_corpus_adds_spans(spark):
     r = random.Random(14)
     number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
     texts = [f"please call +1 ({number(3)}) {number(3)}-{number(4)} now" for _ in range(40)]
-    texts += ["please call (269) 555-3296 now"]
+    texts += ["please call (269) 555-3296 now", "from 152.143.123.204 and 13.149.130.89"]
     rows = pii.find_spans(frame(spark, list(enumerate(texts)))).collect()
     assert [y["found"] for x in rows for y in x["added_phone"]] == ["(269) 555-3296"]
 
