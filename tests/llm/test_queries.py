@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_agrees(spark, name):
     base = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "conversations", "embeddings"):
         base.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     want = base.sql(SQL[name])
     names = sorted(want.columns)
