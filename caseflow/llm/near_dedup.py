@@ -9,26 +9,27 @@ weight and whose arrivals each fall on a random component; a component keeps the
 earliest arrival. Arrivals are made up to a horizon, and once every component is taken before it, no
 later arrival can change the signature.
 
-Texts that share a band meet in its bucket. Not all pairs of a bucket are compared: a bucket's
-members are compared with one pivot, the links found are merged into classes, and only buckets that
-still hold several classes go on, with 8, 64, ... pivots each, those with the most links first, and
-with more where that brings no more comparisons than there are different texts. A pivot leaves its
-bucket once all have met it, and members of one class need not meet. After the first round each open
-text's own shingles are weighed, those that no other open text has: they bound its similarity to any
-of them, and pairs that cannot reach the threshold do not meet. So a bucket of near copies costs a
-comparison each, and yet every pair of a bucket is compared, or in one class, or proven apart: no
-cap, and no link lost. A pair at 0.8 misses all 30 bands of 5 rows once in 150,000.
+Texts that share a band meet in its bucket. Not all pairs of a bucket are compared. In two rounds all
+members of a bucket are compared with one of them, the pivot: the first, then the one with the most
+links; members of one class need not meet. What is left are texts whose buckets still hold several
+classes. Their shingles are put in one order, rare ones first, and each text shows the first of them,
+those before which at most a fifth of its weight stands (``1 - threshold``). Two texts that are alike
+share one of these, and where the first shared one stands in both bounds their similarity from above;
+pairs that cannot reach the threshold do not meet, nor do two texts of the largest class that shows
+a shingle. So a bucket of near copies costs a few comparisons each, and yet every pair of a bucket is
+compared, or in one class, or proven apart: no cap, and no link lost. The order only needs to be one
+and the same, so counts that meet in a bounded table of counters are good enough for it. A pair at 0.8
+misses all 30 bands of 5 rows once in 150,000.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,9 @@ from caseflow.sources.sinks import staged
 
 # A pivot's comparisons are dealt over so many groups at most.
 SALTS = 1024
+# Bytes of the table that tells common shingles from rare ones, at most; it is cut into segments.
+MOST_COUNTERS = 1 << 26
+SEGMENT_BITS = 20
 
 
 def weighted(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,58 +162,125 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
     return dealt.mapInArrow(in_tasks(_compared, width, threshold), "pivot long, node long, linked boolean")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle, and for each node one without shingle that holds its totals."""
+def _counted(batches: Iterator[pa.RecordBatch], width: int, counters: int) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of a run of texts fall on each counter, per segment of counters."""
+    for _, texts in slices(batches):
+        own = [weighted(t, width)[0] for t in texts]
+        places, times = np.unique(np.concatenate(own) & np.uint64(counters - 1), return_counts=True)
+        segments, starts = np.unique(places >> np.uint64(SEGMENT_BITS), return_index=True)
+        within = (places & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u4")
+        cuts = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(places)], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(segments.astype(np.int32)),
+                pa.array([within[c].tobytes() for c in cuts], pa.binary()),
+                pa.array([times[c].astype("<u4").tobytes() for c in cuts], pa.binary()),
+            ],
+            names=["segment", "places", "times"],
+        )
+
+
+def _summed(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    """Per segment, whose rows follow each other: the logarithms of its counts, a byte each."""
+    size = min(counters, 1 << SEGMENT_BITS)
+    held, count = None, np.zeros(size)
+
+    def done():
+        steps = np.minimum(255, 8 * np.log2(count + 1)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([steps.tobytes()])], names=["segment", "counts"])
+
+    for batch in batches:
+        for segment, places, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if segment != held:
+                if held is not None:
+                    yield done()
+                held, count = segment, np.zeros(size)
+            count[np.frombuffer(places, "<u4")] += np.frombuffer(times, "<u4")
+    if held is not None:
+        yield done()
+
+
+def rarity(texts: DataFrame, width: int, most: int = MOST_COUNTERS) -> np.ndarray:
+    """A table of counters, a byte each, that tells common shingles from rare ones.
+
+    Its size grows with the text up to ``most`` bytes, which is also all that comes to the driver. Shingles
+    that share a counter are taken for as common as both together.
+    """
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    counters = min(most, max(1 << 16, 1 << (chars // 6).bit_length()))
+    partial = texts.select("node", "text").mapInArrow(
+        in_tasks(_counted, width, counters), "segment int, places binary, times binary"
+    )
+    dealt = partial.repartition("segment").sortWithinPartitions("segment")
+    table, size = np.zeros(counters, np.uint8), min(counters, 1 << SEGMENT_BITS)
+    for segment, counts in dealt.mapInArrow(in_tasks(_summed, counters), "segment int, counts binary").collect():
+        table[segment * size : (segment + 1) * size] = np.frombuffer(counts, np.uint8)
+    return table
+
+
+def shown(shingles: np.ndarray, weights: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles a text shows, rare ones first, and the share of its weight that stands before each."""
+    common = table[(shingles & np.uint64(len(table) - 1)).astype(np.int64)]
+    order = np.lexsort((shingles, common))
+    held = weights[order]
+    before = (np.cumsum(held) - held) / held.sum()
+    first = before <= 1 - threshold + 1e-9
+    return shingles[order][first], before[first]
+
+
+def _shown_rows(batches: Iterator[pa.RecordBatch], width: int, threshold: float, table) -> Iterator[pa.RecordBatch]:
     for part, texts in slices(batches):
-        for node, text in zip(part.column(0).to_pylist(), texts, strict=True):
-            shingles, weights = weighted(text, width)
+        nodes, found = part.column(0).to_pylist(), []
+        for node, text in zip(nodes, texts, strict=True):
+            own = weighted(text, width)
+            if len(own[0]):
+                first, before = shown(*own, table.value, threshold)
+                found.append((np.full(len(first), node), first.view(np.int64), before, len(own[0]), int(own[1].sum())))
+        if found:
+            repeats = [len(x[0]) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([node] * (len(shingles) + 1), pa.int64()),
-                    pa.array([None, *shingles.view(np.int64)], pa.int64()),
-                    pa.array([weights.sum(), *weights], pa.int64()),
-                    pa.array([len(shingles)] * (len(shingles) + 1), pa.int64()),
+                    *(pa.array(np.concatenate([x[i] for x in found])) for i in range(3)),
+                    *(pa.array(np.repeat([x[i] for x in found], repeats)) for i in (3, 4)),
                 ],
-                names=["node", "shingle", "weight", "size"],
+                names=["node", "shingle", "before", "size", "total"],
             )
 
 
-def own_shares(texts: DataFrame, width: int) -> DataFrame:
-    """Per node: size (different shingles), total (with repeats), own (weight of shingles no other node has)."""
-    rows = texts.select("node", "text").mapInArrow(
-        in_tasks(_shingle_rows, width), "node long, shingle long, weight long, size long"
-    )
-    # the rows without shingle are told apart by their node, so that they do not meet in one task
-    key = F.when(F.col("shingle").isNull(), F.col("node")).alias("whole")
-    found = rows.groupBy("shingle", key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"), F.min("size").alias("size")
-    )
-    total = F.when(F.col("shingle").isNull(), F.col("weight"))
-    own = F.when(F.col("shingle").isNotNull(), F.col("weight"))
-    return (
-        found.filter("n = 1 or shingle is null")
-        .groupBy("node")
-        .agg(F.max("size").alias("size"), F.max(total).alias("total"), F.coalesce(F.sum(own), F.lit(0)).alias("own"))
-    )
-
-
 def reachable(threshold: float, a: str, b: str) -> Column:
-    """Whether two nodes can be as similar as the threshold, by what each has that the other lacks.
+    """Whether two texts can be as similar as the threshold, if this is the first shingle they share.
 
-    A similarity is at most 1 - own / total of either. Where no shingle repeats it is the Jaccard
-    similarity, and the shared shingles are at most size - own of either.
+    With shares ``p`` and ``q`` of their weight on shingles that the other lacks, the similarity is at most
+    (1 - p)(1 - q) / (1 - pq). Where nothing repeats, both share the same number of shingles, so that it is
+    at most the Jaccard similarity with the smaller number that either has left.
     """
     n = {x: F.col(f"{x}.size") for x in (a, b)}
-    whole = {x: F.col(f"{x}.total") for x in (a, b)}
-    own = {x: F.col(f"{x}.own") for x in (a, b)}
-    weak = F.lit(True)
-    for x in (a, b):
-        weak = weak & (whole[x] - own[x] >= (threshold - 1e-9) * whole[x])
-    shared = F.least(*[n[x] - own[x] for x in (a, b)])
-    plain = (n[a] == whole[a]) & (n[b] == whole[b])
+    left = {x: 1 - F.col(f"{x}.before") for x in (a, b)}
+    weak = left[a] * left[b] >= (threshold - 1e-9) * (1 - F.col(f"{a}.before") * F.col(f"{b}.before"))
+    plain = (n[a] == F.col(f"{a}.total")) & (n[b] == F.col(f"{b}.total"))
+    shared = F.least(n[a] * left[a], n[b] * left[b])
     return weak & (~plain | (shared * (1 + threshold) >= (threshold - 1e-9) * (n[a] + n[b])))
 
 
+def candidates(texts: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs (pivot, node) of different classes among ``texts`` that are not proven apart."""
+    table = texts.sparkSession.sparkContext.broadcast(rarity(texts, width))
+    rows = texts.select("node", "text").mapInArrow(
+        in_tasks(_shown_rows, width, threshold, table), "node long, shingle long, before double, size long, total long"
+    )
+    rows = staged(_with_class(rows, classes, "node"))
+    held = rows.groupBy("shingle", "node_class").agg(F.count(F.lit(1)).alias("n"))
+    tops = held.groupBy("shingle").agg(F.max_by("node_class", F.struct("n", "node_class")).alias("top"), F.count(F.lit(1)).alias("n"))
+    both = staged(rows.join(tops.filter("n > 1").drop("n"), "shingle"))
+    # of any two classes that show a shingle, one is not the largest
+    few = both.filter("node_class <> top").alias("a")
+    every = both.alias("b")
+    once = (F.col("b.node_class") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
+    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node_class") != F.col("b.node_class")) & once
+    found = few.join(every, apart & reachable(threshold, "a", "b"))
+    return found.select(F.least("a.node", "b.node").alias("pivot"), F.greatest("a.node", "b.node").alias("node")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) by large and small stars: node, class (its smallest node)."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -269,47 +340,25 @@ def find_near_copies(
     # repeated rows would bring a text twice
     texts = staged(text.join(chosen, same).groupBy("node").agg(F.first("text").alias("text")))
 
-    budget = nodes.count()
-    done = classes = shares = None
-    for later in itertools.count(1):
-        if shares is None:
-            met = open_rows.join(pivots, "band").filter("node <> pivot")
-        else:
-            # the bounds of a text are carried along, so that pairs proven apart are not made
-            a = open_rows.join(shares, "node").select("band", "node", "node_class", F.struct("size", "total", "own").alias("a"))
-            b = pivots.join(shares, pivots["pivot"] == shares["node"]).select(
-                "band", "pivot", "pivot_class", F.struct("size", "total", "own").alias("b")
-            )
-            apart = (F.col("node") != F.col("pivot")) & (F.col("node_class") != F.col("pivot_class"))
-            met = a.join(b, "band").filter(apart & reachable(threshold, "a", "b"))
+    done = classes = None
+    for later in (False, True):
+        met = open_rows.join(pivots, "band").filter("node <> pivot")
         pairs = met.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["pivot", "node"], "left_anti")
+        if later:
+            pairs = _apart(pairs, classes).join(done, ["pivot", "node"], "left_anti")
         fresh = staged(verified(pairs, texts, width, threshold))
-        done = fresh if done is None else done.unionByName(fresh)
         classes = merged_classes(classes, _links(fresh))
+        done = fresh if done is None else done.unionByName(fresh)
         used = pivots.select("band", F.col("pivot").alias("node"))
         left = open_rows.select("band", "node").join(used, ["band", "node"], "left_anti")
         open_rows = staged(_mixed(_with_class(left, classes, "node")))
-        if shares is None:
-            # weighed once, over the texts that are open now; texts open later are fewer
-            waiting = open_rows.select("node").distinct()
-            shares = staged(own_shares(texts.join(waiting, "node", "left_semi"), width))
-            able = shares.filter(F.col("total") - F.col("own") >= (threshold - 1e-9) * F.col("total"))
-            open_rows = staged(_reaching(open_rows.join(able, "node"), threshold))
-        # how many comparisons so many pivots of each bucket would bring: each row has n in its bucket
-        sizes = [4**k for k in range(1, 12)]
-        costs = open_rows.agg(F.count(F.lit(1)), *[F.sum(F.least("n", F.lit(c))) for c in sizes]).first()
-        if not costs[0]:
-            break
-        count = max([8**later, *(c for c, cost in zip(sizes, costs[1:], strict=True) if cost <= budget)])
         degree = _links(done).select(F.explode(F.array("a", "b")).alias("node"))
         degree = degree.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        order = Window.partitionBy("band").orderBy(F.col("degree").desc_nulls_last(), "node")
-        ranked = open_rows.join(degree, "node", "left").withColumn("nth", F.row_number().over(order))
-        pivots = staged(
-            ranked.filter(F.col("nth") <= count).select("band", F.col("node").alias("pivot"), F.col("node_class").alias("pivot_class"))
-        )
+        most = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node"))
+        pivots = open_rows.join(degree, "node", "left").groupBy("band").agg(most.alias("pivot"))
+    left = staged(texts.join(open_rows.select("node").distinct(), "node", "left_semi"))
+    pairs = candidates(left, classes, width, threshold).join(done, ["pivot", "node"], "left_anti")
+    classes = merged_classes(classes, _links(staged(verified(pairs, texts, width, threshold))))
 
     counted = found.groupBy("node", "doc_id", "x").agg(F.count(F.lit(1)).alias("rows"))
     member = staged(_with_class(counted, classes, "node"))
@@ -334,26 +383,15 @@ def _links(compared: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (band, node, node_class) of the buckets that hold several classes, with ``n``, the bucket's rows."""
-    found = rows.groupBy("band").agg(
-        F.min("node_class").alias("__a"), F.max("node_class").alias("__b"), F.count(F.lit(1)).alias("n")
-    )
-    return rows.join(found.filter("__a <> __b").select("band", "n"), "band")
-
+    """Rows (band, node) of the buckets that hold several classes."""
+    found = rows.groupBy("band").agg(F.min("node_class").alias("__a"), F.max("node_class").alias("__b"))
+    return rows.select("band", "node").join(found.filter("__a <> __b").select("band"), "band")
 
-def _reaching(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows that can reach the threshold with some row of their bucket, by the sizes of its smallest and itself.
 
-    A partner has at least ``threshold`` times the size; if nothing repeats in the bucket, the shared
-    shingles must be ``threshold / (1 + threshold)`` of both sizes.
-    """
-    least = rows.groupBy("band").agg(
-        F.min("size").alias("__least"), F.bool_and(F.col("size") == F.col("total")).alias("__plain")
-    )
-    partner = F.greatest(F.col("__least"), F.col("size") * threshold)
-    able = (F.col("size") - F.col("own")) * (1 + threshold) >= (threshold - 1e-9) * (F.col("size") + partner)
-    kept = rows.join(least, "band").filter(~F.col("__plain") | able)
-    return _mixed(kept.select("band", "node", "node_class"))
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose ends are of different classes."""
+    ends = _with_class(_with_class(pairs, classes, "node"), classes, "pivot")
+    return ends.filter("node_class <> pivot_class").select("pivot", "node")
 
 
 def _with_class(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
