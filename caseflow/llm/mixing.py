@@ -57,7 +57,7 @@ def mix(
     max_epochs: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken.
+    """Per document: doc_id, source, text_hash, size, source_size, target, whole, copies, taken.
 
     A source whose target is r times its size gives every document floor(r) times, and once more
     documents in the order of a seeded hash, until the rest of the target is met; the last of them
@@ -65,19 +65,21 @@ def mix(
     a document, and a document is never taken more than ceil(max_epochs) times.
 
     The seeded order is cut into buckets by the hash. Sums of buckets say where a bucket begins, so
-    running sums are made within buckets and no source is ordered in one task.
+    running sums are made within buckets and no source is ordered in one task. Rows without an id are
+    ordered by a hash of their text. ``whole`` is floor(r), ``copies`` that or one more.
 
     Null text has size 0, a null source is a source of its own, the last in order. Repeated rows are
     documents of their own. Words are counted over whole texts. Empty table: no rows. If all sizes
     are 0, targets are 0.
     """
+    unnamed = F.concat(F.lit("no id "), F.xxhash64(text_of(text_col)).cast("string"))
+    name = F.coalesce(docs[id_col].cast("string"), unnamed)
     rows = docs.select(
         docs[id_col].alias("doc_id"),
         docs[source_col].cast("string").alias("source"),
+        F.xxhash64(text_of(text_col)).alias("text_hash"),
         word_count(text_of(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary")).alias(
-            "order"
-        ),
+        F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")).alias("order"),
     ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
@@ -91,7 +93,7 @@ def mix(
     )
     within = (
         Window.partitionBy("a.source", "a.bucket")
-        .orderBy("order", "doc_id", "size")
+        .orderBy("order", "doc_id", "text_hash", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
@@ -106,9 +108,11 @@ def mix(
         .select(
             "doc_id",
             "a.source",
+            "text_hash",
             "size",
             "source_size",
             "target",
+            F.col("__whole").alias("whole"),
             "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
         )
@@ -116,16 +120,29 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it."""
-    counts = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0")
-    # Equal ids are taken alike only if their rows are equal: told apart by source and size too.
-    counts = counts.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    marked = docs.withColumn("__size", word_count(text_of(text_col)))
+    """The rows of ``docs``, each as often as ``mix`` takes it.
+
+    Rows of one id, source and text are told apart only where ``mix`` takes some of them once more and others
+    not. They follow each other in its order, so that is one such group of a source at most; its rows are
+    numbered, in any order, and the first ones are taken once more.
+    """
+    counts = mix(docs, id_col, text_col, source_col, **how).groupBy("doc_id", "source", "text_hash")
+    more = F.sum(F.col("copies") - F.col("whole"))
+    counts = counts.agg(F.max("whole").alias("__whole"), more.alias("__more"), F.count(F.lit(1)).alias("__rows"))
+    counts = counts.filter("__whole > 0 or __more > 0")
+    marked = docs.withColumn("__hash", F.xxhash64(text_of(text_col)))
     same = (
         marked[id_col].eqNullSafe(counts["doc_id"])
         & marked[source_col].cast("string").eqNullSafe(counts["source"])
-        & (marked["__size"] == counts["size"])
+        & (marked["__hash"] == counts["text_hash"])
     )
-    kept = marked.join(counts.select("doc_id", "source", "size", "__copies", "__rows"), same)
-    times = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    return kept.select(*[marked[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("__n")).drop("__n")
+    own = [marked[c] for c in docs.columns]
+    found = marked.join(counts, same).select(*own, "__hash", "__whole", "__more", "__rows")
+    split = (F.col("__more") > 0) & (F.col("__more") < F.col("__rows"))
+    alike = found.filter(~split).withColumn("__times", F.col("__whole") + F.when(F.col("__more") > 0, 1).otherwise(0))
+    order = Window.partitionBy(id_col, source_col, "__hash").orderBy("__hash")
+    nth = F.row_number().over(order)
+    apart = found.filter(split).withColumn("__times", F.col("__whole") + F.when(nth <= F.col("__more"), 1).otherwise(0))
+    every = alike.unionByName(apart).filter("__times > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
+    return every.select(*docs.columns, times.alias("__n")).drop("__n")

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow.llm import mixing
 from tests.llm.frames import AWKWARD, frame, prose
@@ -57,13 +58,25 @@ def test_reruns_and_layout(spark):
     assert a == b
 
 
-def test_rows_are_repeated(spark):
-    data = [x for x in rows() if x[0] != 7]
-    docs = frame(spark, data)
-    left = mixing.mixed(docs)
+@pytest.mark.parametrize("share", [0.4, 1.5, 1.9])
+def test_rows_are_repeated_as_often_as_the_mix_says(spark, share):
+    """Rows without id, equal ids with equal and other texts, and repeated rows too."""
+    r = random.Random(9)
+    data = rows() + [(None, prose(r, 4), "en", "u") for _ in range(100)] + [(None, "one two", "en", "v")] * 41
+    data += [(5, f"{prose(r, 3)}", "en", "w") for _ in range(30)] + [(6, "a b c", lang, "w") for lang in ("en", "de") * 20]
+    docs = frame(spark, data).repartition(5)
+    left = mixing.mixed(docs, share=share)
     assert left.columns == docs.columns
-    want = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
-    assert left.count() == sum(want.values())
+    want, got = {}, {}
+    for x in mixing.mix(docs, share=share).collect():
+        key = (x["doc_id"], x["source"], x["text_hash"])
+        want[key] = want.get(key, 0) + x["copies"]
+    for x in left.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("")))).collect():
+        got[tuple(x)] = got.get(tuple(x), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    # rows that differ in other columns only are each taken
+    if share > 1:
+        assert {x["lang"] for x in left.filter("doc_id = 6").collect()} == {"en", "de"}
 
 
 @pytest.mark.parametrize("data", [[], [(1, None, None, None)], [(1, "", "en", "a"), (2, None, "en", "b")]])
