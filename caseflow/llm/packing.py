@@ -151,7 +151,8 @@ def _packed(
     batches: Iterator[pa.RecordBatch], names: list[str], files: tuple[str, str, str], how: tuple[int, int, float, float]
 ) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(*files)
-    packer = _Packer(*how, TaskContext.get().partitionId() << 32)
+    base = TaskContext.get().partitionId() << 32
+    packer = _Packer(*how, base)
     keys: dict[int, tuple[object, int]] = {}  # of documents not yet wholly given out
     row, kind = 0, None
 
@@ -169,6 +170,7 @@ def _packed(
             pa.array([x[3] for x in out], pa.int64()),
             pa.array([x[4] for x in out], pa.int64()),
             pa.array([x[2].astype("<u4").tobytes() for x in out], pa.binary()),
+            pa.array([base + x[0] for x in out], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -199,9 +201,9 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
 ) -> DataFrame:
-    """Pieces of documents with their sequence: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+    """Pieces of documents with their sequence: doc_id, start, length, doc_tokens, sequence_id, offset, ids, row.
 
-    A document is its token ids and the end id; ``ids`` are a piece's, as little-endian unsigned
+    ``row`` numbers the rows of ``docs``, so that copies of a document are told apart. A document is its token ids and the end id; ``ids`` are a piece's, as little-endian unsigned
     32-bit numbers. Documents of ``size`` tokens and more give whole sequences and a rest; rests are
     packed in buffers of ``group`` sequences, each filled to the last token. Only the last tokens of
     a task, fewer than one sequence, go to sequences whose lengths are powers of two.
@@ -222,6 +224,7 @@ def pack(
             T.StructField("sequence_id", T.LongType()),
             T.StructField("offset", T.LongType()),
             T.StructField("ids", T.BinaryType()),
+            T.StructField("row", T.LongType()),
         ]
     )
 

@@ -29,19 +29,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of ``packing.pack`` with the digest of their ids."""
     found = packing.pack(
         docs,
         vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
         ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
         pattern=public_tokenizers.PATTERN,
     )
-    return found.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    digest = F.crc32("ids").alias("ids_crc32")
+    return found.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "row", "ids")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(documents(spark, sf_dir))
+    return packed(documents(spark, sf_dir)).drop("row", "ids")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
