@@ -79,13 +79,13 @@ def denial_start(
     pages: DataFrame,
     payors: Sequence[tuple[str, str]] = PAYORS,
     phrases: Sequence[str] = SUBJECT_PHRASES,
-    header_lines: int | None = 15,
+    header_lines: int | None = None,
 ) -> DataFrame:
     """Per document the page its denial starts on and the payor named there.
 
-    Page 1 is always rebuttal. The first later page whose header names a payor starts the denial;
-    without one, the first whose header holds a subject phrase; without that, all is rebuttal.
-    The header is the first ``header_lines`` lines of a page, the whole page if None.
+    Page 1 is always rebuttal. The first later page that names a payor starts the denial; without one,
+    the first that holds a subject phrase; without that, all is rebuttal. Whole pages are read, or of
+    each page the first ``header_lines`` lines if the caller says so.
     """
     header = F.lower("page_text")
     if header_lines is not None:

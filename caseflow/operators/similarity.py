@@ -6,12 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions.values import fixed
+from caseflow.operators import vectors
 from caseflow.operators.windows import top_per
+from caseflow.sources.sinks import staged
 
 THRESHOLD = 0.7
-# Each side is sent once per block of the other: the fewer blocks, the less is sent.
+# Letters and queries of a block. Each side of a cell is sent once per block of the other.
 BLOCK_ROWS = 8192
 # Of a block so many queries are scored at a time, which bounds the matrix of scores.
 CHUNK_ROWS = 256
@@ -19,13 +22,6 @@ CHUNK_ROWS = 256
 DIGITS = 9
 
 
-def _blocks(rows: DataFrame, block_rows: int):
-    """Number of blocks, as a scalar subquery over the count of vectors."""
-    return rows.filter(F.col("embedding").isNotNull()).agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")
-    ).scalar()
-
-
 def _scored(k: int, exclude_same: bool, chunk_rows: int = CHUNK_ROWS):
     """Best ``k`` of one block of letters for each query of one block of queries."""
 
@@ -65,38 +61,96 @@ def top_matches(
     k: int = 10,
     exclude_same: bool = False,
     block_rows: int = BLOCK_ROWS,
+    **index,
 ) -> DataFrame:
     """The ``k`` letters of highest cosine for each query, exactly.
 
-    ``queries``: ``(query_id, embedding)``, ``letters``: ``(letter_id, embedding)``. Both sides
-    are hashed into blocks of bounded size and each pair of blocks is one task's matrix product,
-    which gives at most ``k`` rows per query; no row pairs are formed. A query's ``k`` rows per
-    block are then ranked. A library that fits one block costs no copy of the queries. Letters
-    and queries without a vector take no part; ties go to the lower letter id.
+    ``queries``: ``(query_id, embedding)``, ``letters``: ``(letter_id, embedding)``. Letters that fit one
+    block meet each block of queries in one matrix product; no row pairs are formed, and a query is sent
+    once. More letters than that are searched through an index (``indexed_matches``, which ``index`` is
+    for). Letters and queries without a vector take no part; ties go to the lower letter id.
     """
-    q_blocks, l_blocks = _blocks(queries, block_rows), _blocks(letters, block_rows)
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    l_type = letters.schema["letter_id"].dataType.simpleString()
+    queries = queries.filter(F.col("embedding").isNotNull())
+    letters = letters.filter(F.col("embedding").isNotNull())
+    n_letters = letters.count()
+    if n_letters > block_rows:
+        return indexed_matches(queries, letters, n_letters, k, exclude_same, block_rows, **index)
+    one = F.lit(0).alias("_cell")
+    q = queries.select("query_id", F.col("embedding").alias("_vector"), one)
+    s = letters.select("letter_id", F.col("embedding").alias("_vector"), one)
+    return _ranked(_met(q, s, k, exclude_same, block_rows), k)
+
+
+def indexed_matches(
+    queries: DataFrame,
+    letters: DataFrame,
+    n_letters: int,
+    k: int,
+    exclude_same: bool = False,
+    block_rows: int = BLOCK_ROWS,
+    **index,
+) -> DataFrame:
+    """The same through cells of letters (``vectors.build``).
+
+    A query looks into its nearest cells first. Its least score there then proves which other cells cannot
+    hold a better letter, and it looks into the rest. So letters are sent to their cell, queries to the
+    cells that matter to them. Of letters without direction, whose score is 0 for all, and of all letters
+    for a query without direction the lowest ids are enough.
+    """
+    held = vectors.build(letters, n_letters, **index)
+    more = k + 1 if exclude_same else k
+    cells = held.rows.filter(F.col("_cell") != vectors.NO_CELL)
+    first = staged(_met(staged(vectors.visits(queries, held, more, False)), cells, k, exclude_same, block_rows))
+    least = _ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    asked = queries.join(least, "query_id", "left")
+    second = _met(staged(vectors.visits(asked, held, more, True)), cells, k, exclude_same, block_rows)
+
+    def lowest(rows: DataFrame):
+        """At most ``more`` ids."""
+        return rows.orderBy("letter_id").limit(more).agg(F.collect_list("letter_id").alias("ids")).scalar()
+
+    turned = F.exists("embedding", lambda x: x != 0)
+    flat = queries.select(
+        "query_id",
+        F.explode(F.when(turned, lowest(held.rows.filter(F.col("_cell") == vectors.NO_CELL))).otherwise(lowest(held.rows))).alias("letter_id"),
+        F.lit(0.0).alias("score"),
+    )
+    if exclude_same:
+        flat = flat.filter(F.col("query_id") != F.col("letter_id"))
+    return _ranked(first.unionByName(second).unionByName(flat), k)
 
-    def spread(rows: DataFrame, id_: str, own: str, n_own, other: str, n_other) -> DataFrame:
-        return rows.filter(F.col("embedding").isNotNull()).select(
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return top_per(found, ["query_id"], [F.col("score").desc(), F.col("letter_id")], k, rank="rank")
+
+
+def _met(visits: DataFrame, letters: DataFrame, k: int, exclude_same: bool, block_rows: int) -> DataFrame:
+    """The best ``k`` of each cell for the queries that visit it.
+
+    A cell is cut into blocks of letters and of queries by their ids, and each pair of blocks is one group,
+    so a cell of any size is dealt over many tasks. What says into how many is one row per cell.
+    """
+
+    def sizes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    # at most vectors.CELLS rows
+    counts = F.broadcast(sizes(letters, "_n_lb").join(sizes(visits, "_n_qb"), "_cell"))
+
+    def spread(rows: DataFrame, id_: str, own: str, other: str) -> DataFrame:
+        return rows.join(counts, "_cell").select(
             id_,
-            F.col("embedding").alias("_vector"),
-            F.pmod(F.xxhash64(id_), n_own).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other),
+            "_vector",
+            "_cell",
+            F.pmod(F.xxhash64(id_), F.col(f"_n{own}")).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)).alias(other),
         )
 
-    q = spread(queries, "query_id", "_qb", q_blocks, "_lb", l_blocks)
-    s = spread(letters, "letter_id", "_lb", l_blocks, "_qb", q_blocks)
-    found = (
-        q.groupBy("_qb", "_lb")
-        .cogroup(s.groupBy("_qb", "_lb"))
-        .applyInPandas(
-            _scored(k, exclude_same), f"query_id {q_type}, letter_id {l_type}, score double"
-        )
-    )
-    order = [F.col("score").desc(), F.col("letter_id")]
-    return top_per(found, ["query_id"], order, k, rank="rank")
+    keys = ["_cell", "_qb", "_lb"]
+    q = spread(visits, "query_id", "_qb", "_lb").groupBy(*keys)
+    s = spread(letters, "letter_id", "_lb", "_qb").groupBy(*keys)
+    schema = T.StructType([visits.schema["query_id"], letters.schema["letter_id"], T.StructField("score", T.DoubleType())])
+    return q.cogroup(s).applyInPandas(_scored(k, exclude_same), schema)
 
 
 def best_match(

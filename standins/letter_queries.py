@@ -41,8 +41,7 @@ SQL_STARTS = f"""{SQL_PAGES},
 seen AS (
   SELECT doc_id, page_no, CASE WHEN page_no > 1 THEN {_SQL_PAYOR} END AS payor,
          page_no > 1 AND ({_SQL_SUBJECT}) AS subject
-  FROM (SELECT doc_id, page_no, array_to_string(string_split(page_text, chr(10))[1:15], chr(10))
-          AS page_text FROM pages)
+  FROM pages
 ),
 starts AS (
   SELECT doc_id, max(page_no) AS total_pages,

@@ -66,8 +66,8 @@ def best_window(events):
     return best
 
 
-def denial_start(pages, payors, phrases):
-    headers = ["\n".join(p.split("\n")[:15]).lower() for p in pages]
+def denial_start(pages, payors, phrases, header_lines=None):
+    headers = ["\n".join(p.split("\n")[:header_lines]).lower() for p in pages]
     for i, h in enumerate(headers):
         if i:
             for pattern, name in payors:

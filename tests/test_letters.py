@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import guidelines, letters, report, similarity
+from caseflow.operators import vectors as index_of_vectors
 from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS
 from tests import models
 
 
-def test_denial_start_equals_the_model(spark):
+@pytest.mark.parametrize("header_lines", [None, 15])
+def test_denial_start_equals_the_model(spark, header_lines):
     rnd = random.Random(4)
     words = ["Aetna letter", "UHC", "re: claim 7", "plain", "Medicare and Cigna", "clinical review"]
     docs = {}
@@ -19,10 +21,10 @@ def test_denial_start_equals_the_model(spark):
         ]
     rows = [(d, i + 1, p) for d, pages in docs.items() for i, p in enumerate(pages)]
     frame = spark.createDataFrame(rows, "doc_id long, page_no int, page_text string")
-    starts = letters.denial_start(frame)
+    starts = letters.denial_start(frame, header_lines=header_lines)
     got = {r.doc_id: (r.denial_start_page, r.payor) for r in starts.collect()}
     assert got == {
-        d: models.denial_start(p, letters.PAYORS, letters.SUBJECT_PHRASES) for d, p in docs.items()
+        d: models.denial_start(p, letters.PAYORS, letters.SUBJECT_PHRASES, header_lines) for d, p in docs.items()
     }
     texts = {(r.doc_id, r.section): r.text for r in letters.letter_sections(frame, starts).collect()}
     for d, pages in docs.items():
@@ -147,26 +149,57 @@ def vectors(spark, rows, name):
     return spark.createDataFrame(rows, f"{name} long, embedding array<float>")
 
 
-@pytest.mark.parametrize("block_rows", [3, 1000])
-def test_top_matches_equal_brute_force(spark, block_rows):
+def cosines(q, s, k, exclude_same=False):
+    """The best ``k`` of all pairs; vectors without direction score 0."""
+
+    def cos(a, b):
+        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / na / nb, 9) + 0.0 if na and nb else 0.0
+
+    out = {}
+    for i, v in q:
+        if v is not None:
+            scored = [(i2, cos(v, w)) for i2, w in s if w is not None and not (exclude_same and i2 == i)]
+            out[i] = sorted(scored, key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("exclude_same", [False, True])
+@pytest.mark.parametrize(("block_rows", "cells"), [(1000, None), (3, 1), (3, 4), (22, None), (2, 23)])
+def test_top_matches_equal_brute_force(spark, block_rows, cells, exclude_same):
     rnd = random.Random(7)
     def draw():
         return [float(rnd.randint(-2, 2)) for _ in range(4)]
     q = [(i, draw()) for i in range(17)] + [(90, [0.0] * 4), (91, None)]
-    s = [(i, draw()) for i in range(23)] + [(80, None)]
-    def cos(a, b):
-        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
-        return round(sum(x * y for x, y in zip(a, b)) / na / nb, 9) + 0.0 if na and nb else 0.0
-    out = similarity.top_matches(vectors(spark, q, "query_id"), vectors(spark, s, "letter_id"), 4, block_rows=block_rows)
+    s = [(i, draw()) for i in range(23)] + [(80, None), (85, [0.0] * 4), (86, [0.0] * 4)]
+    out = similarity.top_matches(
+        vectors(spark, q, "query_id"), vectors(spark, s, "letter_id"), 4, exclude_same, block_rows=block_rows, cells=cells
+    )
     got = {}
     for r in out.collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.letter_id, round(r.score, 9) + 0.0)
-    for i, v in q:
-        if v is None:
-            assert i not in got
-            continue
-        best = sorted(((i2, cos(v, w)) for i2, w in s if w is not None), key=lambda x: (-x[1], x[0]))[:4]
-        assert [got[i][k] for k in (1, 2, 3, 4)] == best
+    assert {i: [x[n] for n in sorted(x)] for i, x in got.items()} == cosines(q, s, 4, exclude_same)
+
+
+def test_the_index_leaves_cells_out(spark):
+    """Letters in well-parted groups: a query is sent to few cells, and the result is exact."""
+    rnd = random.Random(3)
+    middles = [[rnd.gauss(0, 1) for _ in range(12)] for _ in range(16)]
+    near = lambda: [round(1024 * (x + rnd.gauss(0, 0.05))) / 1024 for x in rnd.choice(middles)]
+    sent = {}
+    for n in (150, 300, 600):
+        s, q = [(i, near()) for i in range(n)], [(i, near()) for i in range(n // 3)]
+        letters, queries = vectors(spark, s, "letter_id"), vectors(spark, q, "query_id")
+        found = similarity.indexed_matches(queries, letters, n, 5, block_rows=50, cells=16)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.letter_id
+        assert {i: [x[k] for k in sorted(x)] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in cosines(q, s, 5).items()}
+        index = index_of_vectors.build(letters, n, cells=16)
+        least = found.filter("rank = 5").selectExpr("query_id", "score _least")
+        sent[n] = sum(index_of_vectors.visits(queries.join(least, "query_id"), index, 5, later).count() for later in (False, True))
+        assert sent[n] < 4 * len(q)
+    assert sent[600] < 2.5 * sent[300]
 
 
 def test_best_match_defaults(spark):
@@ -206,6 +239,70 @@ def test_guidelines(spark):
     }
 
 
+def guideline_tables(random_, hot):
+    """Names and documents over few words; with ``hot`` one word is in all of them, and one code too."""
+    words = [f"word{i}" for i in range(9)]
+    head = "common " if hot else ""
+    docs = [
+        (head + " ".join(random_.choices(words, k=random_.randrange(5))) + f" file{i}", ",".join(random_.choices(["A", "B", "C", "D"], k=2)) + (",H" if hot else ""))
+        for i in range(60)
+    ]
+    docs += [(None, "A"), ("word1 word2", None), ("word2 word1", "E")]
+    codes = ["A", "B", "C", "Z", None] + (["H"] * 3 if hot else [])
+    dx = [
+        (i, random_.choice(codes), head + " ".join(random_.choices([*words, "other"], k=random_.randrange(6))), random_.choice(codes), random_.choice(codes))
+        for i in range(150)
+    ]
+    return docs, [*dx, (900, None, None, None, None), (901, "A", None, "B", "C"), dx[0]]
+
+
+def best_guideline(row, docs):
+    _, dx_code, dx_name, proc_code, px_name = row
+
+    def words(text):
+        return {w for w in (text or "").split() if w not in ("other",)}
+
+    own, found = words(dx_name), []
+    for name, codes in docs:
+        shared, n = len(own & words(name)), len(words(name))
+        similarity = shared / len(own) if own else 0.0
+        for code in {c.strip() for c in codes.split(",")} if codes is not None else set():
+            worth = [w for w, c in ((1.0, dx_code), (0.8, proc_code)) if c == code] + ([0.6] if px_name == code and shared else [])
+            found += [(-w, -similarity, -n, name or "", code) for w in worth]
+        if shared:
+            found.append((-0.2 * similarity, -similarity, -n, name or "", ""))
+    return min(found)[:4] if found else None
+
+
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("common", [1, 3, 256])
+def test_guidelines_are_brute_force_s(spark, hot, common):
+    docs, dx = guideline_tables(random.Random(5), hot)
+    documents = spark.createDataFrame(docs, "file_name string, codes string")
+    diagnoses = spark.createDataFrame(dx, "account_id long, dx_code string, dx_name string, proc_code string, px_name string")
+    found = guidelines.best_guidelines(diagnoses, documents, common).collect()
+    assert len(found) == len(dx)
+    by_account = {r[0]: r for r in dx}
+    for r in found:
+        want = best_guideline(by_account[r.account_id], docs)
+        got = None if r.combined is None else (-r.combined, -r.similarity, -r.n_tokens, r.file_name or "")
+        assert (got is None) == (want is None)
+        if want is not None:
+            assert got[:3] == pytest.approx(want[:3], abs=1e-12) and got[3] == want[3]
+
+
+def test_a_word_of_all_names_and_documents_costs_a_row_each(spark, monkeypatch):
+    """What meets under an item is at most ``common`` times what is listed under it."""
+    n, met = 400, []
+    asked = spark.createDataFrame([("", f"n{i}", sorted(["hot", f"a{i}"]), True) for i in range(n)], "group string, name string, words array<string>, needs_word boolean")
+    documents = spark.createDataFrame([("", f"d{i:03}", sorted(["hot", f"b{i}"])) for i in range(n)], "group string, file_name string, words array<string>")
+    ranked = guidelines.top_per
+    monkeypatch.setattr(guidelines, "top_per", lambda rows, *a: met.append(rows.count()) or ranked(rows, *a))
+    found = guidelines.best_sharing(asked, documents, common=8).collect()
+    assert met == [n]
+    assert {(r.file_name, r.n_shared) for r in found} == {("d000", 1)} and len(found) == n
+
+
 def test_assessment(spark):
     frame = spark.createDataFrame(
         [(1, '```json\n{"overall_score": 14.6, "criteria": {"score": 3, "findings": [{"status": "missing", "item": "i"}]}}\n```'),
@@ -229,7 +326,7 @@ def test_letter_text_optional_sections(spark):
 
 def test_rebuttals_and_status(spark):
     rows = spark.createDataFrame([(1, "b", "two"), (1, "a", "one"), (2, "c", "x")], "account_id long, name string, text string")
-    sections = {r.account_id: r.rebuttals_section for r in report.rebuttal_sections(rows).collect()}
+    sections = {r.account_id: r.rebuttals_section for r in report.rebuttal_sections(rows).collect() if r.part_no == 0}
     assert sections == {1: "## a\none\n\n## b\ntwo", 2: "## c\nx"}
     frame = spark.createDataFrame(
         [(1, "bad", True, "gen"), (2, None, False, "gen"), (3, None, True, "gen"), (4, None, True, None), (5, None, None, None)],
