@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.times import HOUR, micros
-from caseflow.operators.slices import SLICE, after, before, slice_of
+from caseflow.operators.dense import DENSE_ROWS, dense_cuts, with_slice
+from caseflow.operators.slices import SLICE, after, before
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ def nearest(
     left_ts: str,
     series: dict[str, Series],
     width_us: int = HOUR,
+    dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """Adds to each left row a struct per series: its nearest row's values, ``us`` and ``gap_us``.
 
@@ -67,7 +69,7 @@ def nearest(
         )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     limits = {name: s.tolerance_us for name, s in series.items()}
-    found = nearest_tagged(rows, keys, limits, width_us).select(*keys, "row.*", *series)
+    found = nearest_tagged(rows, keys, limits, width_us, dense_rows).select(*keys, "row.*", *series)
     apart = left.filter(~whole).select(
         *keys, *kept, *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in series]
     )
@@ -75,7 +77,11 @@ def nearest(
 
 
 def nearest_tagged(
-    rows: DataFrame, keys: Sequence[str], limits: dict[str, int | None], width_us: int = HOUR
+    rows: DataFrame,
+    keys: Sequence[str],
+    limits: dict[str, int | None],
+    width_us: int = HOUR,
+    dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """The same over one table in which left rows and readings are marked.
 
@@ -85,12 +91,14 @@ def nearest_tagged(
     The rows are shuffled once, by key and slice. From that one shuffle Spark reads twice: to tell
     each slice that has left rows the last reading before it and the first after it, one small row
     per slice; and to sort rows and told readings together. Each left row then looks back over the
-    ascending and over the descending order. The width of a slice never changes the result.
+    ascending and over the descending order. The width of a slice never changes the result; slices of
+    more than ``dense_rows`` rows are cut where their rows lie.
     """
     keys, names = list(keys), list(limits)
     rights = [F.col(f"_r_{n}") for n in names]
     us = F.coalesce(F.col("_left.us"), *[r["us"] for r in rights])
-    placed = rows.withColumn(SLICE, slice_of(us, width_us)).repartition(*keys, SLICE)
+    cuts = dense_cuts(rows, keys, us, width_us, dense_rows)
+    placed = with_slice(rows, keys, us, width_us, cuts).repartition(*keys, SLICE)
 
     def extreme(n: str, sign: int, alias: str) -> Column:
         r = F.col(f"_r_{n}")

@@ -17,6 +17,7 @@ from caseflow.functions.values import (
     safe_double,
 )
 from caseflow.operators.asof import nearest_tagged, reading
+from caseflow.operators.dense import DENSE_ROWS, dense_cuts, with_slice
 from caseflow.operators.slices import SLICE, after, ordinal, slice_of
 from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS, Profile
 
@@ -255,7 +256,7 @@ def organ_events(
 
 
 def best_windows(
-    events: DataFrame, length_us: int = DAY, width_us: int = HOUR
+    events: DataFrame, length_us: int = DAY, width_us: int = HOUR, dense_rows: int = DENSE_ROWS
 ) -> DataFrame:
     """Per account the window ``[a, a + length]``, ``a`` being a scored time, of highest total.
 
@@ -267,24 +268,22 @@ def best_windows(
     """
     pairs = [(organ, level) for organ in ORGANS for level in LEVELS]
     name = {(o, s): f"_n_{o}_{s}" for o, s in pairs}
+    columns = list(name.values())
     organ = F.when(F.col("organ") == "vasopressor", "cardiovascular").otherwise(F.col("organ"))
-    sliced = events.select(
+    # the events of an instant fall together in the tasks that read them, to the highest score of each organ
+    peaks = events.groupBy("account_id", "us").agg(
+        *[F.max(F.when(organ == o, F.col("score"))).alias(f"_p_{o}") for o in ORGANS]
+    )
+    cuts = dense_cuts(events, ["account_id"], F.col("us"), width_us, dense_rows)
+    sliced = with_slice(peaks, ["account_id"], F.col("us"), width_us, cuts).select(
         "account_id",
-        slice_of(F.col("us"), width_us).alias(SLICE),
+        SLICE,
         "us",
-        organ.alias("o"),
-        "score",
+        *[F.when(F.col(f"_p_{o}") >= s, F.col("us")).alias(name[o, s]) for o, s in pairs],
     ).repartition("account_id", SLICE)
-    columns = list(name.values())
-    first = [
-        F.min(F.when((F.col("o") == o) & (F.col("score") >= s), F.col("us"))).alias(name[o, s])
-        for o, s in pairs
-    ]
-    # both aggregates read the one shuffle above
-    instants = sliced.groupBy("account_id", SLICE, "us").agg(*first)
     later = (
         sliced.groupBy("account_id", SLICE)
-        .agg(*first)
+        .agg(*[F.min(c).alias(c) for c in columns])
         .select(
             "account_id",
             SLICE,
@@ -299,7 +298,7 @@ def best_windows(
         .orderBy(F.col("us").desc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reach = instants.unionByName(later).select(
+    reach = sliced.unionByName(later).select(
         "account_id",
         "us",
         *[F.min(c).over(ahead).alias(c) for c in columns],

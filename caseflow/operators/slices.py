@@ -7,6 +7,8 @@ the others is carried in: one small row per (key, slice), reduced on the map sid
 full rows are shuffled once, by (key, slice). The carry table has at most one row per
 slice of the calendar and key, and never more rows than the data.
 
+A slice in which rows lie dense is cut further, at quantiles of its own rows (``dense.py``).
+
 Frames always run from the first row to the current one. Spark keeps a running state for
 those; a frame that ends at the last row is evaluated anew for every row, so a look ahead
 is written as a look back over the descending order.

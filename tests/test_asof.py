@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators.asof import Series, nearest
-from caseflow.operators.slices import ordinal
+from caseflow.operators.dense import dense_cuts, with_slice
+from caseflow.operators.slices import SLICE, ordinal
 from caseflow.functions.times import micros
 from tests.models import nearest as model
 
@@ -116,3 +117,30 @@ def test_ordinal_numbers_whole_keys(spark):
 def test_micros_is_exact(spark):
     row = spark.sql("select timestamp_ntz '2024-01-01 00:00:07.179575' as t").select(micros(F.col("t")).alias("u"))
     assert row.first().u == 1704067207179575
+
+
+@pytest.mark.parametrize("dense_rows", [3, 20])
+def test_dense_slices_change_nothing(spark, dense_rows):
+    """Most rows of a key within one slice, many at one instant."""
+    rnd = random.Random(dense_rows)
+    when = lambda: rnd.choice([rnd.randint(0, 400), 7, rnd.randint(3600, 9000)]) * SECOND
+    lefts = {i: (rnd.choice([1, 1, 1, 2]), when()) for i in range(200)}
+    rights = [(rnd.choice([1, 1, 1, 2]), when(), float(rnd.randint(0, 3))) for _ in range(120)]
+    left, right = frames(spark, lefts, rights)
+    rows = nearest(left, ["k"], "ts", {"r": Series(right, "ts", ["v"], ["v"])}, 3600 * SECOND, dense_rows).collect()
+    assert {r.id: r.r and (r.r.us, r.r.v) for r in rows} == model(lefts, rights, None)
+
+
+def test_dense_slices_are_dealt_evenly(spark):
+    """One key holds a third of all rows within one hour: its pieces are about as large as each other."""
+    hour = 3600 * SECOND
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        # denser and denser towards the end of the hour
+        (hour * F.sqrt(F.rand(5))).cast("long").alias("us"),
+    )
+    assert dense_cuts(rows, ["k"], F.col("us"), hour, most=20_000) is None
+    cuts = dense_cuts(rows, ["k"], F.col("us"), hour, most=1000, pieces=16)
+    assert [r.k for r in cuts.collect()] == [0]
+    counts = [r[0] for r in with_slice(rows, ["k"], F.col("us"), hour, cuts).filter("k = 0").groupBy(SLICE).count().select("count").collect()]
+    assert len(counts) == 16 and max(counts) < 2 * sorted(counts)[8] and sum(counts) == 10_000
