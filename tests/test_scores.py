@@ -54,6 +54,12 @@ def test_sliding_score_equals_the_model(spark, seed, width):
         assert got.window_start.startswith("1970-01")
 
 
+def test_dense_slices_give_the_same_windows(spark):
+    rows = [(1, us % (2 * HOUR) if us % 3 else us, *rest) for _, us, *rest in random_events(4)]
+    whole = scores.best_windows(events(spark, rows)).collect()
+    assert scores.best_windows(events(spark, rows), dense_rows=5).collect() == whole
+
+
 def test_window_is_closed_at_both_ends(spark):
     rows = [
         (1, 0, "renal", 1, 1.0, None, None), (1, DAY, "liver", 4, 4.0, None, None),
@@ -180,3 +186,43 @@ def test_organ_events_end_to_end(spark):
     assert "| **TOTAL** | **11** | 5 organs scored | |" in text and text.endswith("norepinephrine")
     low = report.sofa_text(scores.sofa(scores.organ_events(labs.filter("lab_name = 'x'"), vitals.filter("vital_name = 'MAP'"), meds.filter("med_name = 'x'")))).first()
     assert low.scores_text == report.NO_SOFA
+
+
+def test_rule_tables_say_what_columns_say(spark):
+    from caseflow.functions.values import Matcher, categories
+    from caseflow.operators import matchers as tables
+
+    rules = {
+        "a": Matcher(("lact", "ph"), ("dehydrogenase",)),
+        "b": Matcher(("gluc",), kind="vital"),
+        "c": Matcher(("p", "ph arterial"), ("lympho",)),
+        "d": Matcher(("arterial",)),
+    }
+    names = ["Lactate", "LACTATE dehydrogenase", "pH Arterial", "Lymphocytes", "P", "", None, "gluc", "alpha ph", "x"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names * 2)], "i long, name string")
+    for whole_word in (False, True):
+        for kind in (None, "lab"):
+            for exclusive in ((), ("c", "d")):
+                want = rows.select("i", F.explode(categories(F.col("name"), rules, kind, whole_word, exclusive)).alias("category"))
+                found = tables.with_categories(rows, "name", tables.rules_of(spark, rules, kind), whole_word, exclusive)
+                assert sorted((r.i, r.category) for r in found.collect()) == sorted(
+                    (r.i, r.category) for r in want.filter("category is not null").collect()
+                )
+
+
+def test_ten_thousand_rules(spark):
+    from caseflow.operators import matchers as tables
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(1, 8)))
+    rules = [(f"c{i}", i, word(), r.random() < 0.2) for i in range(10_000)] + [("c1", 1, None, False), ("e", 0, "", False)]
+    names = [word() + " " + word() for _ in range(150)]
+    found = tables.named_categories(
+        spark.createDataFrame([(n,) for n in names], "name string"),
+        spark.createDataFrame(rules, "category string, place int, word string, excludes boolean"),
+    )
+    want = set()
+    for n in set(names):
+        held = [(c, out) for c, _, w, out in rules if w is not None and w in n]
+        want |= {(n, c) for c in {c for c, out in held if not out} - {c for c, out in held if out}}
+    assert {tuple(x) for x in found.collect()} == want
