@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import NO_NOTE
@@ -31,6 +31,35 @@ def check_table(
     )
 
 
+def watched(rows: DataFrame, columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """The rows, and what will be known of them once they are written: their count and the values per column.
+
+    Write the rows as they are: measured right in front of a sink, each row is counted once, and the table
+    need not be read again to be checked.
+    """
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in columns]]
+    return rows.observe(seen, *counts), seen
+
+
+def check_watched(
+    rows: DataFrame, seen: Observation, name: str, expected: Sequence[str] = (), min_rows: int = 1
+) -> DataFrame:
+    """As ``check_table`` for rows of ``watched`` that were written."""
+    missing, n_rows = ", ".join(missing_columns(rows, expected)), seen.get["n_rows"]
+    return rows.sparkSession.range(1).select(
+        F.lit(name).alias("check_name"),
+        F.lit(n_rows).cast("long").alias("n_rows"),
+        F.lit(missing).alias("missing_columns"),
+        F.lit(n_rows >= min_rows and not missing).alias("passed"),
+    )
+
+
+def watched_counts(rows: DataFrame, seen: Observation) -> DataFrame:
+    """One row of ``watched``: n_rows, and n_<column> for each column counted."""
+    return rows.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in seen.get.items()])
+
+
 def check_named_table(
     spark: SparkSession, name: str, expected: Sequence[str] = (), min_rows: int = 1
 ) -> DataFrame:

@@ -30,6 +30,12 @@ def high_water_mark(scored: DataFrame, column: str, default: Column) -> Column:
     return scored.agg(F.coalesce(F.max(column), default).alias("mark")).scalar()
 
 
+def in_order(*populations: DataFrame) -> DataFrame:
+    """Populations one after the other as one, by entry date, then account; columns one lacks are null there."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), populations)
+    return rows.orderBy("entry_date", "account_id", *[c for c in rows.columns if c not in ("entry_date", "account_id")])
+
+
 def population(
     queue: DataFrame,
     scored: DataFrame,

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from caseflow.operators.slices import same_key
 from caseflow.session import checkpoint_dir
@@ -61,6 +62,44 @@ def replace_slice(rows: DataFrame, path: str, key: str) -> None:
     ).parquet(path)
 
 
+BUCKET = "_bucket"
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def write_keyed(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A table whose rows can be replaced by key: partitioned by a hash of the key."""
+    _bucketed(rows, key, buckets).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy(BUCKET).parquet(path)
+
+
+def replace_keys(rows: DataFrame, keys: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """In a table of ``write_keyed`` the rows of all ``keys`` make way for ``rows``; all others stay.
+
+    Only buckets that hold one of the keys are written. A key may have no rows any more. The new contents
+    are staged before they replace the old; on plain Parquet the replacement is not atomic, and a run that
+    is repeated gives the same table.
+    """
+    spark = rows.sparkSession
+    keys = staged(_bucketed(keys.select(key).distinct(), key, buckets))
+    touched = {r[0] for r in keys.select(BUCKET).distinct().collect()}  # at most ``buckets``
+    stored = spark.read.schema(StructType([*rows.schema.fields, StructField(BUCKET, IntegerType())])).parquet(path)
+    kept = stored.filter(F.col(BUCKET).isin(*touched)).join(keys.select(key), key, "left_anti").select(*rows.columns, BUCKET)
+    fresh = staged(kept.unionByName(_bucketed(rows, key, buckets)))
+    filled = {r[0] for r in fresh.select(BUCKET).distinct().collect()}
+    replace_slice(fresh, path, BUCKET)
+    for bucket in touched - filled:
+        _delete(spark, f"{path}/{BUCKET}={bucket}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unseen(rows: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows whose keys the table does not hold; running the same insert again adds nothing."""
     return same_key(rows, table.select(*keys).distinct(), keys, "left_anti")
@@ -94,7 +133,8 @@ def staged(rows: DataFrame) -> DataFrame:
     """The rows written to the cluster's shared checkpoint folder and read back.
 
     For a table several later steps read: it is computed once, its lineage ends here, and the loss
-    of an executor costs a re-read. Parquet, so later steps read the columns they need.
+    of an executor costs a re-read. Parquet, so later steps read the columns they need. The folder is the
+    one ``spark.checkpoint.dir`` names; only a local session without that setting gets one of this machine.
     """
     spark = rows.sparkSession
     path = f"{_staging_folder(spark)}/{uuid.uuid4().hex}"
@@ -108,8 +148,7 @@ def _staging_folder(spark: SparkSession) -> str:
 
 def remove_staged(spark: SparkSession) -> None:
     """Deletes what this application staged; for the end of a run, when no frame reads it any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _staging_folder(spark))
 
 
 def write_texts(rows: DataFrame, path: str, key: str, text: str) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from caseflow.plans.workqueue import high_water_mark
 from caseflow.session import checkpoint_dir
-from caseflow.sources.sinks import insert_unseen
+from caseflow.sources.sinks import insert_unseen, replace_keys, staged
 
 
 def to_score(
@@ -22,6 +25,32 @@ def to_score(
     return joined.filter((F.col(ts) > mark) | F.col("_known").isNull()).drop("_known")
 
 
+def touched(tables: dict[str, DataFrame], since: Column, key: str = "account_id", ts: str = "event_ts") -> DataFrame:
+    """Keys with a row since the mark in any of the tables, each once."""
+    news = [t.filter(F.col(ts) > since).select(key) for t in tables.values()]
+    return reduce(DataFrame.unionByName, news).filter(F.col(key).isNotNull()).distinct()
+
+
+def refresh(
+    path: str,
+    keys: DataFrame,
+    tables: dict[str, DataFrame],
+    compute: Callable[[dict[str, DataFrame]], DataFrame],
+    key: str = "account_id",
+    buckets: int = 64,
+) -> None:
+    """Brings a stored result up to date for the keys that changed.
+
+    ``compute`` makes the result, whose rows each belong to one key and depend on that key's rows only,
+    out of ``tables``. It gets the tables cut to the ``keys``, and only their rows of the result (a table
+    of ``sinks.write_keyed``) are replaced. So the cost follows what the changed keys own, and the
+    result is that of a full run.
+    """
+    keys = staged(keys.select(key).distinct())
+    own = {name: t.join(keys, key, "left_semi") for name, t in tables.items()}
+    replace_keys(compute(own), keys, path, key, buckets)
+
+
 def unprocessed_letters(letters: DataFrame, processed: DataFrame, min_chars: int = 100):
     """Letters that were not processed yet; ``skip_reason`` says why one has no usable text, else null."""
     chars = F.coalesce(F.length("letter_text"), F.lit(0))

@@ -190,3 +190,68 @@ def test_staged_files_can_be_removed(spark, tmp_path):
     assert os.path.isdir(folder)
     sinks.remove_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_keys_are_replaced_and_others_stay(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = spark.createDataFrame([(i, f"old{i}") for i in range(40)], "account_id long, v string")
+    sinks.write_keyed(rows, path, "account_id", 8)
+    before = {f: os.path.getmtime(f"{path}/{f}") for f in os.listdir(path) if f.startswith("_bucket")}
+    # key 3 gets other rows, key 5 has none any more, key 100 is new
+    fresh = spark.createDataFrame([(3, "new"), (3, "new too"), (100, "first")], rows.schema)
+    keys = spark.createDataFrame([(3,), (5,), (100,), (3,)], "account_id long")
+    for _ in range(2):  # again: nothing changes
+        sinks.replace_keys(fresh, keys, path, "account_id", 8)
+        found = sorted(tuple(r) for r in spark.read.schema(rows.schema).parquet(path).select("account_id", "v").collect())
+        assert found == sorted([(i, f"old{i}") for i in range(40) if i not in (3, 5)] + [(3, "new"), (3, "new too"), (100, "first")])
+    after = {f: os.path.getmtime(f"{path}/{f}") for f in os.listdir(path) if f.startswith("_bucket")}
+    assert 0 < sum(before[f] != after.get(f) for f in before) <= 3
+
+
+def test_a_bucket_that_loses_all_its_rows(spark, tmp_path):
+    path = str(tmp_path / "emptied")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "account_id long, v string")
+    sinks.write_keyed(rows, path, "account_id", 1000)
+    sinks.replace_keys(rows.limit(0), rows.filter("account_id = 1"), path, "account_id", 1000)
+    assert [r.v for r in spark.read.parquet(path).collect()] == ["b"]
+
+
+def test_refresh_recomputes_what_changed_and_equals_a_full_run(spark, tmp_path):
+    path, seen = str(tmp_path / "refreshed"), []
+    events = spark.range(1000).selectExpr("id % 50 account_id", "timestamp_seconds(id) event_ts", "id v")
+    other = spark.range(10).selectExpr("id + 45 account_id", "timestamp_seconds(id) event_ts", "1 w")
+
+    def compute(t):
+        seen.append(t["events"].count())
+        sums = t["events"].groupBy("account_id").agg(F.sum("v").alias("total"))
+        return sums.join(t["other"].groupBy("account_id").agg(F.sum("w").alias("w")), "account_id", "full")
+
+    mark = F.timestamp_seconds(F.lit(989))
+    late = {"events": events, "other": other}
+    old = {n: x.filter(F.col("event_ts") <= mark) for n, x in late.items()}
+    sinks.write_keyed(compute(old), path, "account_id")
+    keys = incremental.touched(late, mark)
+    assert keys.count() == 10
+    incremental.refresh(path, keys, late, compute)
+    whole = compute(late)
+    found = spark.read.schema(whole.schema).parquet(path).select(*whole.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    assert seen == [990, 200, 1000]
+
+
+def test_checks_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "a long, b string")
+    watched, seen = quality.watched(rows.repartition(3), ("b",))
+    watched.write.parquet(str(tmp_path / "watched"))
+    assert watched.columns == ["a", "b"]
+    for expected, least in (((), 1), (("a", "z"), 1), ((), 4)):
+        assert quality.check_watched(watched, seen, "x", expected, least).first() == quality.check_table(rows, "x", expected, least).first()
+    assert quality.watched_counts(watched, seen).first().asDict() == {"n_rows": 3, "n_b": 2}
+
+
+def test_populations_in_order(spark):
+    a = spark.createDataFrame([(2, "2024-01-02"), (1, "2024-01-03"), (5, None)], "account_id long, entry_date string")
+    b = spark.createDataFrame([(3, "2024-01-02", "x"), (1, "2024-01-01", "y")], "account_id long, entry_date string, why string")
+    assert [tuple(r) for r in workqueue.in_order(a, b).collect()] == [
+        (5, None, None), (1, "2024-01-01", "y"), (2, "2024-01-02", None), (3, "2024-01-02", "x"), (1, "2024-01-03", None)
+    ]
