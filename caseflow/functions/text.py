@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,6 +124,18 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return result
 
 
+def cut_template(template: str, names: set[str]) -> list[tuple[str, str | None]]:
+    """The template's stretches of text and its ``{name}`` placeholders in order: (text, None), (placeholder, name)."""
+    found: list[tuple[str, str | None]] = []
+    at = 0
+    for match in re.finditer(r"\{(\w+)\}", template):
+        if match[1] in names:
+            found += [(template[at : match.start()], None), (match[0], match[1])]
+            at = match.end()
+    found.append((template[at:], None))
+    return [x for x in found if x[0]]
+
+
 def title_of(key: Column) -> Column:
     return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
 

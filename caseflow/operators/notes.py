@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,10 +138,15 @@ def notes_by_type(
     )
 
 
+def wide_part_chars(types: Collection[str] = NOTE_TYPES) -> int:
+    return PART_CHARS // max(1, len(types))
+
+
 def notes_wide(by_type: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """One row per account and part with three columns per note type; gaps hold the sentinels.
 
-    The pivot names its values, so Spark needs no pass over the data to find them.
+    The pivot names its values, so Spark needs no pass over the data to find them. All types stand side by
+    side: given notes in parts of ``wide_part_chars``, a row has no more text than a part elsewhere.
     """
     types = NOTE_TYPES if types is None else types
     pivoted = (
@@ -221,7 +228,8 @@ def notes_section(extracted: DataFrame, part_chars: int = PART_CHARS) -> DataFra
     keys = [F.col("note_key"), *([F.col("part_no")] if "part_no" in extracted.columns else [])]
     place = priority(F.col("note_key")).cast("long")
     parts = text_parts(extracted, ["account_id"], entry, "\n\n", place, keys, part_chars, width=1)
-    return parts.select(
+    # after the last text a part may hold missing notes only
+    return parts.filter("part_no = 0 or n_rows > 0").select(
         "account_id",
         "part_no",
         F.col("n_rows").alias("n_notes"),

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import (
     UNKNOWN,
     bold_runs,
-    filled,
+    cut_template,
     or_default,
     paragraphs,
     without_leading_fence,
 )
 from caseflow.functions.values import any_of, clamp, fixed
+from caseflow.operators.notes import NO_NOTES
 from caseflow.operators.scores import ADMISSION, FIRST_DX
-from caseflow.operators.textparts import text_parts
+from caseflow.operators.textparts import PART_CHARS, by_part, text_parts
 from caseflow.profiles import ORGAN_NAMES, SOFA_CRITERIA, Profile
 
 # The least SOFA total that is reported, and the status notes of the tables. What a
@@ -75,7 +76,7 @@ def sofa_lines() -> Column:
 
 
 def sofa_text(scores: DataFrame) -> DataFrame:
-    """The SOFA table of each account as Markdown."""
+    """The SOFA table of each account as Markdown; its wording is fixed."""
     rows = F.transform(
         sofa_lines(),
         lambda x: F.concat(
@@ -159,6 +160,8 @@ def pf_heading(summary: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
+# The head of the ratio table. The wording of the tables here (``sofa_text``, ``pf_cells``,
+# ``pf_heading``) is fixed too.
 PF_TABLE_HEAD = (
     "| Timestamp | PaO2 (mmHg) | FiO2 | PEEP (cmH2O) | P/F Ratio | Berlin Classification |\n"
     "|---|---|---|---|---|---|"
@@ -184,10 +187,11 @@ def pf_text(series: DataFrame, summary: DataFrame, profile: Profile, **options)
         "text",
         F.when(last, F.lit(f"\n\n{profile.scoring_instructions}")).otherwise(""),
     )
-    ends = parts.groupBy("account_id").agg(F.max("part_no").alias("last_part"))
+    # the parts are computed once: the last one is told by the window that orders them
+    later = Window.partitionBy("account_id").orderBy(F.col("part_no").desc())
     shown = (
-        parts.join(heading.filter("qualifies"), "account_id")
-        .join(ends, "account_id")
+        parts.withColumn("last_part", F.first("part_no").over(later))
+        .join(heading.filter("qualifies"), "account_id")
         .select("account_id", "part_no", table.alias("scores_text"))
     )
     hidden = heading.filter("not qualifies").select(
@@ -459,52 +463,82 @@ def letter_runs(letters: DataFrame, keys: tuple[str, ...], text: str = "letter_t
 # --- writer context ---------------------------------------------------------------------------
 
 
-def rebuttal_sections(rebuttals: DataFrame) -> DataFrame:
-    """Rebuttals ``(account_id, name, text)``, a few per account, as one section each, by name."""
+# What stands between the parts of a text that comes in parts, where it is not the empty string.
+PART_SEPARATORS = {
+    "denial_text": "\n\n",
+    "notes_section": "\n\n",
+    "structured_summary": "\n\n",
+    "rebuttals_section": "\n\n",
+}
+
+
+def rebuttal_sections(rebuttals: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Rebuttals ``(account_id, name, text)`` as one section for each account, by name, in parts."""
     entry = F.concat(F.lit("## "), "name", F.lit("\n"), "text")
-    entries = F.array_sort(F.collect_list(F.struct("name", entry.alias("entry"))))
-    return rebuttals.groupBy("account_id").agg(
-        F.array_join(entries["entry"], "\n\n").alias("rebuttals_section")
-    )
+    parts = text_parts(rebuttals, ["account_id"], entry, "\n\n", F.lit(0).cast("long"), [F.col("name"), F.col("text")], part_chars)
+    return parts.select("account_id", "part_no", F.col("text").alias("rebuttals_section"))
 
 
 def writer_context(
-    cases: DataFrame, template: str, profile: Profile, rebuttals: DataFrame | None = None
+    cases: DataFrame,
+    template: str,
+    profile: Profile,
+    rebuttals: DataFrame | None = None,
+    separators: dict[str, str] | None = None,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """The filled template per account.
+    """The filled template per account in parts: ``(account_id, part_no, prompt)``, to be joined as they are.
 
-    ``cases`` holds one row per account with the columns named below; a missing text gets its
-    default. Rows with a ``part_no`` (a text of theirs comes in parts) give a context for each part.
-    ``rebuttals`` are those that apply to an account.
+    ``cases`` holds the columns named below, one row per account or, with a ``part_no``, per account and
+    part of its texts; a missing text gets its default. ``rebuttals`` are those that apply to an account.
+
+    The template is cut at its placeholders. Each stretch of it and each part of a text is a piece with a
+    place, and pieces become parts by their running length; a text in parts is never one value.
+    ``separators`` say what stands between the parts of a text (``PART_SEPARATORS``).
     """
+    if "part_no" not in cases.columns:
+        cases = cases.withColumn("part_no", F.lit(0))
     if rebuttals is None:
-        cases = cases.withColumn("rebuttals_section", F.lit(""))
+        cases = cases.withColumn("rebuttals_section", F.lit(None).cast("string"))
     else:
-        cases = cases.join(rebuttal_sections(rebuttals), "account_id", "left")
-    definition = F.coalesce(
-        F.concat(
-            F.lit(f"## OFFICIAL {profile.display_name.upper()} DEFINITION\n"), F.col("definition")
-        ),
-        F.lit("No specific definition loaded."),
-    )
+        cases = by_part(cases, (rebuttal_sections(rebuttals),), "account_id")
+    first = F.col("part_no") == 0
+    title = f"## OFFICIAL {profile.display_name.upper()} DEFINITION\n"
+
+    def once(value: Column) -> Column:
+        return F.when(first, value)
+
+    def text(column: str, default: str = "", head: str = "") -> Column:
+        own = F.col(column).cast("string")
+        between = {**PART_SEPARATORS, **(separators or {})}.get(column, "")
+        begun = F.coalesce(F.concat(F.lit(head), own), F.lit(default))
+        later = F.concat(F.lit(between), F.nullif(own, F.lit("")))
+        return F.when(first, begun).otherwise(later)
+
     values = {
-        "denial_letter_text": F.col("denial_text"),
-        "clinical_notes_section": F.coalesce("notes_section", F.lit("No clinical notes available.")),
-        "structured_data_summary": F.col("structured_summary"),
-        "clinical_scores_section": F.coalesce("scores_text", F.lit(NO_SCORES)),
-        "clinical_definition_section": definition,
-        "gold_letter_section": F.col("template_letter"),
-        "scoring_instructions": F.lit(profile.scoring_instructions),
-        "conditional_rebuttals_section": F.coalesce("rebuttals_section", F.lit("")),
-        "patient_name": F.col("patient_name"),
-        "hsp_account_id": F.col("account_id"),
-        "date_of_service": F.col("date_of_service"),
-        "original_drg": or_default(F.col("original_drg"), UNKNOWN),
-        "proposed_drg": or_default(F.col("proposed_drg"), UNKNOWN),
-        "payor": or_default(F.col("payor"), UNKNOWN),
+        "denial_letter_text": text("denial_text"),
+        "clinical_notes_section": text("notes_section", NO_NOTES),
+        "structured_data_summary": text("structured_summary"),
+        "clinical_scores_section": text("scores_text", NO_SCORES),
+        "clinical_definition_section": text("definition", "No specific definition loaded.", title),
+        "gold_letter_section": text("template_letter"),
+        "scoring_instructions": once(F.lit(profile.scoring_instructions)),
+        "conditional_rebuttals_section": text("rebuttals_section"),
+        "patient_name": once(F.col("patient_name")),
+        "hsp_account_id": once(F.col("account_id").cast("string")),
+        "date_of_service": once(F.col("date_of_service")),
+        "original_drg": once(or_default(F.col("original_drg"), UNKNOWN)),
+        "proposed_drg": once(or_default(F.col("proposed_drg"), UNKNOWN)),
+        "payor": once(or_default(F.col("payor"), UNKNOWN)),
     }
-    parts = ["part_no"] if "part_no" in cases.columns else []
-    return cases.select("account_id", *parts, filled(F.lit(template), values).alias("prompt"))
+    pieces = [once(F.lit(piece)) if name is None else values[name] for piece, name in cut_template(template, set(values))]
+    placed = cases.select(
+        "account_id", "part_no", F.posexplode(F.array(F.lit(""), *pieces)).alias("place", "text")
+    ).filter("text is not null")
+    parts = text_parts(
+        placed, ["account_id"], F.col("text"), "", F.col("place").cast("long"), [F.col("part_no")], part_chars, width=1
+    )
+    return parts.select("account_id", "part_no", F.col("text").alias("prompt"))
 
 
 # --- status -----------------------------------------------------------------------------------

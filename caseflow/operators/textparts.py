@@ -41,7 +41,8 @@ def text_parts(
         *[c.alias(f"_x_{name}") for name, c in extra.items()],
     )
     order = ["_pos", *[f"_tie_{i}" for i in range(len(tie))]]
-    weight = F.coalesce(F.length("_text"), F.lit(0)) + len(sep)
+    # a null text takes no place, so a first part holds the first text
+    weight = F.coalesce(F.length("_text") + len(sep), F.lit(0))
     placed = running_totals(
         shaped, keys, F.col("_pos"), [F.col(o) for o in order], {"_before": weight}, width
     )
@@ -61,27 +62,6 @@ def text_parts(
     )
 
 
-def first_part(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key out of a table in parts: part 0, with ``n_parts``; any other table as it is."""
-    if "part_no" not in rows.columns:
-        return rows
-    counts = rows.groupBy(*keys).agg((F.max("part_no") + 1).alias("n_parts"))
-    return rows.filter("part_no = 0").drop("part_no").join(counts, list(keys))
-
-
-def whole(rows: DataFrame, keys: Sequence[str], column: str, sep: str, count: str = "n_rows") -> DataFrame:
-    """One row per key out of a table in parts: the texts of ``column`` in order of their parts, joined by ``sep``.
-
-    Parts that hold no text (their ``count`` is 0) are passed over, unless no part of the key holds any.
-    One value then holds all the text of a key; where that may be too long for a value, keep the parts.
-    """
-    parts = F.array_sort(F.collect_list(F.struct("part_no", F.col(count).alias("n"), F.col(column).alias("text"))))
-    held = F.filter("_parts", lambda x: x["n"] > 0)
-    texts = F.when(F.size(held) > 0, held).otherwise(F.slice("_parts", 1, 1))
-    gathered = rows.groupBy(*keys).agg(parts.alias("_parts"))
-    return gathered.select(*keys, F.concat_ws(sep, texts["text"]).alias(column))
-
-
 def by_part(rows: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Left joins of tables to ``rows``, one row per key and part.
 

@@ -1,4 +1,4 @@
-"""Case tables read back as one row per account, and the summary of a run."""
+"""Case tables read back by account, and the summary of a run."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import UNKNOWN
-from caseflow.operators.textparts import by_part, first_part
+from caseflow.operators.textparts import by_part
 
 NO_SUMMARY = "No structured data available."
 
@@ -18,28 +18,21 @@ def read_back(
     scores: DataFrame,
     conflicts: DataFrame,
     facility: str = "",
-    every_part: bool = False,
 ) -> DataFrame:
-    """The five case tables of all accounts in one row each; gaps hold the documented defaults.
+    """The five case tables of all accounts, one row per account and ``part_no``; gaps hold the documented defaults.
 
-    ``conflicts`` is one row per account with an array, or null, and a recommendation. A denial in
-    parts gives a row for each of its parts; of the other tables a row carries part 0.
-    With ``every_part`` there is one row per account and ``part_no``, and each table's parts stand on
-    their own rows; a text that has ended is empty on the rows after, where it would otherwise have a default.
+    A table of text in parts (it has a ``part_no``) has each part on the row of that number; the values of
+    the others stand on every row of the account. Without long texts an account has the one row of part 0.
+    A text that has ended is empty on the rows after, where it would otherwise have a default.
+    ``conflicts`` has an array, or null, and a recommendation.
     """
-    tables = (clinical, summary, scores, conflicts)
-    if every_part:
-        parts, joined = ["part_no"], by_part(denial, tables, "account_id")
-    else:
-        parts, joined = ["part_no"] if "part_no" in denial.columns else [], denial
-        for table in tables:
-            joined = joined.join(first_part(table, ("account_id",)).drop("n_parts"), "account_id", "left")
+    joined = by_part(denial, (clinical, summary, scores, conflicts), "account_id")
     # what is missing on a further part is so because the text has ended
-    no_summary = F.when(F.col("part_no") > 0, "").otherwise(NO_SUMMARY) if every_part else F.lit(NO_SUMMARY)
+    no_summary = F.when(F.col("part_no") > 0, "").otherwise(NO_SUMMARY)
     empty = F.array().cast("array<string>")
     return joined.select(
         "account_id",
-        *parts,
+        "part_no",
         "denial_text",
         F.coalesce("payor", F.lit(UNKNOWN)).alias("payor"),
         "original_drg",
@@ -58,13 +51,19 @@ def read_back(
 
 
 def case_summary(cases: DataFrame, note_counts: DataFrame) -> DataFrame:
-    """Per account what a run produced: notes, summary length, score, conflicts."""
-    return cases.join(note_counts, "account_id", "left").select(
+    """Per account what a run produced: notes, summary length, score, conflicts, over all parts of ``read_back``."""
+    first = {c: F.min_by(c, "part_no").alias(c) for c in ("patient_name", "total_score", "organs_scored")}
+    whole = cases.groupBy("account_id").agg(
+        *first.values(),
+        F.sum(F.length("structured_summary")).alias("summary_chars"),
+        F.sum(F.size("conflicts")).cast("int").alias("n_conflicts"),
+    )
+    return whole.join(note_counts, "account_id", "left").select(
         "account_id",
         "patient_name",
         F.coalesce("n_notes", F.lit(0)).cast("long").alias("n_notes"),
-        F.length("structured_summary").alias("summary_chars"),
+        F.coalesce("summary_chars", F.lit(0)).alias("summary_chars"),
         F.coalesce("total_score", F.lit(0)).alias("total_score"),
         F.coalesce("organs_scored", F.lit(0)).alias("organs_scored"),
-        F.size("conflicts").alias("n_conflicts"),
+        "n_conflicts",
     )

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.textparts import by_part, first_part
+from caseflow.operators.textparts import by_part
 from caseflow.operators.windows import top_per
 
 
@@ -22,17 +20,10 @@ def first_claims(claims: DataFrame, order: str, columns: tuple[str, ...]) -> Dat
     return claims.groupBy("account_id").agg(*[F.min_by(c, order).alias(c) for c in columns])
 
 
-def spine_features(spine: DataFrame, *features: DataFrame, every_part: bool = False) -> DataFrame:
-    """Left joins of one-row-per-account tables to the distinct accounts of the spine.
+def spine_features(spine: DataFrame, *features: DataFrame) -> DataFrame:
+    """Left joins of tables to the distinct accounts of the spine: one row per account and ``part_no``.
 
-    All joins are on the account, so the spine is shuffled once and stays in place. Of a table of
-    text in parts (it has a ``part_no``) the spine carries part 0 and the number of parts,
-    ``n_parts``; further parts stay in their table, keyed by account and part. With ``every_part`` it
-    has all of them, in one row per account and ``part_no``.
+    A table of text in parts (it has a ``part_no``) has each part on the row of that number; the values of
+    the others stand on every row of the account. Without long texts an account has the one row of part 0.
     """
-    accounts = spine.select("account_id").distinct()
-    if every_part:
-        return by_part(accounts, features, "account_id")
-    return reduce(
-        lambda rows, f: rows.join(first_part(f, ("account_id",)), "account_id", "left"), features, accounts
-    )
+    return by_part(spine.select("account_id").distinct(), features, "account_id")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from caseflow.operators import crosscheck, report, scores
+from caseflow.operators import crosscheck, matchers, report, scores
 from caseflow.operators.asof import Series, nearest
 from caseflow.profiles import ORGAN_NAMES, RESPIRATORY_FAILURE, SEPSIS, SOFA_CRITERIA
-from caseflow.sources.sinks import staged
+from caseflow.session import checkpoint_dir
+from caseflow.sources.sinks import staged, write_keyed
+from caseflow.streaming.incremental import refresh, touched
 from standins import clinical as c
 from standins.registry import Tables, rounded, query
 
@@ -360,6 +364,24 @@ def sofa_sliding(t: Tables):
     return scores.sofa(sofa_events(t)).select(*SOFA_COLUMNS)
 
 
+@query("refreshed_scores", f"WITH {SQL_SLIDING} SELECT {', '.join(SOFA_COLUMNS)} FROM sofa")
+def refreshed_scores(t: Tables):
+    """Scores stored up to a mark, then brought up to date for the accounts with events since."""
+    tables = {"labs": c.reading_labs(t), "vitals": c.reading_vitals(t), "meds": c.meds(t)}
+
+    def compute(x: dict):
+        events = staged(scores.organ_events(x["labs"], x["vitals"], x["meds"]))
+        return scores.sofa(events).select(*SOFA_COLUMNS)
+
+    mark = t.events.agg(F.percentile_approx("ts", 0.99).alias("mark")).first()["mark"]
+    mark = F.lit(mark)
+    first = compute({name: x.filter(F.col("event_ts") <= mark) for name, x in tables.items()})
+    path = f"{checkpoint_dir(t.spark)}/refreshed/{uuid.uuid4().hex}"
+    write_keyed(first, path, "account_id")
+    refresh(path, touched(tables, mark), tables, compute)
+    return t.spark.read.schema(first.schema).parquet(path).select(*first.columns)
+
+
 @query("sofa_organs", f"WITH {SQL_SLIDING} SELECT * FROM organs")
 def sofa_organs(t: Tables):
     return scores.organ_rows(scores.sofa(sofa_events(t)))
@@ -551,8 +573,14 @@ def numeric_mismatches(t: Tables):
 @query(
     "merged_conflicts",
     f"""WITH {c.SQL_READINGS}, {SQL_CLAIMS}
-SELECT conv_id AS account_id, 'reply' AS origin, CAST(0 AS DOUBLE) AS position,
-  'CONFLICT ' || turn || ': ' || role AS conflict FROM conversations
+, told AS (
+  SELECT conv_id, list_filter(list_transform(string_split(text, chr(10)),
+      lambda x: trim('CONFLICT ' || turn || ': ' || x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')),
+    lambda x: regexp_matches(x, '^CONFLICT [0-9]+: *[^ ]')) AS lines
+  FROM conversations WHERE text IS NOT NULL
+)
+SELECT conv_id AS account_id, 'reply' AS origin, CAST(i - 1 AS DOUBLE) AS position, lines[i] AS conflict
+FROM (SELECT conv_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM told)
 UNION ALL
 SELECT account_id, 'numeric', NULL, 'NUMERIC MISMATCH: ' || parameter || ' - Notes claim '
   || CAST(claimed AS VARCHAR) || ' (at ' || claim_time || '), but raw data shows '
@@ -560,7 +588,9 @@ SELECT account_id, 'numeric', NULL, 'NUMERIC MISMATCH: ' || parameter || ' - Not
 FROM checked WHERE is_mismatch""",
 )
 def merged_conflicts(t: Tables):
-    reply = F.concat(F.lit("CONFLICT "), F.col("turn").cast("string"), F.lit(": "), "role")
+    # every line of a turn stands as a conflict of the turn's number
+    mark = F.concat(F.lit("CONFLICT "), F.col("turn").cast("string"), F.lit(": "))
+    reply = F.concat(mark, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)))
     stated = crosscheck.conflict_lines(
         t.conversations.select(F.col("conv_id").alias("account_id"), reply.alias("reply"))
     )
@@ -586,3 +616,34 @@ def score_rows(t: Tables):
     cases_ = t.customer.select(F.col("c_custkey").alias("account_id"))
     rows = scores.sofa(sofa_events(t), anchors(t))
     return scores.score_rows(cases_, rows, F.current_timestamp()).drop("created_at")
+
+
+# --- rules by the thousand --------------------------------------------------------------------
+
+
+@query(
+    "name_rules",
+    """WITH rules AS (
+  SELECT p_partkey AS category, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS word,
+         CASE WHEN p_size > 25 THEN 'machinery' END AS exclude FROM part
+)
+SELECT c_custkey AS account_id, category FROM customer JOIN rules
+  ON contains(lower(c_name || ' ' || c_mktsegment), word)
+WHERE exclude IS NULL OR NOT contains(lower(c_name || ' ' || c_mktsegment), exclude)""",
+)
+def name_rules(t: Tables):
+    number = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
+    rules = t.part.select(
+        F.col("p_partkey").alias("category"),
+        F.col("p_partkey").alias("place"),
+        F.explode(
+            F.array(
+                F.struct(number.alias("word"), F.lit(False).alias("excludes")),
+                F.struct(F.when(F.col("p_size") > 25, "machinery").alias("word"), F.lit(True).alias("excludes")),
+            )
+        ).alias("rule"),
+    ).select("category", "place", "rule.*")
+    names = t.customer.select(
+        F.col("c_custkey").alias("account_id"), F.concat("c_name", F.lit(" "), "c_mktsegment").alias("name")
+    )
+    return matchers.with_categories(names, "name", rules).select("account_id", "category")

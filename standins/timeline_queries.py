@@ -425,7 +425,8 @@ def _sql_wide() -> str:
 
 @query("notes_wide", _sql_wide())
 def notes_wide(t: Tables):
-    return notes.notes_wide(notes.notes_by_type(note_rows(t), types=tuple(ROLES)), ROLES)
+    by_type = notes.notes_by_type(note_rows(t), notes.wide_part_chars(ROLES), tuple(ROLES))
+    return notes.notes_wide(by_type, ROLES)
 
 
 @query(

@@ -10,9 +10,9 @@ from caseflow.functions.times import DAY, micros
 from caseflow.operators import extract, notes, quality, report
 from caseflow.plans import case, spine, workqueue
 from caseflow.profiles import SEPSIS
-from caseflow.operators.textparts import json_parts, whole
+from caseflow.operators.textparts import by_part, json_parts
 from caseflow.session import checkpoint_dir
-from caseflow.sources.sinks import replace_slice, unseen
+from caseflow.sources.sinks import replace_slice, staged, unseen
 from caseflow.streaming.incremental import to_score, unprocessed_letters
 from standins.registry import Tables, query
 from standins.timeline_queries import extracted
@@ -56,6 +56,28 @@ def workqueue_population(t: Tables):
     )
 
 
+@query(
+    "workqueue_in_order",
+    """SELECT o_custkey AS account_id, strftime(o_orderdate, '%Y-%m-%d') AS entry_date, o_orderkey AS entry_id,
+  'order' AS queue, NULL AS line_status
+FROM orders WHERE o_orderpriority[1] = '1'
+UNION ALL
+SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d'), l_partkey, 'line', l_linestatus
+FROM lineitem WHERE l_quantity > 45
+ORDER BY entry_date, account_id, entry_id""",
+)
+def workqueue_in_order(t: Tables):
+    orders = t.orders.filter(F.left("o_orderpriority", F.lit(1)) == "1").select(
+        F.col("o_custkey").alias("account_id"), F.to_date("o_orderdate").alias("entry_date"),
+        F.col("o_orderkey").alias("entry_id"), F.lit("order").alias("queue"),
+    )
+    lines = t.lineitem.filter("l_quantity > 45").select(
+        F.col("l_orderkey").alias("account_id"), F.to_date("l_shipdate").alias("entry_date"),
+        F.col("l_partkey").alias("entry_id"), F.lit("line").alias("queue"), F.col("l_linestatus").alias("line_status"),
+    )
+    return workqueue.in_order(orders, lines).withColumn("entry_date", F.date_format("entry_date", "yyyy-MM-dd"))
+
+
 def claim_rows(t: Tables):
     return t.lineitem.select(
         F.col("l_orderkey").alias("account_id"),
@@ -223,7 +245,7 @@ claims AS (
 )
 SELECT c_custkey AS account_id, o_orderkey AS encounter_id,
   strftime(o_orderdate, '%m/%d/%Y') AS admitted, n_name AS facility_name, k AS claim_key,
-  note AS note_text
+  note AS note_text, 0 AS part_no
 FROM customer LEFT JOIN latest ON latest.o_custkey = c_custkey
 LEFT JOIN nation ON n_nationkey = c_nationkey
 LEFT JOIN claims ON claims.o_custkey = c_custkey
@@ -250,7 +272,7 @@ def spine_features(t: Tables):
     )
     first = spine.first_claims(claims, "claim_key", ("claim_key",))
     turns = t.conversations.select(F.col("conv_id").alias("account_id"), "turn", "text")
-    texts = whole(reassemble(turns, ["account_id"], "text", "turn", " "), ["account_id"], "text", " ", "n_lines")
+    texts = reassemble(turns, ["account_id"], "text", "turn", " ").drop("n_lines")
     texts = texts.withColumnRenamed("text", "note_text")
     accounts = t.customer.select(F.col("c_custkey").alias("account_id"))
     return spine.spine_features(accounts, latest, facility, first, texts)
@@ -368,7 +390,8 @@ cases AS (
 @query(
     "case_readback",
     f"""WITH {SQL_CASES} SELECT * EXCLUDE (n_conflicts) REPLACE (
-  CAST(total_score AS DOUBLE) AS total_score, CAST(organs_scored AS DOUBLE) AS organs_scored)
+  CAST(total_score AS DOUBLE) AS total_score, CAST(organs_scored AS DOUBLE) AS organs_scored),
+  0 AS part_no
 FROM cases""",
 )
 def case_readback(t: Tables):
@@ -380,7 +403,7 @@ def case_readback(t: Tables):
     "case_summary",
     f"""WITH {SQL_CASES}
 SELECT account_id, patient_name, coalesce(n, 0) AS n_notes,
-  CAST(length(structured_summary) AS INTEGER) AS summary_chars,
+  CAST(length(structured_summary) AS BIGINT) AS summary_chars,
   coalesce(total_score, 0) AS total_score, coalesce(organs_scored, 0) AS organs_scored, n_conflicts
 FROM cases LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
   ON conv_id = account_id""",
@@ -403,7 +426,7 @@ TEMPLATE = (
 @query(
     "writer_context",
     f"""WITH {SQL_CASES}
-SELECT account_id, 'Patient ' || patient_name || ', account ' || account_id || ', payor ' || payor
+SELECT account_id, 0 AS part_no, 'Patient ' || patient_name || ', account ' || account_id || ', payor ' || payor
   || ', DRG 870 to Unknown.' || chr(10) || denial_text || ' {{payor}}' || chr(10)
   || structured_summary || chr(10) || coalesce('score ' || total_score,
      'Clinical scores not available.') || chr(10)
@@ -440,10 +463,10 @@ def writer_context(t: Tables):
     )
     # a value that looks like a placeholder stays as it is
     cases = cases.withColumn("denial_text", F.concat("denial_text", F.lit(" {payor}")))
-    section = whole(notes.notes_section(extracted(t)), ["account_id"], "notes_section", "\n\n", "n_notes")
+    section = notes.notes_section(extracted(t)).drop("n_notes")
     counts = t.orders.groupBy(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("name"))
     rebuttals = counts.agg(F.concat(F.count("*").cast("string"), F.lit(" orders")).alias("text"))
-    return report.writer_context(cases.join(section, "account_id", "left"), TEMPLATE, SEPSIS, rebuttals)
+    return report.writer_context(by_part(cases, (section,), "account_id"), TEMPLATE, SEPSIS, rebuttals)
 
 
 SQL_STATUS = """
@@ -668,6 +691,21 @@ checks AS (
 )"""
 
 
+@query("checks_at_the_sink", f"WITH {SQL_CHECKS} SELECT * FROM checks")
+def checks_at_the_sink(t: Tables):
+    """The same checks, made while the tables are written."""
+    found = []
+    for name, rows, expected, least in (
+        ("documents", t.documents, ("doc_id", "text", "payor"), 1),
+        ("orders", t.orders, ("o_orderkey",), 1),
+        ("labels", t.labels, ("doc_id",), 1_000_000_000),
+    ):
+        rows, seen = quality.watched(rows)
+        staged(rows)
+        found.append(quality.check_watched(rows, seen, name, expected, least))
+    return quality.all_checks(*found)
+
+
 @query("checkpoint_report", f"WITH {SQL_CHECKS} SELECT * FROM checks")
 def checkpoint_report(t: Tables):
     return checks(t)

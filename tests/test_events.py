@@ -234,8 +234,8 @@ def test_consumers_keep_one_row_per_account_and_part(spark):
     from caseflow.profiles import SEPSIS
 
     parts = spark.createDataFrame([(1, k, f"t{k}") for k in range(4)] + [(2, 0, "u")], "account_id long, part_no int, note_text string")
-    rows = spine.spine_features(parts.select("account_id"), parts).orderBy("account_id").collect()
-    assert [(r.account_id, r.note_text, r.n_parts) for r in rows] == [(1, "t0", 4), (2, "u", 1)]
+    rows = spine.spine_features(parts.select("account_id"), parts).orderBy("account_id", "part_no").collect()
+    assert [(r.account_id, r.part_no, r.note_text) for r in rows] == [*((1, k, f"t{k}") for k in range(4)), (2, 0, "u")]
     plain = lambda names: spark.createDataFrame([], "account_id long, " + ", ".join(f"{n} string" for n in names))
     denial = parts.withColumnRenamed("note_text", "denial_text").selectExpr(
         "*", "'p' payor", "'1' original_drg", "'2' proposed_drg", "true is_condition_match"
@@ -245,10 +245,16 @@ def test_consumers_keep_one_row_per_account_and_part(spark):
         denial, plain(["patient_name", "patient_dob", "facility_name", "date_of_service"]),
         parts.withColumnRenamed("note_text", "structured_summary"), plain(["total_score", "organs_scored"]), conflicts,
     )
-    assert cases.count() == 5 and {r.structured_summary for r in cases.collect()} == {"t0", "u"}
+    assert cases.count() == 5 and {r.structured_summary for r in cases.collect()} == {"t0", "t1", "t2", "t3", "u"}
     more = cases.selectExpr("*", "null notes_section", "null scores_text", "null definition", "null template_letter")
-    prompts = report.writer_context(more, "{denial_letter_text}", SEPSIS).orderBy("account_id", "part_no").collect()
-    assert [r.prompt for r in prompts] == ["t0", "t1", "t2", "t3", "u"]
+    template = "{payor}: {denial_letter_text} {{x}} {structured_data_summary}; {denial_letter_text}{conditional_rebuttals_section}."
+    rebuttals = spark.createDataFrame([(1, "b", "{payor}"), (1, "a", "one"), (3, "a", "none")], "account_id long, name string, text string")
+    whole = {1: "p: t0|t1|t2|t3 {{x}} t0\n\nt1\n\nt2\n\nt3; t0|t1|t2|t3## a\none\n\n## b\n{payor}.", 2: "p: u {{x}} u; u."}
+    for part_chars in (1, 10, 10**6):
+        prompts = report.writer_context(more, template, SEPSIS, rebuttals, {"denial_text": "|"}, part_chars).orderBy("account_id", "part_no").collect()
+        assert len(prompts) > 4 or part_chars > 1
+        assert {a: "".join(r.prompt for r in prompts if r.account_id == a) for a in (1, 2)} == whole
+        assert {r.account_id for r in prompts} == {1, 2}
 
 
 def test_every_part_comes_back(spark):
@@ -257,7 +263,7 @@ def test_every_part_comes_back(spark):
     parts = spark.createDataFrame([(1, k, f"t{k}") for k in range(4)] + [(2, 0, "u")], "account_id long, part_no int, note_text string")
     accounts = spark.createDataFrame([(1,), (2,), (3,)], "account_id long")
     one = spark.createDataFrame([(1, "f"), (3, "g")], "account_id long, facility string")
-    rows = spine.spine_features(accounts, one, parts, every_part=True).collect()
+    rows = spine.spine_features(accounts, one, parts).collect()
     assert sorted((r.account_id, r.part_no, r.facility, r.note_text) for r in rows if r.account_id != 2) == [
         *[(1, k, "f", f"t{k}") for k in range(4)], (3, 0, "g", None)
     ]
@@ -269,26 +275,35 @@ def test_every_part_comes_back(spark):
     cases = case.read_back(
         denial, plain(["patient_name", "patient_dob", "facility_name", "date_of_service"]),
         parts.withColumnRenamed("note_text", "structured_summary"), plain(["total_score", "organs_scored"]),
-        longer.selectExpr("*", "array('x') conflicts"), every_part=True,
+        longer.selectExpr("*", "array('x') conflicts"),
     )
     assert sorted((r.account_id, r.part_no, r.structured_summary, r.recommendation) for r in cases.collect()) == [
         *[(1, k, f"t{k}", "") for k in range(4)], (2, 0, "u", "c0"), (2, 1, "", "c1"), (3, 0, case.NO_SUMMARY, ""),
     ]
+    counts = spark.createDataFrame([(1, 7)], "account_id long, n_notes long")
+    summary = {r.account_id: (r.n_notes, r.summary_chars, r.n_conflicts) for r in case.case_summary(cases, counts).collect()}
+    assert summary == {1: (7, 8, 0), 2: (0, 1, 2), 3: (0, len(case.NO_SUMMARY), 0)}
 
 
 def test_queries_give_the_whole_text_in_small_parts(spark, monkeypatch):
+    from caseflow.operators import report
     from standins import catalogue
 
-    whole = {}
-    reassemble, section = notes.reassemble, notes.notes_section
+    whole, reassemble, section, context = {}, notes.reassemble, notes.notes_section, report.writer_context
     for small in (False, True):
         if small:
             monkeypatch.setattr(notes, "reassemble", lambda *a: reassemble(*a, 60))
             monkeypatch.setattr(notes, "notes_section", lambda rows: section(rows, 60))
-        for name in ("spine_features", "writer_context"):
-            rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
-            found = sorted(map(str, rows.collect()))
-            assert whole.setdefault(name, found) == found
+            monkeypatch.setattr(report, "writer_context", lambda *a: context(*a, part_chars=50))
+        for name, column, sep in (("spine_features", "note_text", " "), ("writer_context", "prompt", "")):
+            rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").select("account_id", "part_no", column).collect()
+            found = {}
+            for r in sorted(rows, key=lambda r: (r[0], r[1])):
+                found.setdefault(r[0], []).append(r[2])
+            if small:
+                assert max(map(len, found.values())) > 2
+            texts = {a: sep.join(t for t in held if t is not None) for a, held in found.items()}
+            assert whole.setdefault(name, texts) == texts
 
 
 RAW = "account_id long, us long, category string, value double"
