@@ -4,10 +4,12 @@ High-recall patterns propose spans of each kind, which may overlap. Those that a
 kind confirms (its base) always stay, and only they divide the text: where a strict match fails its
 check, spans inside it are proposed too. Further spellings that pass the kind's check
 (of digits, parts or domain) are judged by gradient-boosted trees on how a candidate is written and
-what stands around it. The trees learn over all documents: confirmed spans are positive, candidates
-that fail the check negative, further spellings unlabelled. A candidate is added where its
-probability reaches the kind's threshold, set on documents that gave no counts so that most
-candidates above it are confirmed.
+what stands around it. The trees learn over all documents. Positive are confirmed spans, as they are
+and rewritten into the further spellings (at and dot written out, another separator, no leading plus)
+where they stand. Negative are candidates that fail the check, of those that overlap one. They stand for
+what passes it by chance: of digits without meaning one in ten passes a card's, so nine that fail count
+as one. Further spellings that are found are unlabelled. A candidate is added where its probability reaches the kind's
+threshold, set on documents that gave no counts so that most candidates above it are positive.
 
 Features have few values, so all candidates of all documents fall together into a table of at most a
 few thousand rows of counts. The driver fits the trees to that table and writes them as expressions;
@@ -79,6 +81,8 @@ HINTS = {
     "card": "card|visa|master|credit|karte|carte|tarjeta",
     "phone": "tel|phone|call|fax|mobile|telefon|llama",
 }
+# How many candidates pass a kind's check by chance for one that fails it, where that is known.
+CHANCE = {"card": 1 / 9}
 FEATURES = ("digits", "groups", "marks", "hint", "left", "right", "shape")
 
 
@@ -170,6 +174,23 @@ def passes(kind: str, found: Column) -> Column:
     return digits.between(9, 15)
 
 
+def rewritten(kind: str, found: Column) -> list[Column]:
+    """A confirmed span in further spellings; null where it has none."""
+    if kind == "email":
+        local, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
+        spelt = ((" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "))
+        return [F.concat(local, F.lit(at), F.replace(domain, F.lit("."), F.lit(dot))) for at, dot in spelt]
+    if kind == "card":
+        digits = F.regexp_replace(found, "[^0-9]", "")
+        return [F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in ("/", ".")]
+    if kind == "phone":
+        own = F.regexp_replace(found, r"^\+[0-9]{1,3}[\x20.-]?", "")
+        plain = F.regexp_replace(own, "[()]", "")
+        ways = [own, *[F.regexp_replace(plain, "[\\x20.-]+", mark) for mark in (".", "-", " ")]]
+        return [F.when(passes(kind, x), x) for x in ways]
+    return []
+
+
 def looks(kind: str, x: Column) -> dict[str, Column]:
     """Features of a candidate: small whole numbers."""
     found, before, after = x["found"], x["before"], x["after"]
@@ -349,6 +370,24 @@ def _distinct(found: Column) -> Column:
     return let(F.array_sort(found), lambda z: F.filter(z, lambda x, i: (i == 0) | ~same(x, F.get(z, F.greatest(i - 1, F.lit(0))))))
 
 
+def _spellings(kind: str, base: Column) -> Column:
+    """Confirmed spans, and each rewritten into the further spellings of its kind."""
+
+    def every(x: Column) -> Column:
+        ways = [F.when(w.isNotNull(), x.withField("found", w)) for w in rewritten(kind, x["found"])]
+        return F.array(x, *ways)
+
+    return F.array_compact(F.flatten(F.transform(base, every)))
+
+
+def _apart(found: Column) -> Column:
+    """Of candidates in order of place, where some overlap, the longest of those that begin first."""
+    order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("at"), (-x["stop"]).alias("end"), x.alias("x"))))
+    ahead = lambda z, i: F.get(z, F.greatest(i - 1, F.lit(0)))["end"]
+    kept = let(order, lambda z: F.filter(z, lambda x, i: (i == 0) | (x["at"] >= -ahead(z, i))))
+    return F.transform(kept, lambda x: x["x"])
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, and per kind arrays of spans: ``base_<kind>`` (confirmed), ``more_<kind>`` (all other candidates)."""
     text = F.col("text")
@@ -371,7 +410,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def searched(kind: str) -> Callable[[Column], Column]:
         def both(strict: Column) -> Column:
             cleared = F.when(F.size(strict) == 0, text).otherwise(_cleared(text, kind, strict))
-            if kind == "phone":  # a piece of a confirmed address is no number of its own
+            if kind in ("card", "phone"):  # a piece of a confirmed address is no number of its own
                 cleared = let(cleared, lambda x: F.when(strict_sign["ip"], _cleared(x, "ip", spans(x, BASE["ip"]))).otherwise(x))
             wide = F.when(wide_sign[kind], let(cleared, lambda x: _further(x, kind))).otherwise(none)
             return F.struct(strict.alias("strict"), wide.alias("wide"))
@@ -402,8 +441,8 @@ def learn(found: DataFrame, precision: float = 0.9, held_back: int = 4) -> dict[
         base, more = F.col(f"base_{kind}"), F.col(f"more_{kind}")
         failed = F.filter(more, _where(passes, kind, False))
         both = F.concat(
-            F.transform(base, lambda x: F.struct(x.alias("x"), F.lit(1).alias("y"))),
-            F.transform(failed, lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"))),
+            F.transform(_spellings(kind, base), lambda x: F.struct(x.alias("x"), F.lit(1).alias("y"))),
+            F.transform(_apart(failed), lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"))),
         )
         rows = found.filter((F.size(base) > 0) | (F.size(more) > 0)).select(part.alias("held"), F.explode(both).alias("c"))
         seen = rows.select("held", F.col("c.y").alias("y"), *[v.alias(n) for n, v in looks(kind, F.col("c.x")).items()])
@@ -412,7 +451,7 @@ def learn(found: DataFrame, precision: float = 0.9, held_back: int = 4) -> dict[
     sums: dict[str, dict[tuple, list[float]]] = {kind: {} for kind in KINDS}
     for row in tables.collect():  # at most the combinations of feature values
         entry = sums[row["kind"]].setdefault(tuple(row[n] for n in FEATURES), [0.0] * 4)
-        entry[2 * int(row["held"]) + row["y"]] += row["count"]
+        entry[2 * int(row["held"]) + row["y"]] += row["count"] * (1.0 if row["y"] else CHANCE.get(row["kind"], 1.0))
     models = {}
     for kind, own in sums.items():
         table = np.array(sorted(own), dtype=int).reshape(-1, len(FEATURES))

@@ -160,3 +160,67 @@ def test_rows_of_the_given_documents(spark):
 
 def test_empty_table(spark):
     assert pii.find_spans(frame(spark, [])).count() == 0
+
+
+def test_spellings_that_no_strict_pattern_knows_are_added(spark):
+    r = random.Random(15)
+    number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9)))
+
+    def card():
+        digits = "4" + number(14)
+        return next(digits + d for d in "0123456789" if valid("card", digits + d))
+
+    texts, added = [], {}
+    for _ in range(400):
+        texts.append(f"{name()} write to {name()}@{name()}.org about {name()}")
+        texts.append(f"{name()} call +1 ({number(3)}) 555-{number(4)} or {name()}")
+        texts.append(f"{name()} paid with {card()} on {name()} {number(4)}-{number(2)}")
+        texts.append(f"{name()} row {number(3)} {number(4)} {number(5)} {number(4)} end {name()}")
+    for _ in range(50):
+        spelt = f"{name()} (at) {name()} (dot) org"
+        added[len(texts)] = ("email", spelt)
+        texts.append(f"{name()} write to {spelt} about {name()}")
+        spelt = f"({number(3)}) 555-{number(4)}"
+        added[len(texts)] = ("phone", spelt)
+        texts.append(f"{name()} call {spelt} or {name()}")
+        plain = card()
+        spelt = "/".join(plain[i : i + 4] for i in range(0, 16, 4))
+        added[len(texts)] = ("card", spelt)
+        texts.append(f"{name()} paid with {spelt} on {name()}")
+    clean = range(len(texts), len(texts) + 60)
+    texts += [f"{name()} {name()} version {r.randrange(9)}.{r.randrange(9)} of {r.randrange(1990, 2030)}, page {number(3)}" for _ in clean]
+    rows = {x["doc_id"]: x for x in pii.find_spans(frame(spark, list(enumerate(texts)))).collect()}
+    for kind in ("email", "phone", "card"):
+        own = [i for i, (k, _) in added.items() if k == kind]
+        hit = [added[i][1] in [y["found"] for y in rows[i][f"added_{kind}"]] for i in own]
+        assert sum(hit) >= 0.9 * len(own), (kind, sum(hit))
+    assert not any(rows[i][f"added_{kind}"] for i in clean for kind in pii.KINDS)
+
+
+def test_a_few_cards_among_numbers_are_added_at_any_size(spark):
+    """Numbers that fail Luhn stand for one in nine that passes it by chance."""
+    r = random.Random(19)
+    number = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+
+    def card():
+        digits = "4" + number(14)
+        return next(digits + d for d in "0123456789" if valid("card", digits + d))
+
+    for size in (40, 400):
+        texts = [f"so {card()} here" for _ in range(size)]
+        texts += [f"so {x} here" for x in (number(16) for _ in range(size // 2)) if not valid("card", x)]
+        pair = [card(), card()]
+        texts.append(f"a {pair[0]} {pair[1]} b")
+        rows = {x["doc_id"]: x for x in pii.find_spans(frame(spark, list(enumerate(texts)))).collect()}
+        assert [x["found"] for x in rows[len(texts) - 1]["added_card"]] == pair
+
+
+def test_failed_candidates_count_once_where_they_overlap(spark):
+    from pyspark.sql import functions as F
+
+    spans = [(0, 5), (0, 9), (3, 7), (9, 12), (20, 21)]
+    rows = spark.createDataFrame([([(a, b, "x", "", "") for a, b in spans],)], f"z {pii.SPANS}")
+    found = rows.select(pii._apart(F.col("z")).alias("z")).first()["z"]
+    assert (found[0]["start"], found[0]["stop"]) == (0, 9) and (found[-1]["start"], found[-1]["stop"]) == (20, 21)
+    assert [(x["start"], x["stop"]) for x in found].count((0, 5)) == 0
