@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,6 @@ from caseflow.sources.sinks import staged
 
 # Bound of the labelled sample: so many rows of each class at most, in the order of a hash of the id.
 MAX_ROWS = 4000
-# Contexts taken off the counts of the smaller class; of the larger one in proportion.
-DISCOUNT = 4.0
 PASSAGE = 10
 # Of the sample, one row in so many gives the calibration and no counts.
 HELD_BACK = 4
@@ -66,8 +64,9 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).alias("toxic"))
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_rows)
+    # of each class every task hands on its first rows only
+    first = [known.filter(is_it).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for is_it in ("toxic", "not toxic")]
+    chosen = first[0].unionByName(first[1])
     held = F.pmod(F.xxhash64(F.lit("held back"), "doc_id"), F.lit(HELD_BACK)) == 0
     chosen = chosen.select(F.col("doc_id").alias("__id"), "toxic", held.alias("held_back"))
     # at most 2 * max_rows rows, so they fit in every task
@@ -101,8 +100,10 @@ def continuations(rows: DataFrame) -> DataFrame:
 def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Words whose log-likelihoods differ between the classes, and by how much.
 
+    The discount is Kneser-Ney's estimate out of the smaller class, n1 / (n1 + 2 n2) contexts, n1 and n2 being
+    the words seen after one and after two different words; the larger class is discounted in proportion.
     Words whose counts are all discounted have the shared probability in both classes, a ratio of 0,
-    and are not held. The others are at most the smaller class's contexts by ``DISCOUNT``, twice.
+    and are not held. The others are no more than the contexts of the sample.
     """
     wide = counts.groupBy("word").agg(
         F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"),
@@ -112,7 +113,9 @@ def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     bad, good, words = wide.agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
     if not bad or not good:
         return np.empty(0, np.uint64), np.empty(0)
-    off = DISCOUNT / min(bad, good)
+    small = F.col("bad" if bad <= good else "good")
+    once, twice = wide.agg(F.count_if(small == 1), F.count_if(small == 2)).first()
+    off = (once + 0.5) / (once + 2.0 * twice + 1.0) / min(bad, good)
     least = F.least(F.col("bad") + F.col("good"), F.lit(off * (bad + good)))
     backoff = wide.agg(F.sum(least)).first()[0] / (bad + good)
     told = wide.filter((F.col("bad") / bad > off) | (F.col("good") / good > off)).toPandas()

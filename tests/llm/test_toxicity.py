@@ -52,7 +52,9 @@ def test_ratios_are_brute_force_s(spark):
     n = {k: {w: len(s) for w, s in v.items()} for k, v in before.items()}
     total = {k: sum(v.values()) for k, v in n.items()}
     every = n[True].keys() | n[False].keys()
-    off = toxicity.DISCOUNT / min(total.values())
+    small = n[min(total, key=lambda k: (total[k], not k))].values()
+    once, twice = sum(v == 1 for v in small), sum(v == 2 for v in small)
+    off = (once + 0.5) / (once + 2 * twice + 1) / min(total.values())
     both = {w: n[True].get(w, 0) + n[False].get(w, 0) for w in every}
     whole = sum(total.values())
     backoff = sum(min(v, off * whole) for v in both.values()) / whole
