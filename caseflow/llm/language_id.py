@@ -82,8 +82,9 @@ def learn(docs: DataFrame, size: int = 400, text_col: str = "text", lang_col: st
     )
     sums = known.mapInArrow(in_tasks(_counted), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "code")
-    ranked = sums.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.filter(F.col("rank") < size).select("lang", "code", "rank")
+    # the filter stands on row_number itself, so that each task hands on ``size`` rows of a language at most
+    ranked = sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    return ranked.select("lang", "code", (F.col("rank") - 1).alias("rank"))
 
 
 def verdict(text: str, langs: list[str], codes: np.ndarray, ranks: np.ndarray, size: int) -> tuple[str, float]:
