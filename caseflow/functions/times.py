@@ -11,6 +11,7 @@ from caseflow.functions.text import stripped
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
+MONTH = 30 * 24 * 60 * 60 * 1_000_000
 DAY = 24 * HOUR
 
 # The forms in which notes state a time, in the order they are tried.

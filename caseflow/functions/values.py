@@ -46,8 +46,8 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return result
 
 
-def matches(name: Column, matcher: Matcher, whole_word: bool = False) -> Column:
-    lowered = F.lower(name)
+def matches(name: Column, matcher: Matcher, whole_word: bool = False, lowered: bool = False) -> Column:
+    lowered = name if lowered else F.lower(name)
     hit = any_of([_has(lowered, word, whole_word) for word in matcher.keywords])
     if matcher.exclude:
         hit = hit & ~any_of([_has(lowered, word, whole_word) for word in matcher.exclude])
@@ -60,6 +60,7 @@ def categories(
     kind: str | None = None,
     whole_word: bool = False,
     exclusive: Sequence[str] = (),
+    lowered: bool = False,
 ) -> Column:
     """The categories a name belongs to, as an array to explode, with nulls for those it does not.
 
@@ -71,7 +72,7 @@ def categories(
     for category, matcher in matchers.items():
         if kind is not None and matcher.kind != kind:
             continue
-        hit = matches(name, matcher, whole_word)
+        hit = matches(name, matcher, whole_word, lowered)
         if category in exclusive:
             hit, taken = hit & ~taken, taken | hit
         entries.append(F.when(hit, F.lit(category)))

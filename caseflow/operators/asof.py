@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.times import HOUR, micros
+from caseflow.functions.times import MONTH, micros
 from caseflow.operators.dense import DENSE_ROWS, dense_cuts, with_slice
 from caseflow.operators.slices import SLICE, after, before
 
@@ -39,7 +39,7 @@ def nearest(
     keys: Sequence[str],
     left_ts: str,
     series: dict[str, Series],
-    width_us: int = HOUR,
+    width_us: int = MONTH,
     dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """Adds to each left row a struct per series: its nearest row's values, ``us`` and ``gap_us``.
@@ -80,7 +80,7 @@ def nearest_tagged(
     rows: DataFrame,
     keys: Sequence[str],
     limits: dict[str, int | None],
-    width_us: int = HOUR,
+    width_us: int = MONTH,
     dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """The same over one table in which left rows and readings are marked.

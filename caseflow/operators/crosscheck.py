@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import stripped
-from caseflow.functions.times import HOUR, parsed, stamp
+from caseflow.functions.times import MONTH, parsed, stamp
 from caseflow.functions.values import relative_gap, safe_double
 from caseflow.operators.asof import Series, nearest
 from caseflow.profiles import Profile
@@ -17,7 +17,7 @@ TOLERATED_GAP = 0.10
 
 
 def checked_claims(
-    claims: DataFrame, raw: DataFrame, profile: Profile, width_us: int = HOUR
+    claims: DataFrame, raw: DataFrame, profile: Profile, width_us: int = MONTH
 ) -> DataFrame:
     """Each checkable claim with its nearest reading and the verdict ``is_mismatch``.
 

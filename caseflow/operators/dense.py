@@ -38,9 +38,10 @@ def dense_cuts(
     """
     keys = list(keys)
     placed = rows.select(*keys, slice_of(position, width).alias(SLICE), position.alias("_at")).filter("_at is not null")
-    dense = staged(placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n"))
+    dense = placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n")
     if dense.isEmpty():
         return None
+    dense = staged(dense)
     shares = [i / pieces for i in range(1, pieces)]
     inside = same_key(placed, dense, [*keys, SLICE], "left_semi")
     return staged(inside.groupBy(*keys, SLICE).agg(F.percentile_approx("_at", shares, 1000).alias("_cuts")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.times import DAY, HOUR, SECOND, micros, stamp
+from caseflow.functions.times import DAY, HOUR, MONTH, SECOND, micros, stamp
 from caseflow.functions.values import (
     any_of,
     band,
@@ -20,6 +20,7 @@ from caseflow.operators.asof import nearest_tagged, reading
 from caseflow.operators.dense import DENSE_ROWS, dense_cuts, with_slice
 from caseflow.operators.slices import SLICE, after, ordinal, slice_of
 from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS, Profile
+from caseflow.sources.sinks import staged
 
 ORGANS = ("respiratory", "coagulation", "liver", "cardiovascular", "cns", "renal")
 LEVELS = (1, 2, 3, 4)
@@ -45,12 +46,14 @@ def readings(
     """
 
     def side(rows: DataFrame, name: str, value: str, kind: str) -> DataFrame:
-        found = categories(F.col(name), profile.matchers, kind, whole_word, exclusive)
-        return rows.select(
+        # the name is lower-cased once, not for each word it is looked at for
+        low = rows.select("account_id", "event_ts", F.lower(name).alias("_name"), F.col(value).alias("_value"))
+        found = categories(F.col("_name"), profile.matchers, kind, whole_word, exclusive, lowered=True)
+        return low.select(
             "account_id",
             micros(F.col("event_ts")).alias("us"),
             F.explode(found).alias("category"),
-            safe_double(F.col(value)).alias("value"),
+            safe_double(F.col("_value")).alias("value"),
         ).filter("category is not null and us is not null and value is not null")
 
     return side(labs, "lab_name", "lab_value", "lab").unionByName(
@@ -62,7 +65,7 @@ def oxygen_ratios(
     values: DataFrame,
     tolerance_s: int | None,
     peep_tolerance_s: int | None = None,
-    width_us: int = HOUR,
+    width_us: int = MONTH,
 ) -> DataFrame:
     """PaO2 readings with the nearest positive FiO2 (and PEEP); those without one are dropped.
 
@@ -103,11 +106,12 @@ def pf_series(
     labs: DataFrame,
     vitals: DataFrame,
     profile: Profile = RESPIRATORY_FAILURE,
-    width_us: int = HOUR,
+    width_us: int = MONTH,
     whole_word: bool = False,
 ) -> DataFrame:
     """Every PaO2/FiO2 ratio of an account in order of time, with its Berlin class."""
-    values = readings(labs, vitals, profile, whole_word, exclusive=("pao2", "fio2"))
+    # read once to look for dense slices, once to be paired
+    values = staged(readings(labs, vitals, profile, whole_word, exclusive=("pao2", "fio2")))
     paired = oxygen_ratios(
         values, profile.pair_tolerance_s, profile.peep_tolerance_s, width_us
     ).withColumn("ratio", exact_round(F.col("raw_ratio"), 1))
@@ -191,11 +195,14 @@ def organ_events(
     vitals: DataFrame,
     meds: DataFrame,
     profile: Profile = SEPSIS,
-    width_us: int = HOUR,
+    width_us: int = MONTH,
     whole_word: bool = False,
 ) -> DataFrame:
-    """Everything that scores: ``(account_id, us, organ, score, value, display, drug, dose)``."""
-    values = readings(labs, vitals, profile, whole_word)
+    """Everything that scores: ``(account_id, us, organ, score, value, display, drug, dose)``.
+
+    The readings are staged, as they are scored and paired.
+    """
+    values = staged(readings(labs, vitals, profile, whole_word))
     bands = profile.bands
     v, category = F.col("value"), F.col("category")
     gcs = F.bround(v, 0).try_cast("int")
@@ -256,7 +263,7 @@ def organ_events(
 
 
 def best_windows(
-    events: DataFrame, length_us: int = DAY, width_us: int = HOUR, dense_rows: int = DENSE_ROWS
+    events: DataFrame, length_us: int = DAY, width_us: int = MONTH, dense_rows: int = DENSE_ROWS
 ) -> DataFrame:
     """Per account the window ``[a, a + length]``, ``a`` being a scored time, of highest total.
 
@@ -326,7 +333,7 @@ def score_windows(
     events: DataFrame,
     anchors: DataFrame | None = None,
     length_us: int = DAY,
-    width_us: int = HOUR,
+    width_us: int = MONTH,
 ) -> DataFrame:
     """The window each account is scored over, and how it was chosen.
 
@@ -459,14 +466,14 @@ def sofa(
     events: DataFrame,
     anchors: DataFrame | None = None,
     length_us: int = DAY,
-    width_us: int = HOUR,
+    width_us: int | None = None,
 ) -> DataFrame:
     """One row per account with something to score: totals, organs, drugs and the window.
 
     ``events`` (the table of ``organ_events``) is read twice; stage it if it is dear to compute.
     """
-    windows = score_windows(events, anchors, length_us, width_us)
-    return window_scores(in_windows(events, windows, width_us))
+    windows = score_windows(events, anchors, length_us, width_us or MONTH)
+    return window_scores(in_windows(events, windows, width_us or HOUR))
 
 
 def organ_rows(scores: DataFrame) -> DataFrame:
