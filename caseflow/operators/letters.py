@@ -11,6 +11,7 @@ from caseflow.functions.text import UNKNOWN, condition_of_file, key_values, open
 from caseflow.functions.values import account_number, any_of, fixed
 from caseflow.operators.textparts import PART_CHARS, text_parts
 from caseflow.profiles import Profile
+from caseflow.sources.sinks import staged
 
 # What a payor is recognised by, in the order of trial, and its name.
 PAYORS = (
@@ -391,6 +392,58 @@ def group_members(prints: DataFrame) -> DataFrame:
     return prints.join(groups.filter("group_size > 1"), "exact_key").select("doc_id", "group_id", "group_size")
 
 
+# Characters of a segment: short, so that a differing character spoils little.
+SEGMENT = 5
+
+
+def similar_letters(documents: DataFrame, text: str = "text", chars: int = 200, percent: int = 95) -> DataFrame:
+    """Letters whose openings agree at ``percent`` of their places: (doc_id, n_same, n_similar, first_doc_id).
+
+    An opening is the first ``chars`` characters as ``functions.text.opening`` has them; openings of one length
+    are compared. ``n_same`` counts other letters of the same opening, ``n_similar`` those of one alike, and
+    ``first_doc_id`` is the lowest id among them all. Letters without either are left out.
+
+    Equal openings are one row, so n copies cost n. Openings are cut into segments. Where at most k
+    characters differ, at most k segments do, so with the segments in one order, rare ones first, two openings
+    that are alike share one of their first k + 1. Only those meet: what most letters have in common brings
+    nobody together. What meets is then compared as a whole, and no pair is lost.
+    """
+    opened = documents.select("doc_id", opening(F.col(text), chars).alias("opening")).filter("opening <> ''")
+    groups = staged(opened.groupBy("opening").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    size = F.length("opening")
+    spare = F.floor((100 - percent) * size / 100).cast("int").alias("spare")
+    starts = F.sequence(F.lit(1), size, F.lit(SEGMENT))
+    segments = F.transform(starts, lambda s: F.struct(size.alias("size"), s.alias("at"), F.substring("opening", s, F.lit(SEGMENT)).alias("part")))
+    rows = groups.select("first_id", spare, F.explode(segments).alias("segment"))
+    often = rows.groupBy("segment").agg(F.count("*").alias("held")).filter("held > 1")
+    # a segment that no other opening has stands first and meets nobody
+    ranked = rows.join(often, "segment", "left").groupBy("first_id", "spare").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "segment"))).alias("all")
+    )
+    first = ranked.select("first_id", F.explode(F.slice("all", F.lit(1), F.col("spare") + 1)).alias("one"))
+    shown = staged(first.filter("one.held > 1").select("first_id", "one.segment"))
+    a, b = shown.alias("a"), shown.alias("b")
+    met = a.join(b, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.first_id") < F.col("b.first_id")))
+    pairs = met.select(F.col("a.first_id").alias("a_id"), F.col("b.first_id").alias("b_id")).distinct()
+    for side in ("a", "b"):
+        own = groups.select(F.col("first_id").alias(f"{side}_id"), F.col("opening").alias(side), F.col("n").alias(f"{side}_n"))
+        pairs = pairs.join(own, f"{side}_id")
+    differ = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: x != y)
+    alike = pairs.filter(100 * F.size(F.filter(differ, lambda x: x)) <= (100 - percent) * F.length("a"))
+    both = staged(alike.select("a_id", "b_id", "a_n", "b_n"))
+    ends = both.select(F.col("a_id").alias("first_id"), F.col("b_id").alias("other"), F.col("b_n").alias("more")).unionByName(
+        both.select(F.col("b_id").alias("first_id"), F.col("a_id").alias("other"), F.col("a_n").alias("more"))
+    )
+    counted = ends.groupBy("first_id").agg(F.sum("more").alias("n_similar"), F.min("other").alias("other"))
+    found = groups.join(counted, "first_id", "left").filter("n > 1 or n_similar is not null")
+    return opened.join(found, "opening").select(
+        "doc_id",
+        (F.col("n") - 1).alias("n_same"),
+        F.coalesce("n_similar", F.lit(0)).alias("n_similar"),
+        F.least("first_id", F.coalesce("other", F.col("first_id"))).alias("first_doc_id"),
+    )
+
+
 # --- scan quality -----------------------------------------------------------------------------
 
 # Steps of the density and line scores, their weights and the usability limits.

@@ -453,6 +453,24 @@ def template_match_topk(t: Tables):
     return rows.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "similar_letters",
+    """WITH o AS (
+  SELECT doc_id, left(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 200) AS t FROM documents
+),
+g AS (SELECT t, min(doc_id) AS first_id, count(*) AS n, string_split(t, '') AS c FROM o WHERE t <> '' GROUP BY t),
+p AS (
+  SELECT a.t, sum(b.n)::BIGINT AS n_similar, min(b.first_id) AS other
+  FROM g a JOIN g b ON length(a.t) = length(b.t) AND a.t <> b.t
+  WHERE 100 * len(list_filter(list_zip(a.c, b.c), lambda x: x[1] = x[2])) >= 95 * length(a.t) GROUP BY a.t
+)
+SELECT doc_id, n - 1 AS n_same, coalesce(n_similar, 0) AS n_similar, least(first_id, coalesce(other, first_id)) AS first_doc_id
+FROM o JOIN g USING (t) LEFT JOIN p USING (t) WHERE n > 1 OR n_similar IS NOT NULL""",
+)
+def similar_letters(t: Tables):
+    return letters.similar_letters(t.documents)
+
+
 @query(
     "criteria_retrieval",
     """WITH criteria AS (

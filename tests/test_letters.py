@@ -149,6 +149,27 @@ def vectors(spark, rows, name):
     return spark.createDataFrame(rows, f"{name} long, embedding array<float>")
 
 
+def test_letters_alike_by_place_are_brute_force_s(spark):
+    r = random.Random(21)
+    bases = ["".join(r.choice("abcdé ") for _ in range(n)).strip() or "x" for n in (3, 37, 120, 260, 260)]
+    rows = [(0, None), (1, ""), (2, "  ")]
+    for i in range(3, 160):
+        text = list(r.choice(bases))
+        for _ in range(r.choice([0, 0, 1, 3, 6, 12])):
+            text[r.randrange(len(text))] = r.choice("abcdé")
+        rows.append((i, "".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    opened = {i: " ".join((t or "").split()).lower()[:200] for i, t in rows}
+    want = {}
+    for i, a in opened.items():
+        same = [j for j, b in opened.items() if b == a]
+        near = [j for j, b in opened.items() if b != a and len(b) == len(a) and 100 * sum(x == y for x, y in zip(a, b, strict=True)) >= 95 * len(a)]
+        if a and len(same) + len(near) > 1:
+            want[i] = (len(same) - 1, len(near), min(same + near))
+    found = {x.doc_id: (x.n_same, x.n_similar, x.first_doc_id) for x in letters.similar_letters(frame).collect()}
+    assert found == want and any(n for _, n, _ in want.values())
+
+
 def cosines(q, s, k, exclude_same=False):
     """The best ``k`` of all pairs; vectors without direction score 0."""
 
