@@ -255,3 +255,28 @@ def test_populations_in_order(spark):
     assert [tuple(r) for r in workqueue.in_order(a, b).collect()] == [
         (5, None, None), (1, "2024-01-01", "y"), (2, "2024-01-02", None), (3, "2024-01-02", "x"), (1, "2024-01-03", None)
     ]
+
+
+def test_bucketed_case_tables_are_read_back_without_a_shuffle(spark):
+    from caseflow.plans import case
+
+    ids = spark.range(200).withColumnRenamed("id", "account_id")
+    tables_ = {
+        "denial": ids.selectExpr("account_id", "concat('d', account_id) denial_text", "'p' payor", "'1' original_drg", "'2' proposed_drg", "true is_condition_match"),
+        "clinical": ids.filter("account_id % 2 = 0").selectExpr("account_id", "'n' patient_name", "'b' patient_dob", "'f' facility_name", "'s' date_of_service"),
+        "summary": ids.filter("account_id % 3 = 0").selectExpr("account_id", "'sum' structured_summary"),
+        "scores": ids.selectExpr("account_id", "1 total_score", "2 organs_scored"),
+        "conflicts": ids.limit(5).selectExpr("account_id", "array('x') conflicts", "'r' recommendation"),
+    }
+    for name, rows in tables_.items():
+        sinks.write_bucketed(rows, f"case_{name}", buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = case.read_back(*(spark.table(f"case_{name}") for name in tables_))
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, stored.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 4
+    assert found == sorted(map(str, case.read_back(*tables_.values()).collect()))
