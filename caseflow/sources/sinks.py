@@ -78,8 +78,11 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_keyed(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """A table whose rows can be replaced by key: partitioned by a hash of the key."""
-    _bucketed(rows, key, buckets).write.mode("overwrite").option(
+    """A table whose rows can be replaced by key: partitioned by a hash of the key, a file for each bucket.
+
+    For results of a few rows per key; the more rows, the more ``buckets``.
+    """
+    _bucketed(rows, key, buckets).repartition(BUCKET).write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).partitionBy(BUCKET).parquet(path)
 
@@ -98,7 +101,7 @@ def replace_keys(rows: DataFrame, keys: DataFrame, path: str, key: str, buckets:
     kept = stored.filter(F.col(BUCKET).isin(*touched)).join(keys.select(key), key, "left_anti").select(*rows.columns, BUCKET)
     fresh = staged(kept.unionByName(_bucketed(rows, key, buckets)))
     filled = {r[0] for r in fresh.select(BUCKET).distinct().collect()}
-    replace_slice(fresh, path, BUCKET)
+    replace_slice(fresh.repartition(BUCKET), path, BUCKET)
     for bucket in touched - filled:
         _delete(spark, f"{path}/{BUCKET}={bucket}")
 

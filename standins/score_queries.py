@@ -377,8 +377,8 @@ def refreshed_scores(t: Tables):
     mark = F.lit(mark)
     first = compute({name: x.filter(F.col("event_ts") <= mark) for name, x in tables.items()})
     path = f"{checkpoint_dir(t.spark)}/refreshed/{uuid.uuid4().hex}"
-    write_keyed(first, path, "account_id")
-    refresh(path, touched(tables, mark), tables, compute)
+    write_keyed(first, path, "account_id", 16)
+    refresh(path, touched(tables, mark), tables, compute, buckets=16)
     return t.spark.read.schema(first.schema).parquet(path).select(*first.columns)
 
 
