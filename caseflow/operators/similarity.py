@@ -18,12 +18,18 @@ THRESHOLD = 0.7
 BLOCK_ROWS = 8192
 # Of a block so many queries are scored at a time, which bounds the matrix of scores.
 CHUNK_ROWS = 256
+# Cells a query looks into after its first ones; one that the bounds leave more meets all letters, in wider blocks.
+LOOKS = 32
+WIDER = 4
 # Scores are compared to this many digits, so that the order of additions cannot reorder matches.
 DIGITS = 9
 
 
 def _scored(k: int, exclude_same: bool, chunk_rows: int = CHUNK_ROWS):
-    """Best ``k`` of one block of letters for each query of one block of queries."""
+    """Best ``k`` of one block of letters for each query of one block of queries.
+
+    Of queries with a ``_least`` only letters that reach it count, so few scores are looked at twice.
+    """
 
     def matrix(vectors: pd.Series) -> np.ndarray:
         m = np.asarray(vectors.tolist(), dtype=np.float64)
@@ -35,18 +41,26 @@ def _scored(k: int, exclude_same: bool, chunk_rows: int = CHUNK_ROWS):
             return pd.DataFrame({"query_id": [], "letter_id": [], "score": []})
         own, theirs = matrix(queries["_vector"]), matrix(letters["_vector"]).T
         q_ids, l_ids = queries["query_id"].to_numpy(), letters["letter_id"].to_numpy()
-        starts = range(0, len(own), chunk_rows)
-        return pd.concat([best(own[i : i + chunk_rows], theirs, q_ids[i : i + chunk_rows], l_ids) for i in starts])
-
-    def best(own: np.ndarray, theirs: np.ndarray, q_ids: np.ndarray, l_ids: np.ndarray) -> pd.DataFrame:
-        scores = np.round(own @ theirs, DIGITS)
-        if exclude_same:
-            scores[q_ids[:, None] == l_ids[None, :]] = -np.inf
-        n = min(k, scores.shape[1])
-        least = np.partition(scores, -n, axis=1)[:, -n]
-        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        least = queries["_least"].to_numpy() if "_least" in queries else None
+        chunks = [slice(i, i + chunk_rows) for i in range(0, len(own), chunk_rows)]
+        return pd.concat([best(own[c], theirs, q_ids[c], l_ids, None if least is None else least[c]) for c in chunks])
+
+    def best(own: np.ndarray, theirs: np.ndarray, q_ids: np.ndarray, l_ids: np.ndarray, least: np.ndarray | None) -> pd.DataFrame:
+        scores = own @ theirs
+        if least is None:
+            scores = np.round(scores, DIGITS)
+            if exclude_same:
+                scores[q_ids[:, None] == l_ids[None, :]] = -np.inf
+            n = min(k, scores.shape[1])
+            least = np.partition(scores, -n, axis=1)[:, -n]
+            row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        else:
+            row, col = np.nonzero(scores >= (least - 10.0**-DIGITS)[:, None])
+            if exclude_same:
+                other = q_ids[row] != l_ids[col]
+                row, col = row[other], col[other]
         found = pd.DataFrame(
-            {"_row": row, "letter_id": l_ids[col], "score": scores[row, col]}
+            {"_row": row, "letter_id": l_ids[col], "score": np.round(scores[row, col], DIGITS)}
         ).sort_values(["_row", "score", "letter_id"], ascending=[True, False, True])
         found = found.groupby("_row", sort=False).head(k)
         found["query_id"] = q_ids[found["_row"].to_numpy()]
@@ -88,13 +102,15 @@ def indexed_matches(
     k: int,
     exclude_same: bool = False,
     block_rows: int = BLOCK_ROWS,
+    looks: int = LOOKS,
     **index,
 ) -> DataFrame:
     """The same through cells of letters (``vectors.build``).
 
     A query looks into its nearest cells first. Its least score there then proves which other cells cannot
     hold a better letter, and it looks into the rest. So letters are sent to their cell, queries to the
-    cells that matter to them. Of letters without direction, whose score is 0 for all, and of all letters
+    cells that matter to them. A query left with more than ``looks`` cells, as where letters lie in no
+    groups, is not sent to each of them: it meets all letters in blocks. Of letters without direction, whose score is 0 for all, and of all letters
     for a query without direction the lowest ids are enough.
     """
     held = vectors.build(letters, n_letters, **index)
@@ -103,7 +119,12 @@ def indexed_matches(
     first = staged(_met(staged(vectors.visits(queries, held, more, False)), cells, k, exclude_same, block_rows))
     least = _ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
     asked = queries.join(least, "query_id", "left")
-    second = _met(staged(vectors.visits(asked, held, more, True)), cells, k, exclude_same, block_rows)
+    rest = staged(vectors.visits(asked, held, more, True, looks))
+    wide = rest.filter(F.col("_cell") == vectors.ALL_CELLS)
+    second = _met(rest.filter(F.col("_cell") != vectors.ALL_CELLS), cells, k, exclude_same, block_rows)
+    whole = _met(wide, cells.withColumn("_cell", F.lit(vectors.ALL_CELLS)), k, exclude_same, WIDER * block_rows)
+    # what meets all letters meets those of its first cells again
+    first = first.join(wide.select("query_id"), "query_id", "left_anti")
 
     def lowest(rows: DataFrame):
         """At most ``more`` ids."""
@@ -117,7 +138,7 @@ def indexed_matches(
     )
     if exclude_same:
         flat = flat.filter(F.col("query_id") != F.col("letter_id"))
-    return _ranked(first.unionByName(second).unionByName(flat), k)
+    return _ranked(first.unionByName(second).unionByName(whole).unionByName(flat), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -141,6 +162,7 @@ def _met(visits: DataFrame, letters: DataFrame, k: int, exclude_same: bool, bloc
         return rows.join(counts, "_cell").select(
             id_,
             "_vector",
+            *[c for c in rows.columns if c == "_least"],
             "_cell",
             F.pmod(F.xxhash64(id_), F.col(f"_n{own}")).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)).alias(other),

@@ -25,8 +25,13 @@ CELLS = 1024
 ROUNDS = 5
 # Vectors of length zero have no direction; they stand in a cell of their own.
 NO_CELL = -1
+# A query that the bounds leave this marks as one to meet all letters.
+ALL_CELLS = -2
 # Scores are compared with this much room for the rounding of sums.
 SLACK = 1e-8
+# Queries placed at a time, and rows handed on at a time, which bound what a task holds.
+PLACED_ROWS = 1024
+SENT_ROWS = 32_768
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -92,43 +97,54 @@ def build(letters: DataFrame, n_letters: int, sample_rows: int = SAMPLE_ROWS, ce
     return Index(rows.drop("_away"), centres, radius, count)
 
 
-def visits(queries: DataFrame, index: Index, k: int, later: bool) -> DataFrame:
-    """The cells a query looks into: (query_id, _vector, _cell).
+def visits(queries: DataFrame, index: Index, k: int, later: bool, most: int | None = None) -> DataFrame:
+    """The cells a query looks into: (query_id, _vector, _cell), later with its ``_least`` as well.
 
     At first the nearest cells that hold ``k`` letters. Later, with the least score of its best ``k`` so far
-    as ``_least`` (null if it has fewer), all other cells that may hold a better one.
+    as ``_least`` (null if it has fewer), all other cells that may hold a better one. Those of more than
+    ``most`` cells stand as the one row ``ALL_CELLS``: the bounds spare such a query too little.
     """
     centres, radius, count, turned, slack = index.centres, index.radius, index.count, unit, SLACK
+    placed_rows, sent_rows, all_cells = PLACED_ROWS, SENT_ROWS, ALL_CELLS
 
     def looked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = turned(batch["embedding"])
-            squares = (m**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * m @ centres.T
-            away = np.sqrt(np.maximum(squares, 0))
-            order = np.argsort(away, axis=1, kind="stable")
-            held = np.cumsum(count[order], axis=1) - count[order]
-            chosen = np.zeros(away.shape, bool)
-            np.put_along_axis(chosen, order, held < k, axis=1)
-            if later:
-                least = batch["_least"].to_numpy(dtype=np.float64, na_value=-2.0)
-                least = np.where(np.isnan(least), -2.0, least)
-                best = 1 - np.maximum(away - radius[None, :] - slack, 0) ** 2 / 2
-                chosen = ~chosen & (best >= least[:, None] - slack)
-            chosen &= (count > 0)[None, :] & (np.abs(m).sum(axis=1) > 0)[:, None]
-            row, cell = np.nonzero(chosen)
-            yield pd.DataFrame(
-                {
-                    "query_id": batch["query_id"].to_numpy()[row],
-                    "_vector": batch["embedding"].to_numpy()[row],
-                    "_cell": cell.astype(np.int32),
-                }
-            )
-
-    schema = T.StructType(
-        [
-            queries.schema["query_id"],
-            T.StructField("_vector", queries.schema["embedding"].dataType),
-            T.StructField("_cell", T.IntegerType()),
-        ]
-    )
-    return queries.mapInPandas(looked, schema)
+        for whole in batches:
+            for start in range(0, len(whole), placed_rows):
+                batch = whole.iloc[start : start + placed_rows]
+                row, cell, least = places(batch)
+                ids, own = batch["query_id"].to_numpy(), batch["embedding"].to_numpy()
+                for i in range(0, len(row), sent_rows):
+                    part = row[i : i + sent_rows]
+                    sent = pd.DataFrame({"query_id": ids[part], "_vector": own[part], "_cell": cell[i : i + sent_rows]})
+                    yield sent.assign(_least=least[part]) if later else sent
+
+    def places(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        m, least = turned(batch["embedding"]), None
+        squares = (m**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * m @ centres.T
+        away = np.sqrt(np.maximum(squares, 0))
+        order = np.argsort(away, axis=1, kind="stable")
+        held = np.cumsum(count[order], axis=1) - count[order]
+        chosen = np.zeros(away.shape, bool)
+        np.put_along_axis(chosen, order, held < k, axis=1)
+        if later:
+            least = batch["_least"].to_numpy(dtype=np.float64, na_value=-2.0)
+            least = np.where(np.isnan(least), -2.0, least)
+            best = 1 - np.maximum(away - radius[None, :] - slack, 0) ** 2 / 2
+            chosen = ~chosen & (best >= least[:, None] - slack)
+        chosen &= (count > 0)[None, :] & (np.abs(m).sum(axis=1) > 0)[:, None]
+        wide = np.zeros(0, np.int64)
+        if most is not None:
+            wide = np.flatnonzero(chosen.sum(axis=1) > most)
+            chosen[wide] = False
+        row, cell = np.nonzero(chosen)
+        cell = np.concatenate([cell, np.full(len(wide), all_cells)]).astype(np.int32)
+        return np.concatenate([row, wide]), cell, least
+
+    fields = [
+        queries.schema["query_id"],
+        T.StructField("_vector", queries.schema["embedding"].dataType),
+        T.StructField("_cell", T.IntegerType()),
+    ]
+    if later:
+        fields.append(T.StructField("_least", T.DoubleType()))
+    return queries.mapInPandas(looked, T.StructType(fields))

@@ -223,6 +223,21 @@ def test_the_index_leaves_cells_out(spark):
     assert sent[600] < 2.5 * sent[300]
 
 
+@pytest.mark.parametrize("looks", [2, 1000])
+def test_a_query_the_bounds_spare_little_is_sent_to_few_cells(spark, monkeypatch, looks):
+    """Letters in no groups: a query has at most ``looks`` rows, and the result is exact either way."""
+    rnd = random.Random(8)
+    rows = [(i, [round(1024 * rnd.gauss(0, 1)) / 1024 for _ in range(12)]) for i in range(150)] + [(200 + i, [1.0] + [0.5] * 11) for i in range(20)]
+    letters, queries = vectors(spark, rows, "letter_id"), vectors(spark, rows, "query_id")
+    met, sent = similarity._met, []
+    monkeypatch.setattr(similarity, "_met", lambda v, *a: sent.append(v.groupBy("query_id").count().agg({"count": "max"}).first()[0]) or met(v, *a))
+    got = {}
+    for r in similarity.indexed_matches(queries, letters, len(rows), 4, True, block_rows=50, looks=looks, cells=40).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.letter_id, round(r.score, 9) + 0.0)
+    assert {i: [x[n] for n in sorted(x)] for i, x in got.items()} == cosines(rows, rows, 4, True)
+    assert (max(n or 0 for n in sent[1:]) <= 2) == (looks == 2)
+
+
 def test_best_match_defaults(spark):
     q = vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0])], "query_id")
     s = vectors(spark, [(7, [1.0, 0.1]), (8, [1.0, 1.0])], "letter_id")
