@@ -171,3 +171,21 @@ def fixed(value: Column, digits: int) -> Column:
 def exact_round(value: Column, digits: int) -> Column:
     """Null for infinity; NaN stays."""
     return fixed(value, digits).try_cast("double")
+
+
+def number_text(value: Column) -> Column:
+    """A double as text, as Python and SQL write it: plain from 0.0001 up to 1e16, beyond as ``1e-05``.
+
+    A cast gives the same digits, but turns to the form ``4.0E-4`` below 0.001 and from ten million on.
+    """
+    text, size = value.cast("string"), F.abs(value)
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.abs(power).cast("string")
+    sign, digits = F.when(power < 0, "e-").otherwise("e+"), F.lpad(digits, F.greatest(F.lit(2), F.length(digits)), F.lit("0"))
+    return (
+        F.when((value == 0) | ((size >= 1e-3) & (size < 1e7)) | F.isnan(value) | (size > LARGEST), text)
+        .when((size >= 1e-4) & (size < 1e16), F.concat(plain, F.when(plain.endswith("."), "0").otherwise("")))
+        .otherwise(F.concat(mantissa, sign, digits))
+    )

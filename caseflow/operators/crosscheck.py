@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.text import stripped
 from caseflow.functions.times import MONTH, parsed, stamp
-from caseflow.functions.values import relative_gap, safe_double
+from caseflow.functions.values import number_text, relative_gap, safe_double
 from caseflow.operators.asof import Series, nearest
 from caseflow.profiles import Profile
 
@@ -64,11 +64,11 @@ def mismatches(checked: DataFrame) -> DataFrame:
         F.lit("NUMERIC MISMATCH: "),
         "parameter",
         F.lit(" - Notes claim "),
-        F.col("claimed").cast("string"),
+        number_text(F.col("claimed")),
         F.lit(" (at "),
         "claim_time",
         F.lit("), but raw data shows "),
-        F.col("raw_value").cast("string"),
+        number_text(F.col("raw_value")),
         F.lit(" (at "),
         "raw_time",
         F.lit(")"),

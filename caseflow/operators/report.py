@@ -13,7 +13,7 @@ from caseflow.functions.text import (
     paragraphs,
     without_leading_fence,
 )
-from caseflow.functions.values import any_of, clamp, fixed
+from caseflow.functions.values import any_of, clamp, fixed, number_text
 from caseflow.operators.notes import NO_NOTES
 from caseflow.operators.scores import ADMISSION, FIRST_DX
 from caseflow.operators.textparts import PART_CHARS, by_part, text_parts
@@ -118,10 +118,10 @@ def sofa_text(scores: DataFrame) -> DataFrame:
 
 def _shown_fraction(raw: Column, fraction: Column) -> Column:
     percent = F.concat(
-        raw.cast("string"), F.lit("% ("), fixed(fraction, 2), F.lit(")")
+        number_text(raw), F.lit("% ("), fixed(fraction, 2), F.lit(")")
     )
     share = F.concat(
-        raw.cast("string"), F.lit(" ("), fixed(fraction * 100, 0), F.lit("%)")
+        number_text(raw), F.lit(" ("), fixed(fraction * 100, 0), F.lit("%)")
     )
     return F.when(raw > 1.0, percent).otherwise(share)
 
@@ -132,17 +132,17 @@ def pf_cells(series: DataFrame) -> DataFrame:
         "account_id",
         "position",
         "timestamp",
-        F.col("pao2").cast("string").alias("pao2"),
+        number_text(F.col("pao2")).alias("pao2"),
         _shown_fraction(F.col("fio2_raw"), F.col("fio2_normalized")).alias("fio2"),
-        F.coalesce(F.col("peep").cast("string"), F.lit("N/A (no vent data)")).alias("peep"),
-        F.col("ratio").cast("string").alias("ratio"),
+        F.coalesce(number_text(F.col("peep")), F.lit("N/A (no vent data)")).alias("peep"),
+        number_text(F.col("ratio")).alias("ratio"),
         "classification",
     )
 
 
 def pf_heading(summary: DataFrame, profile: Profile) -> DataFrame:
     """What stands above the ratio table, or in its place where no ratio qualifies."""
-    n, worst = F.col("measurements_calculated").cast("string"), F.col("worst_ratio").cast("string")
+    n, worst = F.col("measurements_calculated").cast("string"), number_text(F.col("worst_ratio"))
     limit = F.lit(f"{profile.render_below:g}")
     shown = F.concat(
         F.lit("P/F RATIO MEASUREMENTS (calculated from raw ABG data — "), n,
@@ -264,7 +264,7 @@ def pf_report(
         F.concat(
             F.lit("Not included — "), count,
             F.lit(f" measurement(s) calculated but all P/F ratios >= {limit} (worst = "),
-            worst.cast("string"), F.lit(" at "), "worst_timestamp",
+            number_text(worst), F.lit(" at "), "worst_timestamp",
             F.lit("). No ARF-qualifying P/F values."),
         )
     )
@@ -278,7 +278,7 @@ def pf_report(
     )
     heads = all_cases.select("account_id", F.inline(F.array(head)))
     cells = pf_cells(series).join(
-        shown.select("account_id", worst.cast("string").alias("_worst")), "account_id"
+        shown.select("account_id", number_text(worst).alias("_worst")), "account_id"
     )
     names = ("timestamp", "pao2", "fio2", "peep", "ratio", "classification")
     body = _row(

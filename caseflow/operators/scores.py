@@ -13,6 +13,7 @@ from caseflow.functions.values import (
     categories,
     exact_round,
     first_category,
+    number_text,
     oxygen_fraction,
     safe_double,
 )
@@ -218,7 +219,7 @@ def organ_events(
     }.items():
         is_it, start = category == name, organ is None
         points = band(number, bands[of])
-        text = F.concat(F.lit(label), number.cast("string"))
+        text = F.concat(F.lit(label), number.cast("string") if name == "gcs" else number_text(number))
         organ = F.when(is_it, of) if start else organ.when(is_it, of)
         score = F.when(is_it, points) if start else score.when(is_it, points)
         display = F.when(is_it, text) if start else display.when(is_it, text)
@@ -240,7 +241,7 @@ def organ_events(
         F.lit("respiratory").alias("organ"),
         band(ratio, bands["respiratory"]).alias("score"),
         ratio.alias("value"),
-        F.concat(F.lit("PaO2/FiO2 = "), exact_round(ratio, 1).cast("string")).alias("display"),
+        F.concat(F.lit("PaO2/FiO2 = "), number_text(exact_round(ratio, 1))).alias("display"),
         *no_drug,
     )
     doses = meds.select(
@@ -255,7 +256,7 @@ def organ_events(
         F.lit("vasopressor").alias("organ"),
         drug_points(F.col("drug"), F.col("dose")).alias("score"),
         F.col("dose").alias("value"),
-        F.concat_ws(" ", "drug", F.col("dose").cast("string")).alias("display"),
+        F.concat_ws(" ", "drug", number_text(F.col("dose"))).alias("display"),
         "drug",
         "dose",
     )

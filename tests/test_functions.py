@@ -191,3 +191,9 @@ def test_no_value_ends_a_job(spark):
     frame = spark.createDataFrame([(1e300,), (float("inf"),), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in frame.select(values.exact_round(F.col("x"), 1)).collect()][1::2] == [None, None]
     assert [r[0] for r in frame.limit(2).select(values.clamp(F.col("x"), 1, 10)).collect()] == [10, 10]
+
+
+def test_number_text_is_python_s(spark):
+    numbers = [0.0, 0.0004, 0.01 / 60, 1e-4, 9.9e-5, 1.25e-7, 0.001, 12.5, 1234567.25, 1e7, 12345678.9, 1e15, 1e16, 1.5e22, 2.5e120, -0.00025, -3e-9]
+    assert each(spark, numbers, values.number_text, "double") == [repr(x) for x in numbers]
+    assert one(spark, values.number_text(F.lit(None).cast("double"))).c0 is None

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.operators import report, scores
+from caseflow.operators import crosscheck, report, scores
 from caseflow.profiles import RESPIRATORY_FAILURE
 from tests import models
 
@@ -166,6 +166,17 @@ def test_ratio_text_continues_over_parts(spark):
     assert "\n".join(r.scores_text for r in rows) == whole[0].scores_text
 
 
+def test_small_numbers_are_not_shown_as_powers(spark):
+    labs = spark.sql("SELECT 1 account_id, timestamp'2024-01-01' event_ts, 'Creatinine' lab_name, '0.0004' lab_value")
+    vitals = spark.sql("SELECT 1 account_id, timestamp'2024-01-01' event_ts, 'MAP' vital_name, '0.00005' vital_value")
+    meds = spark.sql("SELECT 1 account_id, timestamp'2024-01-01' event_ts, 'Epinephrine' med_name, '0.0002' med_dose")
+    shown = {r.organ: r.display for r in scores.organ_events(labs, vitals, meds).collect()}
+    assert shown == {"renal": "0.0004", "cardiovascular": "MAP = 5e-05", "vasopressor": "epinephrine 0.0002"}
+    checked = spark.sql("SELECT 'plt' parameter, 0.0005D claimed, 'then' claim_time, 0.0004D raw_value, 'now' raw_time, true is_mismatch")
+    message = "NUMERIC MISMATCH: plt - Notes claim 0.0005 (at then), but raw data shows 0.0004 (at now)"
+    assert crosscheck.mismatches(checked).first().message == message
+
+
 def test_organ_events_end_to_end(spark):
     labs, vitals = lab_frames(
         spark,
