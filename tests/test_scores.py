@@ -237,3 +237,20 @@ def test_ten_thousand_rules(spark):
         held = [(c, out) for c, _, w, out in rules if w is not None and w in n]
         want |= {(n, c) for c in {c for c, out in held if not out} - {c for c, out in held if out}}
     assert {tuple(x) for x in found.collect()} == want
+
+
+def test_categories_of_the_same_rules_are_one_set(spark):
+    """A word that all names hold and all categories exclude does not bring each name each category."""
+    from caseflow.operators import matchers as tables
+
+    rules = [(c, c, word, out) for c in range(60) for word, out in ((f"w{c % 3}", False), ("common", True) if c % 2 else (None, True))]
+    rules = spark.createDataFrame(rules, "category int, place int, word string, excludes boolean")
+    names = spark.createDataFrame([(f"w{i % 4} {'common' if i % 5 else 'rare'} {i}",) for i in range(40)], "name string")
+    sets, members = tables._rule_sets(rules)
+    assert sets.count() == 6 and members.count() == 60
+    met = tables._named_sets(names, sets, False)
+    assert met.count() == sum((i % 4 < 3) * (1 if i % 5 else 2) for i in range(40))
+    found = {(r.name, r.category) for r in tables.with_categories(names, "name", rules).collect()}
+    assert found == {
+        (n.name, c) for n in names.collect() for c in range(60) if f"w{c % 3}" in n.name and not (c % 2 and "common" in n.name)
+    }
