@@ -384,8 +384,18 @@ def letter_text(letter: Column) -> Column:
     The reply may hold the letter under ``letter``. Evidence is a list of texts, or of objects with
     criterion, value and threshold, or of both.
     """
-    wrapped = F.get_json_object(letter, "$.letter")
-    a = F.from_json(F.when(wrapped.startswith("{"), wrapped).otherwise(letter), LETTER)
+
+
+    def parsed(wrapped: Column) -> Column:
+        return F.from_json(F.when(wrapped.startswith("{"), wrapped).otherwise(letter), LETTER)
+
+    # bound as arguments of functions: a column is parsed anew wherever it is mentioned
+    read = F.transform(F.array(F.get_json_object(letter, "$.letter")), parsed)
+    return F.element_at(F.transform(read, _letter_lines), 1)
+
+
+def _letter_lines(a: Column) -> Column:
+    """The text of a parsed letter."""
 
     def text(value: Column, default: str = "") -> Column:
         return F.coalesce(value, F.lit(default))
@@ -399,19 +409,25 @@ def letter_text(letter: Column) -> Column:
         present = F.coalesce(F.nullif(value, F.lit("")).isNotNull(), F.lit(False))
         return F.when(present, block(*lines)).otherwise(none)
 
-    def listed(title: str, items: Column, line) -> Column:
+    def listed(title: str, items: Column, line, read=lambda items: items) -> Column:
         none = F.array().cast("array<string>")
-        body = F.concat(block(title), F.transform(items, line), block(""))
+        body = F.concat(block(title), F.transform(read(items), line), block(""))
         return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, body).otherwise(none)
 
-    def evidence(item: Column) -> Column:
+    def evidence_of(items: Column) -> Column:
         # an item read as text is the JSON of an object, or a plain text
-        e = F.from_json(item, EVIDENCE)
+        def pair(item: Column) -> Column:
+            return F.struct(item.alias("text"), F.when(item.startswith("{"), F.from_json(item, EVIDENCE)).alias("parsed"))
+
+        return F.transform(items, pair)
+
+    def evidence(item: Column) -> Column:
+        e = item["parsed"]
         stated = F.concat(
             text(e["criterion"]), F.lit(": "), text(e["value"]),
             F.lit(" (threshold: "), text(e["threshold"]), F.lit(")"),
         )
-        return F.concat(F.lit("  - "), F.when(item.startswith("{"), stated).otherwise(text(item)))
+        return F.concat(F.lit("  - "), F.when(item["text"].startswith("{"), stated).otherwise(text(item["text"])))
 
     p, r = a["patient_info"], a["rationale"]
     labelled = (
@@ -433,9 +449,9 @@ def letter_text(letter: Column) -> Column:
         optional(
             r["infection_source"], F.concat(F.lit("Infection Source: "), r["infection_source"]), ""
         ),
-        listed("Organ Dysfunction:", r["organ_dysfunction"], evidence),
-        listed("SIRS Criteria Met:", r["sirs_criteria"], evidence),
-        listed("Inflammatory Markers:", r["inflammatory_markers"], evidence),
+        listed("Organ Dysfunction:", r["organ_dysfunction"], evidence, evidence_of),
+        listed("SIRS Criteria Met:", r["sirs_criteria"], evidence, evidence_of),
+        listed("Inflammatory Markers:", r["inflammatory_markers"], evidence, evidence_of),
         optional(r["blood_culture"], F.concat(F.lit("Blood Culture: "), r["blood_culture"]), ""),
         listed(
             "Other Conditions:", r["other_conditions"], lambda c: F.concat(F.lit("  - "), text(c))

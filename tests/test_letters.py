@@ -373,3 +373,10 @@ def test_rebuttals_and_status(spark):
     assert [r.status for r in out] == ["parse_error", "out_of_scope", "generation_error", "success", "out_of_scope"]
     assert frame.select(report.in_scope(F.col("s"), "all").alias("x")).distinct().first().x is True
     assert {r.status: r.n_cases for r in report.status_tally(frame.select(status.alias("status"))).collect()}["out_of_scope"] == 2
+
+
+def test_letter_text_parses_a_letter_once(spark):
+    """The plan names the parse of the letter and of an evidence item once each, not once a field."""
+    frame = spark.range(1).select(report.letter_text(F.col("id").cast("string")).alias("x"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 1 + 3 and plan.count("get_json_object(") == 1
