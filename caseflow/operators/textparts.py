@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.times import HOUR
-from caseflow.operators.slices import running_totals
+from caseflow.operators.slices import running_totals, same_key
+from caseflow.sources.sinks import staged
 
 PART_CHARS = 4_000_000
+# Keys are looked at in this many groups, by their hash, to find whether one has a long text.
+KEY_GROUPS = 1 << 16
 
 
 def text_parts(
@@ -23,6 +26,7 @@ def text_parts(
     part_chars: int = PART_CHARS,
     width: int = HOUR,
     collect: dict[str, Column] | None = None,
+    few_rows: bool = False,
 ) -> DataFrame:
     """Joins the texts of each key in order of ``position`` and ``tie``.
 
@@ -31,6 +35,10 @@ def text_parts(
     joined by ``sep`` are the whole text; no task ever holds more than one part of it, and a value
     never nears the size limit of a Spark string. Null texts are left out. ``collect`` names more
     expressions to gather, in the same order, as arrays.
+
+    The rows are staged, and the length of each key's text is counted first. Keys of a single part are
+    gathered in one shuffle; only rows of longer ones are placed by slices of ``width``. With ``few_rows``
+    the rows of a key are as few as ``top_per`` leaves, and are placed in the window that ranked them.
     """
     keys, extra = list(keys), collect or {}
     shaped = rows.select(
@@ -43,9 +51,11 @@ def text_parts(
     order = ["_pos", *[f"_tie_{i}" for i in range(len(tie))]]
     # a null text takes no place, so a first part holds the first text
     weight = F.coalesce(F.length("_text") + len(sep), F.lit(0))
-    placed = running_totals(
-        shaped, keys, F.col("_pos"), [F.col(o) for o in order], {"_before": weight}, width
-    )
+    if few_rows:
+        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = shaped.withColumn("_before", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
+    else:
+        placed = _placed(staged(shaped), keys, order, weight, part_chars, width)
     part = F.floor(F.col("_before") / part_chars).cast("int")
     gathered = F.array_sort(
         F.collect_list(F.struct(*order, "_text", *[f"_x_{name}" for name in extra]))
@@ -62,6 +72,44 @@ def text_parts(
     )
 
 
+def long_keys(rows: DataFrame, keys: Sequence[str], weight: Column, most: int) -> DataFrame | None:
+    """The keys whose weights sum to ``most`` or more, or None if there are none.
+
+    Sums of groups of keys are looked at first, as they fall together in the tasks that read the rows; keys
+    are summed one by one only in groups that reach ``most``.
+    """
+    keys = list(keys)
+    grouped = rows.select(
+        *keys, weight.cast("long").alias("_w"), F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("_group")
+    )
+    heavy = grouped.groupBy("_group").agg(F.sum("_w").alias("_sum")).filter(F.col("_sum") >= most).select("_group")
+    if heavy.isEmpty():
+        return None
+    sums = grouped.join(staged(heavy), "_group", "left_semi").groupBy(*keys).agg(F.sum("_w").alias("_sum"))
+    long = staged(sums.filter(F.col("_sum") >= most).select(*keys))
+    return None if long.isEmpty() else long
+
+
+def _placed(
+    shaped: DataFrame, keys: list[str], order: Sequence[str], weight: Column, part_chars: int, width: int
+) -> DataFrame:
+    """Adds ``_before``, the length of the key's text before the row; 0 where the whole text is one part."""
+    nothing = F.lit(0).cast("long")
+    long = long_keys(shaped, keys, weight, part_chars)
+    if long is None:
+        # rows go to their keys before they are gathered, so that lists are made of all rows and not merged
+        return shaped.repartition(*keys).withColumn("_before", nothing)
+    cut = running_totals(
+        same_key(shaped, long, keys, "left_semi"),
+        keys,
+        F.col("_pos"),
+        [F.col(o) for o in order],
+        {"_before": weight},
+        width,
+    )
+    return same_key(shaped, long, keys, "left_anti").withColumn("_before", nothing).unionByName(cut)
+
+
 def by_part(rows: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Left joins of tables to ``rows``, one row per key and part.
 

@@ -165,9 +165,10 @@ def timeline_text(
     that want no more; it is applied per task before the shuffle.
     """
     tie = [F.col("event_type"), F.col("event_detail"), F.col("encounter_id")]
-    rows = timeline
+    rows = timeline.withColumn("_us", micros(F.col("event_ts")))
     if max_events is not None:
-        rows = top_per(timeline, ["account_id"], [F.col("event_ts"), *tie], max_events)
+        rows = top_per(rows, ["account_id"], [F.col("_us"), *tie], max_events)
+        parts["few_rows"] = True
     line = F.concat(
         F.lit("["),
         F.coalesce(F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("None")),
@@ -177,7 +178,7 @@ def timeline_text(
         F.coalesce("event_detail", F.lit("None")),
         F.when(F.col("is_abnormal") == 1, " (ABNORMAL)").otherwise(""),
     )
-    text = text_parts(rows, ["account_id"], line, "\n", micros(F.col("event_ts")), tie, **parts)
+    text = text_parts(rows, ["account_id"], line, "\n", F.col("_us"), tie, **parts)
     text = text.withColumnsRenamed({"n_rows": "n_events", "text": "timeline_text"})
     if accounts is None:
         return text

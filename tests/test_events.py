@@ -158,6 +158,36 @@ def test_parts_join_to_the_whole(spark):
             assert "\n".join(r.text for r in cut if r.k == k) == whole[k]
 
 
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_long_texts_are_placed_by_slices(spark):
+    sizes = {1: 3, 2: 200, 3: 40, None: 90}  # keys of one part and of several, a null key among the latter
+    rows = [(k, i, f"line {i}") for k, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "k int, i long, t string")
+    out = {}
+    for r in text_parts(frame, ["k"], F.col("t"), "\n", F.col("i"), (), 400, 7).orderBy("part_no").collect():
+        out.setdefault(r.k, []).append(r)
+    for k, n in sizes.items():
+        assert "\n".join(r.text for r in out[k]) == "\n".join(f"line {i}" for i in range(n))
+        assert sum(r.n_rows for r in out[k]) == n and [r.part_no for r in out[k]] == list(range(len(out[k])))
+    assert {k for k, parts in out.items() if len(parts) == 1} == {1, 3}
+    plan = _plan(text_parts(frame, ["k"], F.col("t"), "\n", F.col("i"), (), 10**6, 7))
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_capped_timeline_is_shuffled_once(spark):
+    rows = [(k, 1, datetime(2024, 1, 1, 0, i), "LAB", f"d{i}", 0) for k in (1, 2) for i in range(9)]
+    events = records(spark, rows, schemas.TIMELINE)
+    plan = _plan(timeline.timeline_text(events, max_events=3))
+    assert plan.count("Exchange hashpartitioning") == 1
+    parts = timeline.timeline_text(events, max_events=5, part_chars=60).orderBy("account_id", "part_no").collect()
+    assert [(p.account_id, p.part_no, p.n_events) for p in parts] == [
+        (1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 2), (2, 1, 2), (2, 2, 1),
+    ]
+
+
 def test_json_parts(spark):
     frame = spark.createDataFrame([(1, 1, "a"), (1, 2, None)], "k int, i long, name string")
     row = json_parts(frame, ["k"], F.struct("name"), F.col("i")).first()
