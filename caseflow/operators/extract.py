@@ -23,7 +23,9 @@ from caseflow.functions.times import (
     timing,
     us_date,
 )
-from caseflow.operators.textparts import PART_CHARS, text_parts
+from caseflow.operators.slices import same_key
+from caseflow.operators.textparts import PART_CHARS, long_keys, text_parts
+from caseflow.sources.sinks import staged
 
 # Codes of final, verified results.
 FINAL_ORDER, FINAL_LAB, FINAL_RESULT, NO_RESULT = 5, (3, 5), 9, "-1"
@@ -334,6 +336,7 @@ def principal_line(rows: DataFrame, line: str = "line") -> DataFrame:
 
 # The three kinds of claim id, in the order in which they are named.
 CLAIM_IDS = ("icn", "icn_no", "control_no")
+CLAIM_ID_SEP = ", "
 
 
 def claim_rollup(claims: DataFrame) -> DataFrame:
@@ -350,21 +353,46 @@ def claim_rollup(claims: DataFrame) -> DataFrame:
 def claim_id_lists(
     claims: DataFrame, position: Column, width: int, part_chars: int = PART_CHARS
 ) -> DataFrame:
-    """All claim ids of an account as a list per kind, in claim order, in parts of bounded size."""
-    kinds = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in CLAIM_IDS])
-    ids = claims.select("account_id", position.alias("_at"), F.explode(kinds).alias("_id")).select(
-        "account_id", "_at", F.col("_id.k").alias("id_kind"), F.col("_id.v").alias("claim_id")
+    """All claim ids of an account as a list per kind, in claim order, in parts of bounded size.
+
+    The ids of all kinds of an account are gathered together, which shuffles a claim once. Only accounts whose
+    ids are long are taken apart before.
+    """
+    rows = staged(claims.select("account_id", position.alias("_at"), *[F.col(c).cast("string").alias(c) for c in CLAIM_IDS]))
+    chars = [F.coalesce(F.length(c) + len(CLAIM_ID_SEP), F.lit(0)) for c in CLAIM_IDS]
+    long = long_keys(rows, ["account_id"], sum(chars, F.lit(0)), part_chars)
+    short = rows if long is None else same_key(rows, long, ["account_id"], "left_anti")
+    gathered = short.repartition("account_id").groupBy("account_id").agg(
+        F.collect_list(F.struct("_at", *CLAIM_IDS)).alias("_all")
     )
-    return text_parts(
-        ids.filter(F.col("claim_id").isNotNull()),
+
+    def ids(kind: str) -> Column:
+        stated = F.filter(F.col("_all"), lambda x: x[kind].isNotNull())
+        return F.array_sort(F.transform(stated, lambda x: F.struct(x["_at"].alias("at"), x[kind].alias("id"))))
+
+    lists = F.array(*[F.struct(F.lit(c).alias("id_kind"), ids(c).alias("ids")) for c in CLAIM_IDS])
+    out = gathered.select("account_id", F.inline(lists)).filter(F.size("ids") > 0).select(
+        "account_id",
+        "id_kind",
+        F.lit(0).alias("part_no"),
+        F.size("ids").cast("long").alias("n_rows"),
+        F.concat_ws(CLAIM_ID_SEP, F.col("ids.id")).alias("claim_ids"),
+    )
+    if long is None:
+        return out
+    kinds = F.array(*[F.struct(F.lit(c).alias("id_kind"), F.col(c).alias("claim_id")) for c in CLAIM_IDS])
+    apart = same_key(rows, long, ["account_id"], "left_semi").select("account_id", "_at", F.inline(kinds))
+    parts = text_parts(
+        apart.filter(F.col("claim_id").isNotNull()),
         ["account_id", "id_kind"],
         F.col("claim_id"),
-        ", ",
+        CLAIM_ID_SEP,
         F.col("_at"),
         [F.col("claim_id")],
         part_chars,
         width,
-    ).withColumnRenamed("text", "claim_ids")
+    )
+    return out.unionByName(parts.withColumnRenamed("text", "claim_ids"))
 
 
 def with_id_defaults(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

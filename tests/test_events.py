@@ -188,6 +188,25 @@ def test_capped_timeline_is_shuffled_once(spark):
     ]
 
 
+def test_claim_ids_are_gathered_by_account(spark):
+    rows = [(k, i, f"a{i % 3}", None if i % 2 else f"b{i}", None) for k, n in ((1, 4), (2, 60)) for i in range(n)]
+    claims = spark.createDataFrame(rows, "account_id int, at long, icn string, icn_no string, control_no string")
+    for part_chars in (10**6, 100):
+        got = {}
+        lists = extract.claim_id_lists(claims, F.col("at"), 1, part_chars).orderBy("part_no")
+        for r in lists.collect():
+            got.setdefault((r.account_id, r.id_kind), []).append(r)
+        assert set(got) == {(k, kind) for k in (1, 2) for kind in ("icn", "icn_no")}
+        for (k, kind), parts in got.items():
+            at = 2 if kind == "icn" else 3
+            want = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            assert ", ".join(p.claim_ids for p in parts) == ", ".join(want)
+            assert sum(p.n_rows for p in parts) == len(want)
+            assert (len(parts) > 1) == (k == 2 and part_chars == 100)
+    plan = _plan(extract.claim_id_lists(claims, F.col("at"), 1))
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_json_parts(spark):
     frame = spark.createDataFrame([(1, 1, "a"), (1, 2, None)], "k int, i long, name string")
     row = json_parts(frame, ["k"], F.struct("name"), F.col("i")).first()
