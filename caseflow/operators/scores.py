@@ -47,15 +47,17 @@ def readings(
     """
 
     def side(rows: DataFrame, name: str, value: str, kind: str) -> DataFrame:
-        # the name is lower-cased once, not for each word it is looked at for
-        low = rows.select("account_id", "event_ts", F.lower(name).alias("_name"), F.col(value).alias("_value"))
-        found = categories(F.col("_name"), profile.matchers, kind, whole_word, exclusive, lowered=True)
-        return low.select(
+        # The name is lower-cased once, not for each word it is looked at for. A value is read once: rows
+        # without one get no categories, as a filter on the value would read it again ahead of the rest.
+        low = rows.select(
             "account_id",
             micros(F.col("event_ts")).alias("us"),
-            F.explode(found).alias("category"),
-            safe_double(F.col("_value")).alias("value"),
-        ).filter("category is not null and us is not null and value is not null")
+            F.lower(name).alias("_name"),
+            safe_double(F.col(value)).alias("value"),
+        )
+        found = categories(F.col("_name"), profile.matchers, kind, whole_word, exclusive, lowered=True)
+        told = F.when(F.col("us").isNotNull() & F.col("value").isNotNull(), found)
+        return low.select("account_id", "us", F.explode(told).alias("category"), "value").filter("category is not null")
 
     return side(labs, "lab_name", "lab_value", "lab").unionByName(
         side(vitals, "vital_name", "vital_value", "vital")
@@ -283,12 +285,18 @@ def best_windows(
         *[F.max(F.when(organ == o, F.col("score"))).alias(f"_p_{o}") for o in ORGANS]
     )
     cuts = dense_cuts(events, ["account_id"], F.col("us"), width_us, dense_rows)
-    sliced = with_slice(peaks, ["account_id"], F.col("us"), width_us, cuts).select(
-        "account_id",
-        SLICE,
-        "us",
-        *[F.when(F.col(f"_p_{o}") >= s, F.col("us")).alias(name[o, s]) for o, s in pairs],
-    ).repartition("account_id", SLICE)
+    # The six peaks are shuffled and the times made of them there: all of a row is then asked for where slices
+    # fall together as well as where they are ordered, so that both read one shuffle.
+    sliced = (
+        with_slice(peaks, ["account_id"], F.col("us"), width_us, cuts)
+        .repartition("account_id", SLICE)
+        .select(
+            "account_id",
+            SLICE,
+            "us",
+            *[F.when(F.col(f"_p_{o}") >= s, F.col("us")).alias(name[o, s]) for o, s in pairs],
+        )
+    )
     later = (
         sliced.groupBy("account_id", SLICE)
         .agg(*[F.min(c).alias(c) for c in columns])

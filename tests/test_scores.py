@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import crosscheck, report, scores
-from caseflow.profiles import RESPIRATORY_FAILURE
+from caseflow.profiles import RESPIRATORY_FAILURE, SEPSIS
 from tests import models
 
 HOUR = 3_600_000_000
@@ -60,6 +60,31 @@ def test_dense_slices_give_the_same_windows(spark):
     assert scores.best_windows(events(spark, rows), dense_rows=5).collect() == whole
 
 
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_of_best_windows_share_a_shuffle(spark):
+    best = scores.best_windows(events(spark, random_events(6)))
+    assert best.count() == 6 and len(best.collect()) == 6
+    final = plan(best).split("Initial Plan")[0].splitlines()
+    assert any("ReusedExchange" in line and "REPARTITION_BY_COL" in line for line in final)
+
+
+def test_a_value_is_read_once(spark):
+    ids = spark.range(6)
+    at = F.when(F.col("id") != 2, F.timestamp_seconds("id"))
+    text = F.element_at(F.array(*[F.lit(x) for x in ("<7", "1,200", "5", "none", "NaN", "3")]), (F.col("id") + 1).cast("int"))
+    labs = ids.select(F.lit(1).alias("account_id"), at.alias("event_ts"), F.lit("PO2 ART").alias("lab_name"), text.alias("lab_value"))
+    vitals = ids.select(F.lit(1).alias("account_id"), at.alias("event_ts"), F.lit("MAP").alias("vital_name"), text.alias("vital_value"))
+    out = scores.readings(labs, vitals, SEPSIS)
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, us, kind, v) for us, v in ((0, 7.0), (10**6, 1200.0), (5 * 10**6, 3.0)) for kind in ("map", "pao2")
+    ]
+    # once for the labs and once for the vitals, not in a filter as well
+    assert plan(out).count("RLIKE") == 2
+
+
 def test_window_is_closed_at_both_ends(spark):
     rows = [
         (1, 0, "renal", 1, 1.0, None, None), (1, DAY, "liver", 4, 4.0, None, None),
