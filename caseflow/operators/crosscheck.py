@@ -10,6 +10,7 @@ from caseflow.functions.times import MONTH, parsed, stamp
 from caseflow.functions.values import number_text, relative_gap, safe_double
 from caseflow.operators.asof import Series, nearest
 from caseflow.profiles import Profile
+from caseflow.sources.sinks import staged
 
 # Scales compared as whole numbers; elsewhere 10 percent is the tolerated gap.
 INTEGER_SCALES = ("gcs",)
@@ -24,11 +25,15 @@ def checked_claims(
     ``claims``: ``(account_id, parameter, value, timestamp)`` as text. ``raw``: the table of
     ``scores.readings``. A claim without a number, a known parameter or a readable time is not
     checkable, nor is one whose account has no reading of that category.
+
+    Claims and readings are staged, as they are read to look for dense slices and to be paired. Claims are
+    staged before those that are not checkable are dropped: a filter on what was read out of text would go
+    ahead of the reading and repeat it.
     """
     names = profile.parameter_categories
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     parameter = stripped(F.lower("parameter"))
-    known = claims.select(
+    stated = claims.select(
         "account_id",
         *[c for c in claims.columns if c not in ("account_id", "parameter", "value", "timestamp")],
         parameter.alias("parameter"),
@@ -36,8 +41,9 @@ def checked_claims(
         F.col("timestamp").alias("claim_time"),
         parsed(F.col("timestamp")).alias("claim_ts"),
         F.try_element_at(table, parameter).alias("category"),
-    ).filter("claimed is not null and category is not null and claim_ts is not null")
-    readings = raw.select("account_id", "category", F.timestamp_micros("us").alias("ts"), "value")
+    )
+    known = staged(stated).filter("claimed is not null and category is not null and claim_ts is not null")
+    readings = staged(raw.select("account_id", "category", F.timestamp_micros("us").alias("ts"), "value"))
     near = nearest(
         known,
         ["account_id", "category"],
